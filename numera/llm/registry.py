@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numera.llm import exact_dedup
+from numera.llm import bpe, exact_dedup, mixing, simhash
 from numera.llm.common import table
 
 
@@ -26,8 +26,20 @@ FROM (SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS gr
 """
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_exact_dedup": op3_exact_dedup}
+    return {"op3_exact_dedup": op3_exact_dedup, "op4_bpe": op4_bpe, "op6_simhash": op6_simhash, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
