@@ -1,119 +1,163 @@
 """BPE encoding and decoding; long texts by tree concatenation.
 
-A text above ``PIECE`` characters is halved until its pieces are short; the
-pieces are encoded in parallel, and neighbours are joined again from the leaves
-up. At each join a window around the cut is encoded anew and grows until, on
-both sides, its tokens agree with those of the halves: some position before the
-cut where both tokenisations have a token edge, and the same behind it. What
-lies outside comes from the halves, what lies inside from the window. The
-result is the encoding of the unsplit text, which the tests hold against it.
+A text above ``PIECE`` bytes is halved until its pieces are short; the pieces
+are encoded side by side, and neighbours are joined again from the leaves up.
+At each join a window around the cut is encoded anew and grows until, on both
+sides, it agrees exactly with the halves: some edge before the cut at which
+both have the same stretches with the same tokens, and one behind it. What lies
+outside comes from the halves, what lies inside from the window. The result is
+the encoding of the unsplit text, which the tests hold against it.
+
+Stretches are what ASCII white space separates. The tokenizer drops white
+space, and neither its normaliser, its added tokens nor its pre-tokens reach
+across, so a stretch that recurs is encoded once and then looked up. A text
+without white space is one stretch: windows then grow to the whole of it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import os
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters up to which a text is encoded in one go.
-PIECE = 16_384
-#: Characters of the first window on each side of a join.
+from numera.llm.common import WHITE_BYTES
+
+#: Bytes up to which a text is encoded in one go.
+PIECE = 4096
+#: Bytes of the first window on each side of a join.
 WINDOW = 64
-#: Tokens on each side of an agreed edge that have to be the same.
-AGREE = 4
-#: Characters of texts that are encoded at a time.
+#: Stretches on each side of an edge that have to agree.
+AGREE = 2
+#: Stretches whose tokens are remembered.
+REMEMBERED = 300_000
+#: Bytes of texts that are encoded at a time.
 _AT_ONCE = 4 << 20
+#: A word of one pre-token, and perhaps a second one of punctuation.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
+# The steps before the merges for which a plain word's pre-tokens are known.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_IS_WHITE = np.isin(np.arange(256), np.frombuffer(WHITE_BYTES, np.uint8))
 
 
 @dataclass
 class Encoded:
-    """Token ids with the character span that each has in the text."""
+    """Tokens of a part of a text, by stretch: where each begins and ends, and its ids as little-endian bytes."""
 
-    ids: np.ndarray
     start: np.ndarray
     end: np.ndarray
-
-    def shifted(self, by: int) -> Encoded:
-        return Encoded(self.ids, self.start + by, self.end + by)
+    ids: list[bytes]
 
     def part(self, a: int, b: int) -> Encoded:
-        return Encoded(self.ids[a:b], self.start[a:b], self.end[a:b])
+        return Encoded(self.start[a:b], self.end[a:b], self.ids[a:b])
 
     def __add__(self, other: Encoded) -> Encoded:
-        return Encoded(*(np.concatenate(x) for x in ((self.ids, other.ids), (self.start, other.start), (self.end, other.end))))
+        return Encoded(np.concatenate([self.start, other.start]), np.concatenate([self.end, other.end]), self.ids + other.ids)
 
 
 class TreeEncoder:
-    """Encodes with a tokenizer of the tokenizers library, long texts by tree concatenation."""
+    """Encodes with a tokenizer of the tokenizers library that drops white space, long texts by tree concatenation."""
 
-    def __init__(self, path: str, piece: int = PIECE, window: int = WINDOW) -> None:
+    def __init__(self, path: str, piece: int = PIECE, window: int = WINDOW, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.piece, self.window = piece, window
+        self.piece, self.window, self.remembered = piece, window, remembered
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.token[i] = token
-
-    def _spans(self, text: str) -> Encoded:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-        return Encoded(np.array(e.ids, np.int64), spans[:, 0], spans[:, 1])
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        steps = json.loads(self.tokenizer.to_str())
+        self.plain = all(steps[k] == v for k, v in _STEPS.items())
+        # bytes as the letters that stand for them before the merges
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+    def _pre_token(self, word: str) -> bytes:
+        """Ids of one pre-token, given in lower case."""
+        ids = self.words.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            tokens = self.tokenizer.model.tokenize(mapped)
+            ids = self.words[word] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return ids
+
+    def _learn(self, stretches: Iterable[bytes]) -> None:
+        """Remember the tokens of stretches: of plain words by their pre-tokens, of all others as the library encodes them."""
+        rest = []
+        for s in set(stretches).difference(self.known):
+            m = _PLAIN.fullmatch(s.decode()) if self.plain else None
+            if m:
+                self.known[s] = self._pre_token(m[1].lower()) + (self._pre_token(m[2]) if m[2] else b"")
+            else:
+                rest.append(s)
+        for s, e in zip(rest, self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)):
+            self.known[s] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as the library encodes it whole."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= self.piece]
-        at = 0
-        while at < len(short):
-            to, size = at, 0
-            while to < len(short) and (to == at or size < _AT_ONCE):
-                size += len(texts[short[to]])
-                to += 1
-            for i, e in zip(short[at:to], self.tokenizer.encode_batch_fast([texts[i] for i in short[at:to]], add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.uint32)
-            at = to
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = self._tree(t).ids.astype(np.uint32)
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        raw = [t.encode() for t in texts]
+        split = [_bounds(r, self.piece) for r in raw]
+        leaves = [[(a, b, r[a:b].split()) for a, b in zip(bounds, bounds[1:])] for r, bounds in zip(raw, split)]
+        self._learn(s for own in leaves for _, _, stretches in own for s in stretches)
+        out = []
+        for r, own in zip(raw, leaves):
+            if len(own) == 1:
+                ids = map(self.known.__getitem__, own[0][2])
+            else:
+                ids = self._tree(r, own).ids
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
-    def _tree(self, text: str) -> Encoded:
-        bounds = _halves(0, len(text), self.piece)
-        leaves = self.tokenizer.encode_batch([text[a:b] for a, b in zip(bounds, bounds[1:])], add_special_tokens=False)
-        level = []
-        for a, b, e in zip(bounds, bounds[1:], leaves):
-            spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-            level.append((a, b, Encoded(np.array(e.ids, np.int64), spans[:, 0], spans[:, 1]).shifted(a)))
+    def _encoded(self, raw: bytes, a: int, b: int, stretches: list[bytes]) -> Encoded:
+        white = np.concatenate([[True], _IS_WHITE[np.frombuffer(raw, np.uint8, b - a, a)], [True]])
+        return Encoded(np.flatnonzero(white[:-1] & ~white[1:]) + a, np.flatnonzero(~white[:-1] & white[1:]) + a, list(map(self.known.__getitem__, stretches)))
+
+    def _tree(self, raw: bytes, leaves: list[tuple[int, int, list[bytes]]]) -> Encoded:
+        level = [(a, b, self._encoded(raw, a, b, s)) for a, b, s in leaves]
         while len(level) > 1:
-            joined = [self._join(text, *level[k], *level[k + 1]) for k in range(0, len(level) - 1, 2)]
+            joined = [self._join(raw, *level[k], *level[k + 1]) for k in range(0, len(level) - 1, 2)]
             level = joined + level[len(level) // 2 * 2 :]
         return level[0][2]
 
-    def _join(self, text: str, a: int, _: int, left: Encoded, cut: int, b: int, right: Encoded) -> tuple[int, int, Encoded]:
+    def _join(self, raw: bytes, a: int, _: int, left: Encoded, cut: int, b: int, right: Encoded) -> tuple[int, int, Encoded]:
         width = self.window
         while True:
-            lo, hi = max(a, cut - width), min(b, cut + width)
-            whole = self._spans(text[lo:hi]).shifted(lo)
-            before = 0, 0
-            if lo > a:
-                before = _agreement(left, whole, lo, cut, last=False)
-            behind = len(whole.ids), len(right.ids)
-            if hi < b:
-                behind = _agreement(whole, right, cut, hi, last=True)
+            lo, hi = _whole_character(raw, max(a, cut - width)), _whole_character(raw, min(b, cut + width))
+            stretches = raw[lo:hi].split()
+            self._learn(stretches)
+            window = self._encoded(raw, lo, hi, stretches)
+            before = (0, 0) if lo == a else _agreement(left, window, lo, cut)
+            behind = (len(window.ids), len(right.ids)) if hi == b else _agreement(window, right, cut, hi)
             if before and behind and before[1] <= behind[0]:
-                head = left.part(0, before[0]) if lo > a else left.part(0, 0)
-                tail = right.part(behind[1], len(right.ids)) if hi < b else right.part(0, 0)
-                return a, b, head + whole.part(before[1], behind[0]) + tail
+                return a, b, left.part(0, before[0]) + window.part(before[1], behind[0]) + right.part(behind[1], len(right.ids))
             width *= 2
 
     def decode(self, ids: np.ndarray) -> str:
@@ -123,38 +167,38 @@ class TreeEncoder:
         return " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-def _halves(a: int, b: int, most: int) -> list[int]:
-    """Bounds of the leaves between ``a`` and ``b``."""
-    bounds = [a, b]
+def _whole_character(raw: bytes, at: int) -> int:
+    """``at``, or the next position that does not cut a UTF-8 character."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _bounds(raw: bytes, most: int) -> list[int]:
+    """Where the leaves begin and end."""
+    bounds = [0, len(raw)]
     while max(y - x for x, y in zip(bounds, bounds[1:])) > most:
-        bounds = sorted({*bounds, *((x + y) // 2 for x, y in zip(bounds, bounds[1:]))})
+        bounds = sorted({*bounds, *(_whole_character(raw, (x + y) // 2) for x, y in zip(bounds, bounds[1:]))})
     return bounds
 
 
-def _agreement(first: Encoded, second: Encoded, lo: int, hi: int, last: bool) -> tuple[int, int] | None:
-    """Token numbers in ``first`` and ``second`` at an edge strictly between ``lo`` and ``hi`` around
-    which ``AGREE`` tokens of both are the same with their spans; the last such edge or the first.
-
-    Only edges with a character between the tokens count. A tokenizer that
-    drops white space has it there, and neither its normaliser, its added
-    tokens nor its pre-tokens reach across; with one that keeps white space no
-    edge counts and the window grows to the whole text.
-    """
-    i = np.flatnonzero((first.start > lo) & (first.start < hi))
-    where = {int(s): k for k, s in reversed([*enumerate(second.start.tolist())]) if lo < s < hi}
-    for k in reversed(i.tolist()) if last else i.tolist():
-        j = where.get(int(first.start[k]))
-        if j is None or min(k, j) < AGREE or k + AGREE > len(first.ids) or j + AGREE > len(second.ids):
-            continue
+def _agreement(first: Encoded, second: Encoded, lo: int, hi: int) -> tuple[int, int] | None:
+    """Stretch numbers in ``first`` and ``second`` at an edge strictly between ``lo`` and ``hi`` such
+    that ``AGREE`` stretches before and behind it, all inside, are the same in both."""
+    for k in range(int(np.searchsorted(first.start, lo, "right")) + AGREE, int(np.searchsorted(first.end, hi, "left")) - AGREE + 1):
+        j = int(np.searchsorted(second.start, first.start[k])) if k < len(first.ids) else len(second.ids)
         x, y = slice(k - AGREE, k + AGREE), slice(j - AGREE, j + AGREE)
-        same = (first.ids[x] == second.ids[y]).all() and (first.start[x] == second.start[y]).all() and (first.end[x] == second.end[y]).all()
-        if same and first.start[k - AGREE] > lo and first.end[k + AGREE - 1] < hi and first.end[k - 1] < first.start[k]:
+        if j < AGREE or j + AGREE > len(second.ids):
+            continue
+        if np.array_equal(first.start[x], second.start[y]) and np.array_equal(first.end[x], second.end[y]) and first.ids[x] == second.ids[y]:
             return k, j
     return None
 
 
 def _encode_batches(path: str, piece: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the pieces of a batch are encoded in parallel where a task has more than one core
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if TaskContext.get().cpus() > 1 else "false")
         encoder = None
         for batch in batches:
             encoder = encoder or TreeEncoder(path, piece)
