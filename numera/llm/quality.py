@@ -2,8 +2,7 @@
 
 A document's histogram of character classes and its histogram of a language's
 common words are compared to references by Jensen-Shannon distance. The
-references are the mean histograms of all documents of a language that are
-long enough, so they cover the whole corpus. A document passes if it is close
+references are mean histograms of the corpus's own documents of a language. A document passes if it is close
 to some language in both; short ones are not judged by their histograms.
 """
 
@@ -23,8 +22,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Words from which on the histograms say something.
 MIN_WORDS = 30
 #: Distances (base 2, 0 to 1) above which a document is too far from a language.
-MAX_CHARS = 0.2
-MAX_WORDS = 0.5
+MAX_CHARS = 0.18
+MAX_WORDS = 0.55
 WINDOW = 5
 _AT_ONCE = 2 << 20
 
@@ -46,11 +45,12 @@ def vocabulary() -> list[str]:
 
 
 def _byte_classes() -> tuple[np.ndarray, list[str]]:
-    names = ["upper", "lower", "digit", "stop", "punctuation", "symbol", "beyond", "none"]
+    """Class of each byte. Digits are left out: numbers belong to no language, and a few long ones outweigh a short text."""
+    names = ["upper", "lower", "stop", "punctuation", "symbol", "beyond", "none"]
     kind = np.full(256, names.index("punctuation"))
     for c in range(256):
         ch = chr(c)
-        if 0x80 <= c < 0xC0 or c <= 0x20 or c == 0x7F:
+        if 0x80 <= c < 0xC0 or c <= 0x20 or c == 0x7F or ch.isdigit() and c < 0x80:
             kind[c] = names.index("none")
         elif c >= 0xC0:
             kind[c] = names.index("beyond")
@@ -59,7 +59,7 @@ def _byte_classes() -> tuple[np.ndarray, list[str]]:
         elif c in SYMBOLS:
             kind[c] = names.index("symbol")
         elif ch.isalnum():
-            kind[c] = names.index("digit" if ch.isdigit() else "upper" if ch.isupper() else "lower")
+            kind[c] = names.index("upper" if ch.isupper() else "lower")
     return kind, names[:-1]
 
 
@@ -177,33 +177,72 @@ class References:
     words: np.ndarray
 
 
-def _partial_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, chars, words in zip(*(batch.column(c).to_pylist() for c in ("lang", "chars", "words"))):
-            parts = [_share(np.frombuffer(x, np.int32).astype(float)) for x in (chars, words)]
-            row = np.concatenate([[1.0], *parts])
-            sums[lang] = sums[lang] + row if lang in sums else row
-    for lang, row in sums.items():
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(row)), "bin": pa.array(np.arange(len(row))), "total": pa.array(row)})
+def _histograms(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return _share(_packed(batch.column("chars"))), _share(_packed(batch.column("words")))
 
 
-def references(counted: DataFrame, min_words: int = MIN_WORDS) -> References:
-    """Mean histograms for each language over all documents that are long enough.
+def _spread(refs: References):
+    """(lang, distance) of each document to its own language's reference."""
 
-    A row for each language and histogram bin reaches the driver.
-    """
-    long_enough = counted.where((F.col("n_words") >= min_words) & F.col("lang").isNotNull())
-    rows = long_enough.select("lang", "chars", "words").mapInArrow(_partial_means, "lang string, bin long, total double").groupBy("lang", "bin").agg(F.sum("total").alias("total")).collect()
-    langs = sorted({r["lang"] for r in rows})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                chars, words = _histograms(batch)
+                own = [refs.langs.index(x) for x in batch.column("lang").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "distance": pa.array(js_distance(chars, refs.chars[own]) + js_distance(words, refs.words[own]))})
+
+    return run
+
+
+def _partial_means(refs: References | None, within: dict[str, float]):
+    """Sums of histograms for each language, of all documents or of those within a distance of ``refs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chars, words = _histograms(batch)
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            rows = np.concatenate([np.ones((len(langs), 1)), chars, words], axis=1)
+            if refs:
+                own = [refs.langs.index(x) for x in langs]
+                near = js_distance(chars, refs.chars[own]) + js_distance(words, refs.words[own]) <= np.array([within[x] for x in langs])
+                langs, rows = langs[near], rows[near]
+            for lang in set(langs.tolist()):
+                own_sum = rows[langs == lang].sum(axis=0)
+                sums[lang] = sums[lang] + own_sum if lang in sums else own_sum
+        for lang, row in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(row)), "bin": pa.array(np.arange(len(row))), "total": pa.array(row)})
+
+    return run
+
+
+def _means(rows: DataFrame, refs: References | None = None, within: dict[str, float] | None = None) -> References:
+    got = rows.mapInArrow(_partial_means(refs, within or {}), "lang string, bin long, total double").groupBy("lang", "bin").agg(F.sum("total").alias("total")).collect()
+    langs = sorted({r["lang"] for r in got})
     n_chars = len(_byte_classes()[1])
     table = np.zeros((len(langs), 1 + n_chars + len(vocabulary()) + 1))
-    for r in rows:
+    for r in got:
         table[langs.index(r["lang"]), r["bin"]] = r["total"]
     table = table[:, 1:] / np.maximum(table[:, :1], 1)
     return References(langs, table[:, :n_chars], table[:, n_chars:])
 
 
+def references(counted: DataFrame, min_words: int = MIN_WORDS) -> References:
+    """Mean histograms for each language over the documents that are long enough, first all of them,
+    then the half that is nearest to that mean, so that junk has no part in a reference.
+
+    A row for each language and histogram bin reaches the driver.
+    """
+    rows = counted.where((F.col("n_words") >= min_words) & F.col("lang").isNotNull()).select("lang", "chars", "words")
+    first = _means(rows)
+    if not first.langs:
+        return first
+    spread = rows.mapInArrow(_spread(first), "lang string, distance double").groupBy("lang").agg(F.percentile_approx("distance", 0.5, F.lit(1000)).alias("median")).collect()
+    return _means(rows, first, {r["lang"]: r["median"] for r in spread})
+
+
 def _verdicts(refs: References, min_words: int, max_chars: float, max_words: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +253,8 @@ def _verdicts(refs: References, min_words: int, max_chars: float, max_words: flo
             chars, words = np.zeros(n), np.zeros(n)
             near: list[str | None] = [None] * n
             if refs.langs:
-                by_chars = js_distance(_share(_packed(batch.column("chars")))[:, None], refs.chars[None])
-                by_words = js_distance(_share(_packed(batch.column("words")))[:, None], refs.words[None])
+                own_chars, own_words = _histograms(batch)
+                by_chars, by_words = js_distance(own_chars[:, None], refs.chars[None]), js_distance(own_words[:, None], refs.words[None])
                 best = np.argmin(by_chars / max_chars + by_words / max_words, axis=1)
                 chars, words = by_chars[np.arange(n), best], by_words[np.arange(n), best]
                 near = [refs.langs[k] for k in best]

@@ -29,6 +29,8 @@ PREFIXES = (4, 5, 6)
 #: Bound of the training sample: documents for each label.
 SAMPLE = 2500
 FEATURES = 20_000
+#: Chi-square of presence against label from which on a term is a feature.
+LEAST_CHI = 30
 FACTORS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -68,7 +70,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int = 80, rate: float = 0.05, decay: float = 1e-3) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int = 200, rate: float = 0.05, decay: float = 1e-2) -> Machine:
     """Logistic loss, full-batch Adam on the features that a chi-square test picks.
 
     Both labels weigh the same. Without rows of both labels there is nothing
@@ -86,7 +88,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int
     # presence against label, two by two
     expected = seen * toxic / n
     chi = (hits - expected) ** 2 * n * n / np.maximum(1e-9, toxic * (n - toxic) * seen * (n - seen) / n)
-    good = np.flatnonzero((chi > 12) & (seen >= 4))
+    good = np.flatnonzero((chi > LEAST_CHI) & (seen >= 3))
     good = np.sort(good[np.argsort(-chi[good], kind="stable")[:FEATURES]])
     place = np.full(len(terms), -1)
     place[good] = np.arange(len(good))
