@@ -162,8 +162,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     seen = np.zeros(size + 1)
     seen[found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
     idf = np.log((1 + seen[size]) / (1 + seen[:size])) + 1
+    # a hash leaves about 1.5 samples of each language, whatever its size, for the window to choose from
+    turns = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn"))
+    share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1.5 * sample) / F.col("n")).alias("share"))
+    turns = turns.join(share, "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("share") * 1_000_003)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id"))
-    drawn = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn")).withColumn("rank", rank).where(F.col("rank") <= sample)
+    drawn = turns.withColumn("rank", rank).where(F.col("rank") <= sample)
     # the broadcast is bounded: at most ``sample`` ids for each language
     picked = own.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
     got = picked.mapInArrow(_gram_rows, "lang string, grams binary").toArrow()

@@ -6,7 +6,10 @@ passage can reach the least coefficient t with a template of n bigrams only if
 it has between t/(2-t) n and (2-t)/t n of them, and only if it shares t/(2-t) n
 of the template's, hence at least one of any set that is larger than the rest.
 So passages are matched to templates by such a set of each template first, and
-only those of fitting size are compared. All of it is DataFrame functions.
+only those of fitting size are compared. The sets are chosen so that each of
+their bigrams has one of a few telling words; a text, and then a passage, with
+none of these words is left out before it is cut up. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from numera.llm.common import row_keys
 from numera.llm.license_texts import TEMPLATES
 
+#: Words too frequent to tell anything.
+_FREQUENT = frozenset("a all an and any are as at be but by for from have if in is it may no not of on or that the this to was will with you".split())
 #: Least Dice coefficient of a match.
 LEAST = 0.8
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -32,18 +37,50 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def probes(bigrams: list[str], least: float) -> list[str]:
-    """Bigrams of which a passage must have one to reach ``least``: the longest ones, which are rare."""
-    spare = int(len(bigrams) - least / (2 - least) * len(bigrams) + 1e-9)
-    return sorted(bigrams, key=lambda b: (-len(b), b))[: spare + 1]
+def _spare(bigrams: list[str], least: float) -> int:
+    """How many of a template's bigrams a match may lack."""
+    return int(len(bigrams) - least / (2 - least) * len(bigrams) + 1e-9)
 
 
-def _template_tables(docs: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> tuple[DataFrame, DataFrame]:
+def telling_words(templates: list[list[str]], least: float) -> list[str]:
+    """Words such that each template has more bigrams with one of them than a match may lack.
+
+    Chosen greedily, long words first: the one that is in most bigrams of the
+    templates that still need it. Frequent words come last.
+    """
+    words: list[str] = []
+    while True:
+        need = [b for b in templates if sum(not words_of(g).isdisjoint(words) for g in b) <= _spare(b, least)]
+        if not need:
+            return sorted(words)
+        gain: dict[str, int] = {}
+        for b in need:
+            for g in b:
+                if words_of(g).isdisjoint(words):
+                    for w in words_of(g):
+                        gain[w] = gain.get(w, 0) + 1
+        rare = {w: n for w, n in gain.items() if w not in _FREQUENT and not w.isdigit()} or gain
+        words.append(max(rare, key=lambda w: (rare[w] * (len(w) >= 6), rare[w], len(w), w)))
+
+
+def words_of(bigram: str) -> frozenset[str]:
+    return frozenset(bigram.split(" "))
+
+
+def probes(bigrams: list[str], telling: list[str], least: float) -> list[str]:
+    """Bigrams with a telling word of which a passage must have one to reach ``least``."""
+    own = sorted((b for b in bigrams if not words_of(b).isdisjoint(telling)), key=lambda b: (-len(b), b))
+    return own[: _spare(bigrams, least) + 1]
+
+
+def _template_tables(docs: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> tuple[DataFrame, DataFrame, str]:
+    """Templates, their probes, and a pattern for the telling words."""
     spark = docs.sparkSession
     rows = [(i, spdx, template_bigrams(text)) for i, (spdx, text) in enumerate(templates)]
+    telling = telling_words([b for _, _, b in rows], least)
     whole = spark.createDataFrame([(i, spdx, len(b), b) for i, spdx, b in rows], "template int, license string, n int, bigrams array<string>")
-    probe = spark.createDataFrame([(i, p) for i, _, b in rows for p in probes(b, least)], "template int, bigram string")
-    return whole, probe
+    probe = spark.createDataFrame([(i, p) for i, _, b in rows for p in probes(b, telling, least)], "template int, bigram string")
+    return whole, probe, r"(?<![\p{L}\p{N}])(?:" + "|".join(telling) + r")(?![\p{L}\p{N}])"
 
 
 def normalised(text: Column) -> Column:
@@ -62,15 +99,14 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     first. A null or empty text has no match. Passages that repeat inside a
     text, and rows that repeat, give one match.
     """
-    whole, probe = _template_tables(docs, templates, least)
+    whole, probe, telling = _template_tables(docs, templates, least)
     sizes = [len(template_bigrams(t)) for _, t in templates]
     low, high = least / (2 - least) * min(sizes), (2 - least) / least * max(sizes)
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    rows = docs.where(F.col(text_col).isNotNull()).select(k1.alias("k1"), k2.alias("k2"), F.explode(_passages(F.col(text_col))).alias("raw"))
-    rows = rows.select("k1", "k2", normalised(F.col("raw")).alias("passage"))
-    # distinct bigrams are at most words - 1, so too few words means too few bigrams; the upper bound waits for them
-    rows = rows.withColumn("words", F.split("passage", " ")).where(F.size("words") > low)
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = docs.where(F.lower(F.col(text_col)).rlike(telling)).select(k1.alias("k1"), k2.alias("k2"), F.explode(_passages(F.col(text_col))).alias("raw"))
+    rows = rows.where(F.lower("raw").rlike(telling)).select("k1", "k2", normalised(F.col("raw")).alias("passage"))
+    # a passage's words but the last, each with its successor
+    pairs = F.regexp_extract_all("passage", F.lit(r"(?<![^ ])(?=([^ ]+ [^ ]+))"), F.lit(1))
     rows = rows.select("k1", "k2", "passage", F.array_distinct(pairs).alias("bigrams")).where(F.size("bigrams").between(low, high))
     # both template tables are fixed values, so the broadcasts are bounded
     met = rows.select("k1", "k2", "passage", F.size("bigrams").alias("m"), "bigrams", F.explode("bigrams").alias("bigram")).join(F.broadcast(probe), "bigram")

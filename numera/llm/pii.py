@@ -13,6 +13,9 @@ of the corpus being left as they are.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,44 +38,40 @@ SOUNDS = {"latin": ("bdfghjklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклм
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for own in TITLES.values() for t in own.split()) + r")\.?"
 _NAME = "(?:" + "|".join(n for own in GIVEN.values() for n in own.split()) + ")"
+_START = r"(?<![\p{L}\p{N}])"
+#: What announces a secret; the mention takes it in and gives it back unchanged.
+_SECRET_LABEL = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|(?:[Aa]pi|API|[Aa]ccess|ACCESS)[_-]?(?:[Kk]ey|KEY))[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Entity types in the order in which they are tried, and their patterns.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/=.~-]{8,}"
-    r"|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": rf"{_SECRET_LABEL}[A-Za-z0-9_+/=.~-]{{8,}}|{_START}(?:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}})(?![\p{{L}}\p{{N}}])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": rf"{_START}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": rf"{_START}\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}(?!\d)"
+    rf"|{_START}\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}(?!\d)|(?<![\d-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\s{_CAPITAL}(?:\s{_CAPITAL})?|{_NAME}\s{_CAPITAL})",
+    "name": rf"{_START}(?=[\p{{Lu}}г])(?:{_TITLE}\s{_CAPITAL}(?:\s{_CAPITAL})?|{_NAME}\s{_CAPITAL})",
 }
+#: The same for a string that is an entity and nothing else: without what they look at around it.
+_WHOLE = {kind: re.sub(r"\(\?<?!(?:\[(?:\\.|[^\]])*\]|\\.|[^()\[\]])*\)", "", pattern) for kind, pattern in PATTERNS.items()}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these somewhere.
-_HINT = rf"[0-9@]|(?i:token|secret|passw|key)[\"']?\s*[=:]|(?<![\p{{L}}\p{{N}}])(?:{_TITLE}\s|{_NAME}\s)"
+_HINTS = (r"[0-9@]", _SECRET_LABEL, rf"{_START}(?=[\p{{Lu}}г])(?:{_TITLE}|{_NAME})\s")
 
 
 def _kind(value: Column) -> Column:
-    kinds = F.lit("name")
-    for name, pattern in reversed([*PATTERNS.items()]):
-        if name not in ("name", "secret"):
-            kinds = F.when(value.rlike(f"^(?:{_bare(pattern)})$"), name).otherwise(kinds)
-    named = value.rlike(f"^(?:{_bare(PATTERNS['name'])})$")
-    digits = F.length(F.regexp_replace(value, r"\D", ""))
-    return F.when(~named & (kinds == "name"), "secret").when((kinds == "card") & (digits != F.length(F.regexp_replace(value, r"[ -]", ""))), "secret").otherwise(kinds)
-
-
-def _bare(pattern: str) -> str:
-    """The pattern for a string that is the entity and nothing else."""
-    import re
-
-    return re.sub(r"\(\?<?[!=](?:[^()\[\]]|\[[^\]]*\]|\((?:[^()\[\]]|\[[^\]]*\])*\))*\)", "", pattern)
+    """The type of a mention: the first whose pattern it is."""
+    kind = F.lit("secret")
+    for name, pattern in reversed(_WHOLE.items()):
+        kind = F.when(value.rlike(rf"\A(?:{pattern})\z"), name).otherwise(kind)
+    return kind
 
 
 def entities(text: Column) -> Column:
     """The entities of a text in order, as strings."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    hint = reduce(Column.__or__, (text.rlike(h) for h in _HINTS))
+    return F.when(hint, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _seed(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -179,7 +178,11 @@ def _parts(value: Column, kind: Column) -> Column:
 
     compact = F.regexp_replace(value, r"[ ()-]", "")
     norm = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "phone", "ssn", "iban"), compact).otherwise(value)
-    return F.when(kind == "name", F.transform(words, word)).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), value.alias("raw"))))
+    label = F.regexp_extract(value, rf"\A{_SECRET_LABEL}", 0)
+    rest = F.substr(value, F.length(label) + 1, F.length(value))
+    nothing = F.lit(None).cast("string")
+    secret = F.array(F.struct(nothing.alias("kind"), label.alias("norm"), label.alias("raw")), F.struct(F.lit("secret").alias("kind"), rest.alias("norm"), rest.alias("raw")))
+    return F.when(kind == "name", F.transform(words, word)).when(kind == "secret", secret).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"), value.alias("raw"))))
 
 
 def surrogate(key: str, kind: Column, norm: Column, raw: Column, attempt: Column) -> Column:
