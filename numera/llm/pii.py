@@ -14,6 +14,7 @@ of the corpus being left as they are.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,7 @@ _START = r"(?<![\p{L}\p{N}])"
 _SECRET_LABEL = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Pp]asswd|(?:[Aa]pi|API|[Aa]ccess|ACCESS)[_-]?(?:[Kk]ey|KEY))[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 #: Entity types in the order in which they are tried, and their patterns.
 PATTERNS = {
-    "secret": rf"{_SECRET_LABEL}[A-Za-z0-9_+/=.~-]{{8,}}|{_START}(?:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}})(?![\p{{L}}\p{{N}}])",
+    "secret": rf"{_SECRET_LABEL}[A-Za-z0-9_+/=.~-]{{8,}}|{_START}(?=[A-Za-z_-]*[0-9])(?:[0-9a-f]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}})(?![\p{{L}}\p{{N}}])",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": rf"{_START}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -56,8 +57,20 @@ PATTERNS = {
 #: The same for a string that is an entity and nothing else: without what they look at around it.
 _WHOLE = {kind: re.sub(r"\(\?<?!(?:\[(?:\\.|[^\]])*\]|\\.|[^()\[\]])*\)", "", pattern) for kind, pattern in PATTERNS.items()}
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has one of these somewhere.
-_HINTS = (r"[0-9@]", _SECRET_LABEL, rf"{_START}(?=[\p{{Lu}}г])(?:{_TITLE}|{_NAME})\s")
+#: Words that labels of secrets contain, in lower case.
+_LABEL_WORDS = ("token", "secret", "passw", "key")
+_NAME_HINT = rf"{_START}(?=[\p{{Lu}}г])(?:{_TITLE}|{_NAME})\s"
+
+
+def _hinted(text: Column) -> Column:
+    """Cheap tests of which every text with an entity passes one: a digit or @, a label, a title or name."""
+    label = reduce(Column.__or__, (F.lower(text).contains(w) for w in _LABEL_WORDS)) & text.rlike("[=:]")
+    return text.rlike("[0-9@]") | label | text.rlike(_NAME_HINT)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _kind(value: Column) -> Column:
@@ -70,8 +83,7 @@ def _kind(value: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """The entities of a text in order, as strings."""
-    hint = reduce(Column.__or__, (text.rlike(h) for h in _HINTS))
-    return F.when(hint, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(_hinted(text), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _seed(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
@@ -92,33 +104,45 @@ def _characters(value: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.substr(value, i, F.lit(1)))
 
 
-def _alike(value: Column, seed: Column) -> Column:
-    """Each digit, capital and small letter replaced by one of its kind; the rest stays."""
+def _alike(value: Column, seed: Column, fixed: int = 1 << 30, codes: tuple[int, ...] = ()) -> Column:
+    """Each digit, capital and small letter replaced by one of its kind; the rest stays.
+
+    Characters are counted from the right, separators left out, so that the
+    same number is replaced alike however it is grouped. Those from ``fixed``
+    on stay; at the places ``codes`` no 0 or 1 may stand.
+    """
 
     def one(c: Column, i: Column) -> Column:
-        b = _byte(seed, i) + i
-        return F.when(c.rlike("[0-9]"), _pick("0123456789", b)).when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
+        place = F.length(F.regexp_replace(F.substr(value, i + 2, F.length(value)), r"[^\p{L}\p{N}]+", ""))
+        b = _byte(seed, place) + place
+        digit = F.when(place.isin(*codes), _pick("23456789", b)).otherwise(_pick("0123456789", b)) if codes else _pick("0123456789", b)
+        drawn = F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{Lu}"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", b)).otherwise(c)
+        return F.when(place >= fixed, c).otherwise(drawn)
 
     return F.array_join(F.transform(_characters(value), one), "")
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a string of digits."""
-    n = F.length(digits)
 
-    def one(c: Column, i: Column) -> Column:
-        d = c.cast("int") * F.when(F.pmod(n - 1 - i, F.lit(2)) == 1, 2).otherwise(1)
-        return F.when(d > 9, d - 9).otherwise(d)
+    def of(own: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            d = c.cast("int") * F.when(F.pmod(F.size(own) - 1 - i, F.lit(2)) == 1, 2).otherwise(1)
+            return F.when(d > 9, d - 9).otherwise(d)
+
+        return F.aggregate(F.transform(own, one), F.lit(0), lambda a, x: a + x)
 
-    return F.aggregate(F.transform(_characters(digits), one), F.lit(0), lambda a, x: a + x)
+    return _let(_characters(digits), of)
 
 
 def _card(value: Column, seed: Column) -> Column:
-    drawn = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_alike(value, seed), F.lit(2), F.length(value)))
-    head = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
-    open_sum = _luhn(F.concat(F.regexp_replace(head, r"\D", ""), F.lit("0")))
-    valid = F.concat(head, F.pmod(-open_sum, F.lit(10)).cast("string"))
-    return F.when(F.pmod(_luhn(F.regexp_replace(value, r"\D", "")), F.lit(10)) == 0, valid).otherwise(drawn)
+    def of(drawn: Column) -> Column:
+        head = F.substr(drawn, F.lit(1), F.length(drawn) - 1)
+        open_sum = _luhn(F.concat(F.regexp_replace(head, r"\D", ""), F.lit("0")))
+        valid = F.concat(head, F.pmod(-open_sum, F.lit(10)).cast("string"))
+        return F.when(F.pmod(_luhn(F.regexp_replace(value, r"\D", "")), F.lit(10)) == 0, valid).otherwise(drawn)
+
+    return _let(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_alike(value, seed), F.lit(2), F.length(value))), of)
 
 
 def _ip(seed: Column) -> Column:
@@ -127,11 +151,8 @@ def _ip(seed: Column) -> Column:
 
 
 def _phone(value: Column, seed: Column) -> Column:
-    country = F.regexp_extract(value, r"^(\+\d{1,3})(?=[ .(-])", 1)
-    rest = F.substr(value, F.length(country) + 1, F.length(value))
-    # area and exchange codes don't begin with 0 or 1
-    first = F.regexp_replace(_alike(rest, seed), r"(?<!\d)[01](?=\d{2})", "5")
-    return F.concat(country, first)
+    """Digits before the last ten are the country's; area and exchange codes don't begin with 0 or 1."""
+    return _alike(value, seed, fixed=10, codes=(9, 6))
 
 
 def _email(value: Column, seed: Column, key: str) -> Column:
@@ -187,14 +208,16 @@ def _parts(value: Column, kind: Column) -> Column:
 
 def surrogate(key: str, kind: Column, norm: Column, raw: Column, attempt: Column) -> Column:
     """What replaces ``raw``, a mention of the entity ``norm``."""
-    seed = _seed(key, kind, norm, attempt)
     gender = F.when(kind.startswith("given_"), F.substr(kind, F.lit(7), F.lit(1))).otherwise("n")
-    out = F.when(kind.isNull(), raw)
-    for name, made in (("email", _email(raw, seed, key)), ("ip", _ip(seed)), ("card", _card(raw, seed)), ("phone", _phone(raw, seed)), ("secret", _secret(raw, seed))):
-        out = out.when(kind == name, made)
-    out = out.when(kind == "iban", F.concat(F.substr(raw, F.lit(1), F.lit(2)), F.substr(_alike(raw, seed), F.lit(3), F.length(raw))))
-    out = out.when((kind == "surname") | kind.startswith("given_"), _made_up(raw, seed, gender, attempt))
-    return out.otherwise(_alike(raw, seed))
+
+    def of(seed: Column) -> Column:
+        out = F.when(kind == "email", _email(raw, seed, key)).when(kind == "ip", _ip(seed)).when(kind == "card", _card(raw, seed))
+        out = out.when(kind == "phone", _phone(raw, seed)).when(kind == "secret", _secret(raw, seed))
+        out = out.when(kind == "iban", F.concat(F.substr(raw, F.lit(1), F.lit(2)), F.substr(_alike(raw, seed), F.lit(3), F.length(raw))))
+        out = out.when((kind == "surname") | kind.startswith("given_"), _made_up(raw, seed, gender, attempt))
+        return out.otherwise(_alike(raw, seed))
+
+    return F.when(kind.isNull(), raw).otherwise(_let(_seed(key, kind, norm, attempt), of))
 
 
 def _norm_of_surrogate(kind: Column, value: Column) -> Column:
@@ -225,7 +248,7 @@ def attempts(parts: DataFrame, key: str) -> DataFrame:
 
 
 def _mentions(found: Column) -> Column:
-    return F.transform(found, lambda v: _parts(v, _kind(v)))
+    return F.transform(found, lambda v: _let(_kind(v), lambda kind: _parts(v, kind)))
 
 
 def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -239,7 +262,7 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
     rows = rows.withColumn("found", entities(F.coalesce("text", F.lit(""))))
-    parts = rows.where(F.size("found") > 0).select("k1", "k2", F.explode("found").alias("v")).select("k1", "k2", F.explode(_parts(F.col("v"), _kind(F.col("v")))).alias("p")).select("k1", "k2", "p.kind", "p.norm", "p.raw")
+    parts = rows.where(F.size("found") > 0).select("k1", "k2", F.explode("found").alias("v")).select("k1", "k2", F.explode(_let(_kind(F.col("v")), lambda kind: _parts(F.col("v"), kind))).alias("p")).select("k1", "k2", "p.kind", "p.norm", "p.raw")
     again = attempts(parts.select("kind", "norm", "raw"), key)
     rows = rows.withColumn("mentions", _mentions(F.col("found")))
     if again.limit(1).count():
@@ -251,7 +274,9 @@ def replace(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key
     else:
         attempt = lambda p: F.lit(0)
     made = F.transform("mentions", lambda ps: F.array_join(F.transform(ps, lambda p: surrogate(key, p["kind"], p["norm"], p["raw"], attempt(p))), ""))
-    between = F.split("text", _ANY, -1)
-    joined = F.array_join(F.concat(F.slice(between, 1, 1), F.flatten(F.zip_with(made, F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda m, b: F.array(m, b)))), "")
+    # a text without entities is not cut
+    between = F.split(F.when(F.size("found") > 0, F.col("text")).otherwise(""), _ANY, -1)
+    woven = lambda own: F.array_join(F.concat(F.slice(own, 1, 1), F.flatten(F.zip_with(made, F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda m, b: F.array(m, b)))), "")
+    joined = _let(between, woven)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten("mentions"), lambda p: F.regexp_replace(p["kind"], "^(given_.|surname)$", "name")), lambda k: k.isNotNull()))), " ")
     return rows.select("doc_id", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("text"), F.size("found").alias("n_entities"), kinds.alias("kinds"))
