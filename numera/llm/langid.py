@@ -27,7 +27,6 @@ HASH_BITS = 15
 SAMPLE = 1000
 #: Characters that are hashed at a time.
 _CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -64,7 +63,7 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not _LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         tf = gram_counts(text)
         x = np.log1p(tf) * self.idf

@@ -31,6 +31,8 @@ BLOCK_WORDS = 16
 #: Documents that a shard has, about.
 SHARD_DOCS = 2000
 SEED = 42
+#: A quota beyond what any source holds.
+ALL = 1 << 60
 
 
 def n_words(text: Column) -> Column:
@@ -93,17 +95,17 @@ def source_quotas(sources: pd.DataFrame, block: int = BLOCK_WORDS) -> pd.DataFra
     sizes = [int(x) for x in sources["source_size"]]
     target = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))])
     full = [t >= MOST_REPEATS * s for t, s in zip(target, sizes)]
-    quota = [-(-MOST_REPEATS * s // block) if f else 0 for s, f in zip(sizes, full)]
-    open_words = sum(t for t, f in zip(target, full) if not f)
-    seats = sainte_lague([0.0 if f else t for t, f in zip(target, full)], round(open_words / block))
-    return sources.assign(target=target, quota=[q if f else s for q, s, f in zip(quota, seats, full)])
+    open_words = sum(sizes) - sum(MOST_REPEATS * s for s, f in zip(sizes, full) if f)
+    seats = sainte_lague([0.0 if f else t for t, f in zip(target, full)], (2 * open_words + block) // (2 * block))
+    return sources.assign(target=target, quota=[ALL if f else s for s, f in zip(seats, full)])
 
 
 def _shard_quotas(block: int):
     def run(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("shard", ignore_index=True)
         sizes = shards["shard_size"].astype(int).tolist()
-        quota = sainte_lague(sizes, int(shards["quota"].iloc[0]), [-(-MOST_REPEATS * s // block) for s in sizes])
+        most = [-(-MOST_REPEATS * s // block) for s in sizes]
+        quota = sainte_lague(sizes, min(int(shards["quota"].iloc[0]), sum(most)), most)
         return shards.assign(words=[min(q * block, MOST_REPEATS * s) for q, s in zip(quota, sizes)])[["sid", "shard", "shard_size", "words"]]
 
     return run
@@ -116,7 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     texts without a word. A null source is a source of its own, after all
     others. Rows that repeat are rows of their own; which of two equal rows is
     taken more often does not show. An empty table gives an empty result. The
-    order inside a shard depends on the seed, id and text alone, so reruns agree.
+    order inside a shard is that of a hash of seed and id, then of a row key, so reruns agree.
     """
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), k1.alias("k1"), k2.alias("k2"))
@@ -126,8 +128,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = source_quotas(pd.DataFrame([(r["source"], r["source_size"], r["docs"]) for r in per_source], columns=["source", "source_size", "docs"]).astype({"source": object}), block)
     rows = [(i, None if pd.isna(r.source) else r.source, int(r.source_size), float(r.target), int(r.quota), max(1, -(-int(r.docs) // shard_docs))) for i, r in enumerate(sources.itertuples())]
     shares = docs.sparkSession.createDataFrame(rows, "sid long, source string, source_size long, target double, quota long, shards long")
-    turn = F.xxhash64(F.lit(seed), "k1", "k2")
-    dealt = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).drop(shares["source"]).withColumn("turn", turn).withColumn("shard", F.pmod(F.xxhash64("turn", F.lit("shard")), F.col("shards")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+    number = F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:shard:"), name).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    dealt = sized.join(shares, sized["source"].eqNullSafe(shares["source"])).drop(shares["source"]).withColumn("turn", turn).withColumn("shard", F.pmod(number, F.col("shards")))
     quotas = dealt.groupBy("sid", "shard", "quota").agg(F.sum("size").alias("shard_size")).groupBy("sid").applyInPandas(_shard_quotas(block), "sid long, shard long, shard_size long, words long")
     taken = dealt.join(quotas, ["sid", "shard"])
     ring = Window.partitionBy("sid", "shard").orderBy("turn", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -151,3 +155,52 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     kept = docs.withColumn("__k1", k1).withColumn("__k2", k2)
     kept = kept.join(times, (kept["__k1"] == times["k1"]) & (kept["__k2"] == times["k2"]))
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
+def oracle_sql(block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> str:
+    """``mix`` of documents with distinct ids in DuckDB's SQL.
+
+    Sources below three times their size are found in the order of size by
+    weight; seats that a divisor gives safely are topped up by the highest
+    quotients, for sources and then for shards.
+    """
+
+    def apportioned(name: str, rows: str, key: str, party: str, most: str) -> str:
+        own = f"PARTITION BY {key}"
+        return f"""
+{name}_safe AS (
+    SELECT *, least({most}, CASE WHEN seats > 0 AND votes > 0 AND seats - count(*) OVER ({own}) / 2.0 > 0
+        THEN floor(votes * (seats - count(*) OVER ({own}) / 2.0) / sum(votes) OVER ({own}) + 0.5) ELSE 0 END)::BIGINT AS won
+    FROM {rows}),
+{name}_open AS (SELECT *, count(*) OVER ({own}) AS parties, seats - sum(won) OVER ({own}) AS unfilled FROM {name}_safe),
+{name}_top AS (
+    SELECT {key}, {party}, count(*) AS more FROM (
+        SELECT {key}, {party}, unfilled, row_number() OVER ({own} ORDER BY votes / (2 * s + 1) DESC, {party}) AS place
+        FROM (SELECT *, unnest(range(won, least({most}, won + parties + 1)::BIGINT)) AS s FROM {name}_open WHERE votes > 0))
+    WHERE place <= unfilled GROUP BY {key}, {party}),
+{name} AS (SELECT o.*, o.won + coalesce(t.more, 0) AS blocks FROM {name}_open o LEFT JOIN {name}_top t USING ({key}, {party}))"""
+
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(i % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s)),
+c AS (SELECT *, sum(source_size) OVER () - {MOST_REPEATS} * coalesce(sum(source_size) OVER p, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS weight_left
+      FROM w WINDOW p AS (ORDER BY source_size / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, words_left * weight > {MOST_REPEATS} * source_size * weight_left AS is_over FROM c),
+t AS (SELECT *, (CASE WHEN is_over THEN {MOST_REPEATS} * source_size
+        ELSE (sum(source_size) OVER () - {MOST_REPEATS} * sum(CASE WHEN is_over THEN source_size ELSE 0 END) OVER ()) * weight / sum(CASE WHEN is_over THEN 0 ELSE weight END) OVER () END)::DOUBLE AS target FROM f),
+v AS (SELECT 0 AS g, i, source, source_size, docs, target, target >= {MOST_REPEATS} * source_size AS is_full,
+        CASE WHEN target >= {MOST_REPEATS} * source_size THEN 0 ELSE target END AS votes,
+        ((2 * (sum(source_size) OVER () - {MOST_REPEATS} * sum(CASE WHEN target >= {MOST_REPEATS} * source_size THEN source_size ELSE 0 END) OVER ()) + {block}) // {2 * block})::BIGINT AS seats FROM t),
+{apportioned("q", "v", "g", "i", "seats")},
+e AS (SELECT d.*, q.i, q.source_size, q.target, q.is_full, q.blocks AS source_blocks,
+        ('0x' || substr(md5('{seed}:shard:' || doc_id), 1, 8))::BIGINT % greatest(1, ceil(q.docs / {shard_docs}))::BIGINT AS shard
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT i, shard, sum(size)::BIGINT AS votes, any_value(is_full) AS full_source, any_value(source_blocks) AS seats, ceil({MOST_REPEATS} * sum(size) / {block})::BIGINT AS most FROM e GROUP BY i, shard),
+{apportioned("r", "h", "i", "shard", "most")},
+x AS (SELECT i, shard, votes AS shard_size, CASE WHEN full_source THEN {MOST_REPEATS} * votes ELSE least(blocks * {block}, {MOST_REPEATS} * votes) END::BIGINT AS words FROM r),
+y AS (SELECT e.*, x.shard_size, x.words, sum(size) OVER (PARTITION BY i, shard ORDER BY md5('{seed}:' || doc_id) ROWS UNBOUNDED PRECEDING) AS upto FROM e JOIN x USING (i, shard))
+SELECT doc_id, size, source_size, target,
+       CASE WHEN shard_size = 0 THEN 0 ELSE words // shard_size * size + least(size, greatest(0, words % shard_size - upto + size)) END::BIGINT AS taken
+FROM y
+"""

@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_licenses": licenses.oracle_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op5_licenses": licenses.oracle_sql(), "op10_mixing": mixing.oracle_sql()}
