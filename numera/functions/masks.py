@@ -165,5 +165,45 @@ def serialised_coordinates(coordinates: DataFrame) -> DataFrame:
     return coordinates.select("residue", text.alias("document"))
 
 
+def wheel_840_symmetries(coordinates: DataFrame) -> DataFrame:
+    """One row: units, and how many break a symmetry. Times 673 advances the channel phase, turns the
+    vertex and stays in the tesseract; times -1 flips the vertex's lowest bit and stays there."""
+    own = coordinates.select("residue", "tesseract_index", "channel_phase", "vertex")
+
+    def moved(by: int, prefix: str) -> DataFrame:
+        names = {c: f"{prefix}_{c}" for c in ("tesseract_index", "channel_phase", "vertex")}
+        images = coordinates.select((F.col("residue") * pow(by, -1, WHEEL_840) % WHEEL_840).alias("residue"), *(F.col(c).alias(n) for c, n in names.items()))
+        return images
+
+    rows = own.join(moved(673, "turned"), "residue").join(moved(WHEEL_840 - 1, "mirrored"), "residue")
+    turned = F.expr("((vertex & 3) | shiftleft(vertex & 4, 1) | shiftright(vertex & 8, 1)) ^ 4")
+    bad_turn = (F.col("turned_tesseract_index") != F.col("tesseract_index")) | (F.col("turned_channel_phase") != (F.col("channel_phase") + 1) % 4) | (F.col("turned_vertex") != turned)
+    bad_mirror = (F.col("mirrored_tesseract_index") != F.col("tesseract_index")) | (F.col("mirrored_vertex") != F.col("vertex").bitwiseXOR(F.lit(1)))
+    return rows.agg(F.count("*").alias("units"), F.count_if(bad_turn).alias("bad_turns"), F.count_if(bad_mirror).alias("bad_mirrors"))
+
+
+def sieve_seeds(primes: DataFrame) -> DataFrame:
+    """(p, first_composite, block_index, residue, quotient_residue, wheel_phase) for primes from 11 on:
+    where striking begins, and the place of p among the wheel's units."""
+    p = F.col("p")
+    phase = F.array_position(long_array(coprime_units(WHEEL_840)), p % WHEEL_840) - 1
+    return primes.where(p >= 11).select("p", (p * p).alias("first_composite"), div(p * p, WHEEL_840).alias("block_index"), (p * p % WHEEL_840).alias("residue"), (p % WHEEL_840).alias("quotient_residue"), phase.alias("wheel_phase"))
+
+
+def mask_mismatches(sheet: DataFrame) -> DataFrame:
+    """Rows of a mask sheet (row_number, prime, cleaned_mask, full_mask, symbol_order) that differ from what the prime gives, with the columns that do."""
+    own = mask_strings(sheet.select(F.col("prime").alias("p")).distinct()).select(F.col("p").alias("prime"), *(F.col(c).alias(f"own_{c}") for c in ("cleaned_mask", "full_mask", "symbol_order")))
+    wrong = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"own_{c}")), F.lit(c)) for c in ("cleaned_mask", "full_mask", "symbol_order"))))
+    return sheet.join(own, "prime", "left").select("row_number", "prime", wrong.alias("differing")).where(F.size("differing") > 0)
+
+
+def research_documents(primes: DataFrame) -> DataFrame:
+    """(p, document): masks, events and sieve seed of each prime as JSON."""
+    events = mask_events(primes).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("multiplier", "value", "position", "channel", "symbol", "wheel_eligible"))).alias("events"))
+    rows = mask_strings(primes).join(events, "p").join(sieve_seeds(primes).withColumnRenamed("residue", "seed_residue"), "p", "left")
+    seed = F.struct("first_composite", "block_index", F.col("seed_residue").alias("residue"), "quotient_residue", "wheel_phase")
+    return rows.select("p", F.to_json(F.struct(F.col("p").alias("prime"), "full_mask", "cleaned_mask", "symbol_order", "events", seed.alias("sieve_seed"))).alias("document"))
+
+
 def coprime_units(modulus: int) -> list[int]:
     return [r for r in range(modulus) if math.gcd(r, modulus) == 1]

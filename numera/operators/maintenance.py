@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from numera.operators.archive import index
-from numera.plans.segments import ranked
+from numera.operators.sieve import base_primes, window_primes
+from numera.plans.segments import SEGMENT, base_limit, ranked
 
 
 def missing(expected: DataFrame, present: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -65,6 +69,26 @@ def repair_check(rebuilt: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(own, "chunk_id", "left").select("chunk_id", F.coalesce(fine, F.lit(False)).alias("fine"))
 
 
+def rebuild(ranges: DataFrame, width: int = SEGMENT) -> DataFrame:
+    """(chunk_id, p) of lost chunks, sieved anew from rows (chunk_id, first_prime, last_prime).
+
+    Ranges are cut into segments that are dealt out evenly; one row with the
+    highest bound reaches the driver.
+    """
+    highest = ranges.agg(F.max("last_prime")).first()[0]
+    base = base_primes(base_limit((highest or 0) + 1))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for chunk, lo, hi in frame.itertuples(index=False):
+                found = window_primes(int(lo), int(hi), base)
+                yield pd.DataFrame({"chunk_id": [chunk] * len(found), "p": found}).astype("int64")
+
+    parts = ranges.where("first_prime is not null").select("chunk_id", "first_prime", "last_prime", F.explode(F.expr(f"sequence(first_prime div {width}, last_prime div {width})")).alias("s"))
+    parts = parts.select("chunk_id", F.greatest("first_prime", F.col("s") * width).alias("lo"), (F.least("last_prime", (F.col("s") + 1) * width - 1) + 1).alias("hi"))
+    return parts.repartition("chunk_id", "lo").mapInPandas(run, "chunk_id long, p long")
+
+
 def coverage(wheel: DataFrame, expected_chunks: int) -> DataFrame:
     """One row: chunks on disk, missing ids of 0 to expected - 1, whether all is there."""
     spark = wheel.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numera.functions import integers, masks
-from numera.operators import archive, maintenance, primality, selectors, sieve, successor
+from numera.operators import archive, groups, maintenance, primality, selectors, sieve, successor
 from numera.plans.segments import ranked
 
 #: Primes in a chunk of the archive that the queries build from the order keys.
@@ -351,6 +351,34 @@ def wheel840_bijection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("units"), F.countDistinct("address").alias("addresses"), F.min("address").cast("long").alias("lowest"), F.max("address").cast("long").alias("highest"))
 
 
+@_query("SELECT 192::BIGINT AS units, 0::BIGINT AS bad_turns, 0::BIGINT AS bad_mirrors")
+def wheel840_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.wheel_840_symmetries(masks.wheel_840_coordinates(masks.wheel_840_units(spark)))
+
+
+@_query(f"WITH {_MASK_PRIMES}, u AS (SELECT r.r AS unit, row_number() OVER (ORDER BY r.r) - 1 AS phase FROM range(0, 840) r(r) WHERE gcd(r.r, 840) = 1) SELECT p, p * p AS first_composite, p * p // 840 AS block_index, p * p % 840 AS residue, p % 840 AS quotient_residue, phase AS wheel_phase FROM mask_primes JOIN u ON p % 840 = unit")
+def sieve_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.sieve_seeds(_mask_primes(spark))
+
+
+@_query("SELECT 1152::BIGINT AS group_order, 12::BIGINT AS coxeter_order, 2::BIGINT AS coxeter_orbits, 96::BIGINT AS order_twelve_elements, 12::BIGINT AS least_centralizer, 12::BIGINT AS largest_centralizer, 0::BIGINT AS foreign_involutions, 4::BIGINT AS twisted_generators, 1152::BIGINT AS duality_frames, 2::BIGINT AS dual_square_roots")
+def reflection_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.summary(spark)
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p FROM chunks WHERE chunk_id = {LOST_CHUNK}")
+def repair_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lost chunk sieved anew from its row of the index."""
+    whole = archive.index(_chunks(spark, sf_dir))
+    lost = maintenance.missing(whole, _gapped(spark, sf_dir))
+    return maintenance.rebuild(whole.join(lost, "chunk_id"))
+
+
+@_query()
+def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.research_documents(_mask_primes(spark))
+
+
 _PACKED = "SELECT CASE o_orderkey % 10 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS class_index, o_orderkey // 600 AS block, bit_or(1::BIGINT << (o_orderkey // 10 % 60)::INT) AS selector FROM orders WHERE o_orderkey % 10 IN (1, 3, 7, 9) GROUP BY 1, 2"
 
 
