@@ -78,9 +78,9 @@ def coxeter_element() -> tuple[int, ...]:
 
 
 def elements(spark: SparkSession) -> DataFrame:
-    """(element, order): the whole group."""
-    rows = [(list(p), order(p)) for p in sorted(closure(simple_reflections()))]
-    return spark.createDataFrame(rows, "element array<int>, order int")
+    """(element, order, sixth): the whole group, with each element's sixth power."""
+    rows = [(list(p), order(p), list(power(p, 6))) for p in sorted(closure(simple_reflections()))]
+    return spark.createDataFrame(rows, "element array<int>, order int, sixth array<int>")
 
 
 def _product(a, b):
@@ -91,12 +91,9 @@ def centralizers(group: DataFrame, of: DataFrame) -> DataFrame:
     """(element, n, involutions): how many of the group commute with each element of ``of``, and how
     many of them are involutions other than its own sixth power's. Both tables have fixed sizes."""
     e, x = F.col("element"), F.col("other")
-    pairs = group.select(F.col("element").alias("other"), F.col("order").alias("other_order")).join(F.broadcast(of.select("element")), F.lit(True))
+    pairs = group.select(F.col("element").alias("other"), F.col("order").alias("other_order")).join(F.broadcast(of.select("element", "sixth")), F.lit(True))
     commuting = pairs.where(_product(x, e) == _product(e, x))
-    sixth = e
-    for _ in range(5):
-        sixth = _product(sixth, e)
-    foreign = (F.col("other_order") == 2) & (x != sixth)
+    foreign = (F.col("other_order") == 2) & (x != F.col("sixth"))
     return commuting.groupBy("element").agg(F.count("*").alias("n"), F.sum(foreign.cast("int")).alias("involutions"))
 
 

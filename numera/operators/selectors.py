@@ -41,7 +41,7 @@ def popcount(words: DataFrame) -> DataFrame:
 
 def checksum(rows: DataFrame) -> DataFrame:
     """One row: the sum of all channel values (20 times the periods) modulo 2^64, as decimal(20)."""
-    total = F.sum(F.col("period").cast("decimal(38,0)") * 20) % F.lit(2**64).cast("decimal(20,0)")
+    total = F.sum(F.col("period").cast("decimal(38,0)") * 20) % F.lit(str(2**64)).cast("decimal(20,0)")
     return rows.agg(F.coalesce(total, F.lit(0)).cast("decimal(20,0)").alias("checksum"))
 
 

@@ -78,7 +78,7 @@ mask_primes AS (SELECT n.n AS p FROM range(11, {MASK_LIMIT + 1}) n(n)
                 WHERE NOT EXISTS (SELECT 1 FROM range(2, 30) d(d) WHERE d.d * d.d <= n.n AND n.n % d.d = 0)),
 positions AS (
     SELECT p, k.k, [10 * k.k + 1, 10 * k.k + 3, 10 * k.k + 7, 10 * k.k + 9] AS candidates,
-           list_filter([1, 3, 7, 9], d -> (10 * k.k + d) % p = 0) AS struck_digits,
+           [d FOR d IN [1, 3, 7, 9] IF (10 * k.k + d) % p = 0] AS struck_digits,
            substr('0123456789abcdef', (16 - CASE WHEN (10 * k.k + 1) % p = 0 THEN 8 ELSE 0 END - CASE WHEN (10 * k.k + 3) % p = 0 THEN 4 ELSE 0 END
                - CASE WHEN (10 * k.k + 7) % p = 0 THEN 2 ELSE 0 END - CASE WHEN (10 * k.k + 9) % p = 0 THEN 1 ELSE 0 END)::INT, 1) AS symbol
     FROM mask_primes, LATERAL (SELECT unnest(range(0, p)) AS k) k)"""
@@ -183,10 +183,10 @@ def missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.missing(_chunks(spark, sf_dir), _gapped(spark, sf_dir))
 
 
-@_query("WITH d AS (SELECT DISTINCT l_suppkey * 3 + l_linenumber AS id FROM lineitem), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM d) SELECT min(id) AS first, max(id) AS last, count(*) AS n FROM g GROUP BY g.g")
+@_query("WITH d AS (SELECT DISTINCT l_partkey * 11 + l_linenumber AS id FROM lineitem), g AS (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM d) SELECT min(id) AS first, max(id) AS last, count(*) AS n FROM g GROUP BY g.g")
 def chunk_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive ids."""
-    return maintenance.islands(_table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 3 + F.col("l_linenumber")).alias("id")))
+    return maintenance.islands(_table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 11 + F.col("l_linenumber")).alias("id")))
 
 
 @_query(f"WITH {_PRIMES}, g AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM primes), r AS (SELECT min(p) AS a, max(p) AS b FROM g GROUP BY g.g) SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM r")

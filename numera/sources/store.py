@@ -42,7 +42,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tsv_index(spark: SparkSession, path: str, schema: str = WHEEL_INDEX) -> DataFrame:
     """An older index: tab-separated with a header; lines of another width are left out."""
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    # without a look at all columns a count would not see that a line is short
+    return rows.dropna()
 
 
 def last_prime_of_index(rows: DataFrame) -> DataFrame:
