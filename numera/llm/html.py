@@ -78,32 +78,40 @@ def page_lines(html: str | None) -> list[Line]:
     html = html or ""
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []
-    text: list[str] = []
+    text: list[tuple[str, bool]] = []
 
     def flush() -> None:
-        if text:
-            joined = " ".join(references.unescape("".join(text)).split())
-            text.clear()
-            if joined:
-                lines.append(Line(joined, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2], "/".join(t for t, _, _ in stack)))
+        """End the block: furniture inside a line of its own text is left out of it."""
+        own = [t for t, furniture in text if not furniture]
+        if not "".join(own).strip():
+            own = [t for t, _ in text]
+        joined = " ".join(references.unescape("".join(own)).split())
+        furniture = bool(text) and all(f for t, f in text if t.strip())
+        text.clear()
+        if joined:
+            lines.append(Line(joined, bool(stack) and stack[-1][1], furniture, "/".join(t for t, _, _ in stack)))
+
+    def add(piece: str) -> None:
+        text.append((piece, bool(stack) and stack[-1][2]))
 
     def close(tags: str, within: int = 0) -> None:
         for k in range(len(stack) - 1, within - 1, -1):
             if stack[k][0] in tags.split():
-                flush()
+                if any(t in _BLOCK for t, _, _ in stack[k:]):
+                    flush()
                 del stack[k:]
                 return
 
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
         tag = m[3].lower()
         if tag == "br":
-            text.append("\n")
+            add("\n")
             continue
         if tag in _BLOCK:
             flush()
@@ -120,7 +128,7 @@ def page_lines(html: str | None) -> list[Line]:
             article, furniture = stack[-1][1:] if stack else (False, False)
             stack.append((tag, article or tag in _ARTICLE, furniture or _is_furniture(tag, m[4], article)))
     if at < len(html):
-        text.append(html[at:])
+        add(html[at:])
     flush()
     return lines
 
