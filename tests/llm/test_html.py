@@ -23,6 +23,7 @@ def table(spark, rows, parts=2):
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
         ("<article><header><h1>T</h1></header><p>b <a title='>'>c</a> <b>d</b>e</p><div class='ad'>buy</div></article>", "T\nb c de"),
         ("<p hidden>no</p><p>yes &#x41;&eacute;&nbsp;z</p>", "yes Aé z"),
+        ("<p>a<span class=ad>buy</span>b <i>c</i></p><p><span class=promo>x</span></p>", "ab c"),
         ("", ""), (None, ""), ("no markup", "no markup"), ("<<>>", "<<>>"),
     ],
 )
