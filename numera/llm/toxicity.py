@@ -29,8 +29,6 @@ PREFIXES = (4, 5, 6)
 #: Bound of the training sample: documents for each label.
 SAMPLE = 2500
 FEATURES = 20_000
-#: Chi-square of presence against label from which on a term is a feature.
-LEAST_CHI = 30
 FACTORS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -70,13 +68,18 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int = 200, rate: float = 0.05, decay: float = 1e-2) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None, seed: int = 42, epochs: int = 120, rate: float = 0.05, decay: float = 1e-2, pair_decay: float = 1e-2) -> Machine:
     """Logistic loss, full-batch Adam on the features that a chi-square test picks.
 
-    Both labels weigh the same. Without rows of both labels there is nothing
-    to learn: the score is the share of label 1, or 0 without any row.
+    ``share`` is that of label 1 among all labelled documents, by default among
+    the rows. The labels' weights have the square root of its odds: less than
+    even, so that a document without a telling term is taken for what most are,
+    but more than their numbers, so that the rare label is learned. Without rows
+    of both labels there is nothing to learn: the score is the rows' share of
+    label 1, or 0 without any row.
     """
     n, toxic = len(rows), int(labels.sum())
+    share = share if share is not None else toxic / max(n, 1)
     if toxic in (0, n):
         share = toxic / n if n else 0.0
         return Machine(np.zeros(0, np.int64), 30.0 * (2 * share - 1), np.zeros(0), np.zeros((0, FACTORS)))
@@ -88,7 +91,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int
     # presence against label, two by two
     expected = seen * toxic / n
     chi = (hits - expected) ** 2 * n * n / np.maximum(1e-9, toxic * (n - toxic) * seen * (n - seen) / n)
-    good = np.flatnonzero((chi > LEAST_CHI) & (seen >= 3))
+    # so high that of all terms, if none were telling, about one would pass
+    good = np.flatnonzero((chi > 2 * np.log(len(terms)) + 2) & (seen >= 3))
     good = np.sort(good[np.argsort(-chi[good], kind="stable")[:FEATURES]])
     place = np.full(len(terms), -1)
     place[good] = np.arange(len(good))
@@ -98,7 +102,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int
     d = len(good)
     theta = [np.zeros(1), np.zeros(d), rng.normal(0, 0.05, (d, FACTORS))]
     moments = [(np.zeros_like(t), np.zeros_like(t)) for t in theta]
-    cost = np.where(labels > 0, 0.5 / toxic, 0.5 / (n - toxic))
+    odds = np.sqrt(min(1.0, share / max(1e-9, 1 - share)))
+    cost = np.where(labels > 0, odds / toxic, 1 / (n - toxic)) / (1 + odds)
     for step in range(1, epochs + 1):
         bias, w, v = theta
         sums = np.stack([np.bincount(row, weights=v[col, f], minlength=n) for f in range(FACTORS)], axis=1)
@@ -107,7 +112,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 42, epochs: int
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * cost
         gw = np.bincount(col, weights=g[row], minlength=d)
         gv = np.stack([np.bincount(col, weights=g[row] * sums[row, f], minlength=d) for f in range(FACTORS)], axis=1) - v * gw[:, None]
-        for k, grad in enumerate((np.array([g.sum()]), gw + decay * w / max(d, 1), gv + decay * v / max(d, 1))):
+        for k, grad in enumerate((np.array([g.sum()]), gw + decay * w / max(d, 1), gv + pair_decay * v / max(d, 1))):
             m, s = moments[k]
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
@@ -135,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("doc_id", "toxic", "text")
     # an id that has several rows counts once, so that the sample keeps its bound
     got = picked.mapInArrow(_term_rows, "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")).toArrow()
+    of = {r["toxic"]: r["count"] for r in own.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
     order = sorted(zip(got.column("terms").to_pylist(), got.column("toxic").to_pylist()))
-    return fit([np.frombuffer(t, np.int32) for t, _ in order], np.array([x for _, x in order], float))
+    return fit([np.frombuffer(t, np.int32) for t, _ in order], np.array([x for _, x in order], float), of.get(1, 0) / max(1, sum(of.values())))
 
 
 def _scored(machine: Machine, text_col: str):
