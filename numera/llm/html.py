@@ -270,4 +270,5 @@ def extract(pages: DataFrame) -> DataFrame:
     ordered = checkpoint(keyed.repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2"))
     ends = [tuple(r) for r in ordered.mapInArrow(_ends, "part int, first_host string, first_keys binary, last_host string, last_keys binary").collect()]
     near = ordered.mapInArrow(_paired(ends), "k1 long, k2 long, near binary").dropDuplicates(["k1", "k2"])
-    return rows.join(near, ["k1", "k2"]).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    # a hash table of keys spares sorting the pages
+    return rows.join(near.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
