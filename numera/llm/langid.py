@@ -164,7 +164,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     # a hash leaves about 1.5 samples of each language, whatever its size, for the window to choose from
     turns = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn"))
     share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1.5 * sample) / F.col("n")).alias("share"))
-    turns = turns.join(share, "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    # a row for each language, of which the model itself has a column of weights
+    turns = turns.join(F.broadcast(share), "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("share") * 1_000_003)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id"))
     drawn = turns.withColumn("rank", rank).where(F.col("rank") <= sample)
     # the broadcast is bounded: at most ``sample`` ids for each language
