@@ -137,7 +137,9 @@ def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT, base: np.n
         return FastResult("probable_prime", rounds=0)
     base = base_primes(min(limit, TRIAL_LIMIT)) if base is None else base
     if n < 2**63:
-        hits = base[(n % base == 0) & (base != n)]
+        # the smallest divisor of a composite is at most its root
+        own = base[: np.searchsorted(base, math.isqrt(n), "right")]
+        hits = own[n % own == 0]
         if len(hits):
             return FastResult("composite", divisor=int(hits[0]))
     else:
