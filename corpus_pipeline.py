@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: toxicity, exact dedup, near-dedup, mixing, encoding.
+"""A training corpus from ``documents``: toxicity, exact dedup, near-dedup, similarity, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``. Results are written
@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numera.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from numera.llm import bpe, exact_dedup, mixing, simhash, similar, toxicity
 from numera.llm.common import table
 
 #: Scores from which on a document is rejected.
@@ -37,6 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.near_survivors(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group that pairs of 0.8 or more on five-word shingles connect."""
+    return similar.similar_survivors(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes their words."""
     return mixing.copies(docs)
@@ -47,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("similar_dedup", drop_similar), ("mixing", mix_sources), ("bpe", encode)]
 
 #: Training, SimHash and BPE are beyond SQL; the tests hold every stage against brute force.
 ORACLE_SQL = None

@@ -149,12 +149,12 @@ def ring_links(fps: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _pairs(lo: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(lo: np.ndarray, count: np.ndarray, chunk: int = _CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     own = np.flatnonzero(count)
     total = np.cumsum(count[own])
     at = 0
     while at < len(own):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, "right")))
         i, c = own[at:to], count[own[at:to]]
         step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         yield np.repeat(i, c), np.repeat(lo[i], c) + step

@@ -1,0 +1,209 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, found exactly by prefix filtering.
+
+Two sets of which the larger has n shingles reach the similarity t only if they
+share t n of them. So under one order of all shingles each set's first
+n - ceil(t n) + 1 must meet; sets meet by these, are dropped by size and by what
+their places leave to share, and what is left is compared whole. The order puts
+shingles that a sample of the corpus has often last: any order is exact, this one
+keeps the groups small. Pairs are compared by bitmaps of their sets first, which
+bound what they can share, and those inside a group that is linked already are
+not compared whole at all.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from numera.llm.common import checkpoint, row_keys
+from numera.llm.components import connected_components
+from numera.llm.simhash import _pairs, shingle_hashes
+
+SHINGLE = 5
+LEAST = 0.8
+#: Documents by which the order of shingles is chosen, and the most shingles that it names.
+ORDER_DOCS = 20_000
+ORDER_SHINGLES = 50_000
+#: Bits of a set's bitmap.
+BITMAP = 2048
+#: Pairs that are looked at at a time.
+_CHUNK = 1 << 17
+
+
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, sorted; none without a word."""
+    raw = (text or "").encode()
+    return np.unique(np.fromiter(shingle_hashes(raw, size), np.uint64).view(np.int64))
+
+
+def _needed(share: float, n):
+    return np.ceil(share * n - 1e-9)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The shingles of a set of which one must be in any set that reaches ``least`` with it, in order."""
+    weight = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        weight = np.where(common[at] == own, often[at], 0)
+    return own[np.lexsort((own, weight))][: len(own) - int(_needed(least, len(own))) + 1]
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+
+    return run
+
+
+def _all_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size))], ["shingle"])
+
+    return run
+
+
+def _prefixes(size: int, least: float, common: np.ndarray, often: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, held = batch.column("node").to_numpy(), []
+            for i, t in enumerate(batch.column("text")):
+                own = shingle_set(t.as_py(), size)
+                if len(own):
+                    first = prefix(own, common, often, least)
+                    held.append((first, np.full(len(first), nodes[i]), np.full(len(first), len(own), np.int32), np.arange(len(first), dtype=np.int32)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["shingle", "node", "n", "place"])
+
+    return run
+
+
+def _met(least: float):
+    """Pairs of rows with one shingle that size and place allow; the rows come sorted by shingle."""
+
+    def of(shingle: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.searchsorted(shingle, shingle, "right")
+        at = np.arange(len(shingle))
+        for i, j in _pairs(at + 1, ends - at - 1, _CHUNK):
+            rest = np.minimum(n[i] - place[i], n[j] - place[j])
+            fits = (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= _needed(least, np.maximum(n[i], n[j]))) & (rest >= _needed(least / (1 + least), n[i] + n[j]))
+            i, j = i[fits], j[fits]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(j == i + 1)], ["a", "b", "beside"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            # the last shingle's rows may go on in the next batch
+            whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            yield from of(*(x[:whole] for x in rows))
+            held = [x[whole:] for x in rows]
+        if held:
+            yield from of(*held)
+
+    return run
+
+
+def _bitmaps(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, sizes = [], []
+            for t in batch.column("text"):
+                own = shingle_set(t.as_py(), size)
+                bits = np.zeros(BITMAP, bool)
+                bits[own & (BITMAP - 1)] = True
+                packed.append(np.packbits(bits).tobytes())
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["node", "n", "bits"])
+
+    return run
+
+
+def _may_reach(least: float):
+    """Pairs that may share enough: of a set at least as many are missing from the other as bits of its bitmap are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for c in ("x", "y"))
+            both = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            yield batch.select(["a", "b", "beside"]).filter(pa.array(both >= _needed(least / (1 + least), n + m)))
+
+    return run
+
+
+def _reached(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_py(), np.int64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= _needed(least, len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_links(rows: DataFrame, size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (node, text) whose sets of shingles have a Jaccard similarity of ``least``
+    or more; they connect whatever all such pairs connect."""
+    every = max(1, -(-rows.count() // ORDER_DOCS))
+    # at most ORDER_SHINGLES rows reach the driver
+    often = rows.where(F.pmod("node", F.lit(every)) == 0).select("text").mapInArrow(_all_shingles(size), "shingle long").groupBy("shingle").count().where("count >= 4")
+    named = often.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).orderBy("shingle").toArrow()
+    common, count = named.column("shingle").to_numpy(), named.column("count").to_numpy()
+    first = rows.select("node", "text").mapInArrow(_prefixes(size, least, common, count), "shingle long, node long, n int, place int")
+    met = first.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_met(least), "a long, b long, beside boolean")
+    pairs = checkpoint(met.groupBy("a", "b").agg(F.max("beside").alias("beside")))
+
+    def of_pairs(found: DataFrame) -> DataFrame:
+        nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return rows.select("node", "text").join(nodes, "node", "left_semi")
+
+    maps = checkpoint(of_pairs(pairs).mapInArrow(_bitmaps(size), "node long, n int, bits binary").dropDuplicates(["node"]))
+    sides = pairs.join(maps.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a").join(maps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    pairs = checkpoint(sides.mapInArrow(_may_reach(least), "a long, b long, beside boolean"))
+    sets = checkpoint(of_pairs(pairs).mapInArrow(_sets(size), "node long, own binary").dropDuplicates(["node"]))
+
+    def reached(found: DataFrame) -> DataFrame:
+        whole = found.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        return checkpoint(whole.select("a", "b", "x", "y").mapInArrow(_reached(least), "a long, b long"))
+
+    # neighbours of one shingle first: what they connect needs no further link
+    near = reached(pairs.where("beside"))
+    home = connected_components(near)
+    roots = [home.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    rest = pairs.where("not beside").join(roots[0], "a", "left").join(roots[1], "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    return near.unionByName(reached(rest.select("a", "b")))
+
+
+def similar_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one stays for each group that similar pairs connect.
+
+    The row with the smallest id stays (null last, then by row key); of rows
+    that are equal in id and text one is left. Texts without a word are like no
+    other; those of fewer words than a shingle are one shingle.
+    """
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("node"), F.col(text_col).cast("string").alias("text"))
+    home = connected_components(similar_links(rows, size, least))
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("node").alias("node"))
+    named = rows.select("doc_id", "node").join(home, "node")
+    stay = named.groupBy("root").agg(F.min(rank).alias("r")).select("r.node")
+    gone = home.select("node").join(stay, "node", "left_anti").select(F.col("node").alias("__k1"))
+    return docs.withColumn("__k1", k1).withColumn("__k2", k2).join(gone, "__k1", "left_anti").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

@@ -1,0 +1,80 @@
+import random
+
+import pytest
+
+from numera.llm import similar
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def pairs(texts):
+    sets = [shingles(t) for t in texts]
+    return {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] | sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+
+
+def rows():
+    rnd = random.Random(3)
+    shared = " ".join(f"s{k}" for k in range(40))
+    out = []
+    for base in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(20, 200))]
+        for _ in range(4):
+            own = list(words)
+            for _ in range(rnd.randrange(0, 6)):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(10**6)}"
+            out.append((len(out), " ".join(own) + (f" {shared}" if base % 2 else "")))
+    return [*out, (900, None), (901, ""), (902, "one two"), (903, "One  TWO"), (904, "three"), (None, "one two"), (3, out[3][1])]
+
+
+def survivors(all_rows):
+    distinct = list(dict.fromkeys(all_rows))
+    home = list(range(len(distinct)))
+    for i, j in pairs([t for _, t in distinct]):
+        home = [home[i] if h == home[j] else h for h in home]
+    best = {}
+    for (d, _), h in zip(distinct, home):
+        best[h] = min(best.get(h, (True, 0)), (d is None, d or 0)) if h in best else (d is None, d or 0)
+    return sorted(d for _, d in best.values())
+
+
+def connected(n, links):
+    home = list(range(n))
+    for i, j in links:
+        home = [home[i] if h == home[j] else h for h in home]
+    return {frozenset(k for k in range(n) if home[k] == h) for h in home}
+
+
+def test_links_against_all_pairs(docs_of):
+    distinct = list(dict.fromkeys(rows()))
+    number = docs_of([(i, t) for i, (_, t) in enumerate(distinct)])
+    got = {(r.a, r.b) for r in similar.similar_links(number.selectExpr("doc_id as node", "text")).collect()}
+    want = pairs([t for _, t in distinct])
+    assert 20 < len(want) < 200 and got <= want
+    assert connected(len(distinct), got) == connected(len(distinct), want)
+
+
+def test_survivors(docs_of):
+    docs = docs_of(rows())
+    got = similar.similar_survivors(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in got.collect()) == survivors(rows())
+
+
+def test_empty(docs_of):
+    assert similar.similar_survivors(docs_of([])).count() == 0
+
+
+def test_no_similar_pair_reaches_the_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id in (1, 177)")
+    assert pairs([r.text for r in docs.collect()])
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "mixing":
+            break
+        if name != "toxicity":
+            docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert [r.doc_id for r in docs.collect()] == [1]
