@@ -147,13 +147,20 @@ def copies(docs: DataFrame, **options) -> DataFrame:
     A document of which a part is taken at the end of a shard's stream counts as
     taken if that is half of it or more. Documents that are not taken go.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    # equal rows: one total for all of them, shared out evenly
-    wanted = mix(docs, **options).where("size > 0").groupBy("k1", "k2").agg(F.sum("taken").alias("words"), F.max("size").alias("size"), F.count("*").alias("rows"))
-    times = wanted.select("k1", "k2", F.round(F.col("words") / (F.col("size") * F.col("rows"))).cast("int").alias("__times")).where("__times > 0")
+    id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
+
+    def own(k1: Column, source: Column) -> Column:
+        return F.xxhash64(k1, F.coalesce(source.cast("string"), F.lit("\0")))
+
+    # equal rows of a source: the whole copies of all of them, dealt out one by one
+    wanted = mix(docs, **options).where("size > 0").withColumn("k1", own(F.col("k1"), F.col("source"))).groupBy("k1", "k2").agg(F.sum("taken").alias("words"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    times = wanted.select("k1", "k2", F.col("rows").alias("__rows"), F.round(F.col("words") / F.col("size")).cast("long").alias("__times")).where("__times > 0")
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    kept = docs.withColumn("__k1", k1).withColumn("__k2", k2)
+    kept = docs.withColumn("__k1", own(k1, F.col(source_col))).withColumn("__k2", k2)
     kept = kept.join(times, (kept["__k1"] == times["k1"]) & (kept["__k2"] == times["k2"]))
+    number = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1", "__k2"))
+    share = F.floor((F.col("__times") + F.col("__rows") - F.col("__number")) / F.col("__rows")).cast("int")
+    kept = kept.withColumn("__number", number).withColumn("__times", share).where("__times > 0")
     return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
@@ -181,7 +188,8 @@ def oracle_sql(block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int
 {name} AS (SELECT o.*, o.won + coalesce(t.more, 0) AS blocks FROM {name}_open o LEFT JOIN {name}_top t USING ({key}, {party}))"""
 
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM d GROUP BY source),
 w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(i % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s)),
 c AS (SELECT *, sum(source_size) OVER () - {MOST_REPEATS} * coalesce(sum(source_size) OVER p, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS weight_left

@@ -52,3 +52,11 @@ def test_empty(docs_of):
     assert mixing.mix(docs_of([])).count() == mixing.copies(docs_of([])).count() == 0
     only = mixing.mix(docs_of([(1, None), (2, " ")])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in only] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_equal_rows_share_their_copies(docs_of, monkeypatch):
+    for taken, want in ((3, 1), (6, 2), (9, 3), (12, 4), (0, 0)):
+        # three equal rows of three words, all words taken counted on the first of them
+        found = lambda docs, **_: docs.withColumns(dict(zip(("k1", "k2"), mixing.row_keys(mixing.F.col("doc_id"), mixing.F.col("text"))))).withColumns({"size": mixing.F.lit(3), "taken": mixing.F.lit(taken / 3)})
+        monkeypatch.setattr(mixing, "mix", found)
+        assert mixing.copies(docs_of([(1, "a b c", None, "s")] * 3)).count() == want
