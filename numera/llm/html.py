@@ -31,8 +31,8 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 
 # HTML's elements by kind.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +51,8 @@ _FURNITURE_WORDS = frozenset(
     " pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored"
     " subscribe subscription toolbar widget".split()
 )
+# Words before them that tell a place.
+_PLACES = frozenset("bottom global left main page primary right secondary site top".split())
 
 
 class Line:
@@ -63,22 +65,46 @@ class Line:
         self.key = xxhash.xxh3_64_intdigest("\0" + path if furniture else text) - (1 << 63)
 
 
-def _is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_furniture(name: str) -> bool:
+    """A class, id or role of furniture words only, or with where they are before them: cookie-notice, site-footer, ad-2."""
+    parts = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return bool(parts) and parts[-1] in _FURNITURE_WORDS and all(w in _FURNITURE_WORDS or w in _PLACES for w in parts)
+
+
+def _is_furniture(tag: str, attributes: str, in_article: bool, by_name: bool = True) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether by its name alone."""
     if tag in _FURNITURE or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attributes.strip() or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(w in _FURNITURE_WORDS for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", m[1].lower()))
+        return False, False
+    named = False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" and value.strip().lower() != "false" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _HIDING.search(value):
+            return True, False
+        named = named or name in ("class", "id", "role") and any(map(_names_furniture, value.split()))
+    return named and by_name, named and by_name
 
 
 def page_lines(html: str | None) -> list[Line]:
-    """The page's lines of text, top to bottom."""
-    html = html or ""
+    """The page's lines of text, top to bottom.
+
+    If all articles are in furniture, names don't count on elements that are or contain one.
+    """
+    around: set[int] = set()
+    lines = _lines(html or "", frozenset(), around)
+    if around and not any(x.article and not x.furniture for x in lines):
+        return _lines(html or "", frozenset(around), set())
+    return lines
+
+
+def _lines(html: str, unnamed: frozenset[int], around: set[int]) -> list[Line]:
+    """The lines, without names on elements that begin at ``unnamed``; adds where those begin
+    that are furniture by name alone and are or contain an article to ``around``."""
     lines: list[Line] = []
     stack: list[tuple[str, bool, bool]] = []
     text: list[tuple[str, bool]] = []
+    named: list[tuple[int, int]] = []  # depth and start of open elements that are furniture by name
 
     def flush() -> None:
         """End the block: furniture inside a line of its own text is left out of it."""
@@ -126,7 +152,14 @@ def page_lines(html: str | None) -> list[Line]:
             if tag == "body":
                 close("head")
             article, furniture = stack[-1][1:] if stack else (False, False)
-            stack.append((tag, article or tag in _ARTICLE, furniture or _is_furniture(tag, m[4], article)))
+            own, by_name = _is_furniture(tag, m[4], article, m.start() not in unnamed)
+            while named and named[-1][0] >= len(stack):
+                named.pop()
+            if by_name:
+                named.append((len(stack), m.start()))
+            if tag in _ARTICLE:
+                around.update(start for _, start in named)
+            stack.append((tag, article or tag in _ARTICLE, furniture or own))
     if at < len(html):
         add(html[at:])
     flush()

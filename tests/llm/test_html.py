@@ -75,3 +75,20 @@ def test_pairing_does_not_depend_on_partitions(spark):
 
 def test_empty(spark):
     assert html.extract(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div style='overflow:hidden'><article>a</article></div>", "a"),
+        ("<div class='overflow-hidden no-sidebar'><p>b</p></div>", "b"),
+        ("<article class='post category-social'><p>c</p></article>", "c"),
+        ("<div class='layout-widget has-sidebar'><main>d</main></div>", "d"),
+        ("<div class='sidebar'><article>e</article></div>", "e"),
+        ("<article class='widget'>f<div class='ad-2'>buy</div></article>", "f"),
+        ("<article>g</article><div class='comments'><article>reply</article></div>", "g"),
+        ("<p>h</p><p style='color:red; display: none'>no</p><p hidden=''>no</p><div class='site-footer'>no</div>", "h"),
+    ],
+)
+def test_names_and_hiding_are_read_exactly(page, text):
+    assert html.main_text(html.page_lines(page), None) == text
