@@ -6,8 +6,8 @@ common subsequence, and the lines that they share are deleted as the site's
 furniture. A line inside an element that names itself as furniture (menu,
 footer, advert, form, reader comment ...) is compared by its place in the page,
 since such lines often differ in words alone; with no counterpart next door it
-goes too. Lines of an article element are the page's own even if a neighbour
-has them, because sites carry the same article under several URLs.
+goes too. If a neighbour shares more than half of an article element's text, both
+are one article under two URLs, and its lines stay.
 """
 
 from __future__ import annotations
@@ -202,19 +202,19 @@ def _runs(keys: list[int]) -> list[int]:
 
 
 def main_text(lines: list[Line], neighbour: list[int] | None) -> str:
-    """What is left of the page: without the lines that it shares with its neighbour (whose line keys
-    are given, run by run) and without furniture; of a page with an article only that."""
+    """What is left of the page: without furniture and the lines that it shares with its neighbour (whose
+    line keys are given, run by run); an article stays whole if the neighbour has more than half of it."""
     starts = _runs([x.key for x in lines])
     shared = common_subsequence([lines[i].key for i in starts], neighbour or [])
     number, run = -1, set(starts)
-    has_article = any(x.article and not x.furniture for x in lines)
-    out = []
+    own: list[tuple[Line, bool]] = []
     for i, x in enumerate(lines):
         number += i in run
-        if x.furniture or (has_article and not x.article) or (number in shared and not x.article):
-            continue
-        out.append(x.text)
-    return "\n".join(out)
+        if not x.furniture:
+            own.append((x, number in shared))
+    sizes = [(len(x.text), met) for x, met in own if x.article]
+    recurs = 2 * sum(n for n, met in sizes if met) > sum(n for n, _ in sizes)
+    return "\n".join(x.text for x, met in own if not met or x.article and recurs)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

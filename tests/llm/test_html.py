@@ -92,3 +92,10 @@ def test_empty(spark):
 )
 def test_names_and_hiding_are_read_exactly(page, text):
     assert html.main_text(html.page_lines(page), None) == text
+
+
+def test_differencing_decides_beside_and_inside_articles(spark):
+    page = "<div>Site name</div><div>Body {0}</div><article><h1>Teaser {0}, long enough to be the most of it</h1><p>Follow us</p></article><div>Imprint</div>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(table(spark, pages)).collect()}
+    assert got == {i: f"Body {i}\nTeaser {i}, long enough to be the most of it" for i in range(4)}
