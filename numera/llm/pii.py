@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from numera.llm.common import checkpoint, row_keys
 
-#: Draws before a surrogate may stay what it is; each makes a clash far rarer.
-ATTEMPTS = 6
+#: Draws after which an entity that still clashes is an error: its format has hardly a free value.
+ATTEMPTS = 64
 #: The key that a caller replaces by a secret.
 KEY = "numera"
 
@@ -230,7 +230,8 @@ def attempts(parts: DataFrame, key: str) -> DataFrame:
 
     Entities are all distinct (kind, norm) of ``parts`` (kind, norm, raw). One
     keeps its surrogate if no other entity is equal to it and no entity with a
-    lower norm has it too; the others try again.
+    lower norm has it too; the others try again until no clash is left. Raises
+    if ATTEMPTS draws don't do.
     """
     own = parts.where("kind is not null").groupBy("kind", "norm").agg(F.min("raw").alias("raw"))
     own = checkpoint(own.withColumn("attempt", F.lit(0)))
@@ -242,9 +243,10 @@ def attempts(parts: DataFrame, key: str) -> DataFrame:
         clash = F.col("is_entity").isNotNull() | (F.col("holder.norm") != F.col("norm"))
         judged = checkpoint(judged.select("kind", "norm", "raw", "attempt", clash.alias("clash")))
         if not judged.where("clash").limit(1).count():
-            break
+            return own.where("attempt > 0").select("kind", "norm", "attempt")
         own = judged.select("kind", "norm", "raw", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    return own.where("attempt > 0").select("kind", "norm", "attempt")
+    kinds = [r["kind"] for r in judged.where("clash").select("kind").distinct().collect()]
+    raise ValueError(f"no surrogate without a clash in {ATTEMPTS} draws for entities of type {', '.join(sorted(kinds))}")
 
 
 def _mentions(found: Column) -> Column:

@@ -73,3 +73,12 @@ def test_the_plan_is_native_and_empty_works(docs_of):
     assert pii.replace(docs_of([])).count() == 0
     plan = pii.replace(docs_of([*TEXTS.items()]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_short_formats_are_drawn_until_no_clash_is_left(spark):
+    F = pii.F
+    parts = spark.createDataFrame([("ssn", f"{i:02d}", f"{i:02d}") for i in range(0, 84, 2)], "kind string, norm string, raw string").coalesce(1)
+    again = parts.join(pii.attempts(parts, "k"), ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    rows = again.select("norm", "attempt", pii.surrogate("k", F.col("kind"), F.col("norm"), F.col("raw"), F.col("attempt")).alias("drawn")).collect()
+    drawn = {r.drawn for r in rows}
+    assert len(drawn) == len(rows) == 42 and not drawn & {r.norm for r in rows} and max(r.attempt for r in rows) > 5
