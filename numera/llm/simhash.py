@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import checkpoint, row_keys
+from numera.llm.common import checkpoint, lookup
 from numera.llm.components import connected_components
 
 BITS = 64
@@ -65,7 +65,7 @@ def bit_majority(hashes: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(text_col: str):
+def _fingerprints(text_col: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary())
@@ -76,7 +76,7 @@ def _fingerprints(text_col: str):
                 raw = text.as_py()
                 before = len(hashes)
                 if raw:
-                    hashes.extend(shingle_hashes(raw))
+                    hashes.extend(shingle_hashes(raw, size))
                 counts.append(len(hashes) - before)
                 if len(hashes) > 1 << 19:
                     done.append(bit_majority(np.array(hashes, np.uint64), np.array(counts)))
@@ -88,11 +88,10 @@ def _fingerprints(text_col: str):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, two row keys and fp (the fingerprint as a signed long), a row for each row of ``docs``."""
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints("text"), "doc_id long, k1 long, k2 long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long), a row for each row of ``docs``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints("text", size), "doc_id long, fp long")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -192,36 +191,46 @@ def _search(fps: np.ndarray, segs: list[np.ndarray], masks: list[int]) -> tuple[
     return np.concatenate(left), np.concatenate(right)
 
 
+#: A fingerprint as a node: fingerprints are ordered by their least id (none comes last), so that a component's
+#: smallest node has the component's id.
+NODE = "struct<no_id boolean, id long, fp long>"
+
+
 def _link_group(key: tuple, group: pa.Table) -> pa.Table:
-    fps = np.unique(group.column("fp").to_numpy().view(np.uint64))
+    fps, first = np.unique(group.column("fp").to_numpy().view(np.uint64), return_index=True)
     a, b = ring_links(fps, key[0].as_py()) if len(fps) > 1 else (fps[:0], fps[:0])
-    return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+    ids = group.column("least_id").combine_chunks()
+
+    def nodes(own: np.ndarray) -> pa.StructArray:
+        id_of = ids.take(pa.array(first[np.searchsorted(fps, own)], pa.int64()))
+        return pa.StructArray.from_arrays([id_of.is_null(), id_of.fill_null(0), pa.array(own.view(np.int64))], ["no_id", "id", "fp"])
+
+    return pa.table({"a": nodes(a), "b": nodes(b)})
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect all within four bits."""
+    """Edges (a, b) between distinct fingerprints (fp, least_id) that connect all within four bits; a node is a ``NODE``."""
     low = 0
     keys = []
     for s, width in enumerate(WIDTHS):
         keys.append(F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1).alias("value")))
         low += width
-    met = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.seg", "k.value")
+    met = distinct.select("fp", "least_id", F.explode(F.array(*keys)).alias("k")).select("fp", "least_id", "k.seg", "k.value")
     # at most 5 * 8192 groups exist, so the list of those over a block is small at any size
     large = met.groupBy("seg", "value").count().where(F.col("count") > block).select("seg", "value", F.ceil(F.col("count") / block).alias("blocks"))
     dealt = met.join(F.broadcast(large), ["seg", "value"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
-    dealt = dealt.withColumn("other", other).select("fp", "seg", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    return dealt.groupBy("seg", "value", "p", "q").applyInArrow(_link_group, "a long, b long")
+    dealt = dealt.withColumn("other", other).select("fp", "least_id", "seg", "value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    return dealt.groupBy("seg", "value", "p", "q").applyInArrow(_link_group, f"a {NODE}, b {NODE}")
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of ``prints`` (doc_id, fp): root names the
-    component, component_id is its smallest non-null doc_id (null if there is none)."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    home = connected_components(links(distinct.select("fp")))
-    homes = distinct.join(home, distinct["fp"] == home["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    named = homes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return homes.select("fp", "root").join(named, "root")
+    """(fp, component_id, n) for each distinct fp of ``prints`` (doc_id, fp): component_id is the smallest
+    non-null doc_id of its component (null if there is none), n the number of rows with this fp."""
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    home = connected_components(links(distinct.select("fp", "least_id"))).select("node.fp", F.struct(F.when(~F.col("root.no_id"), F.col("root.id")).alias("id")).alias("found"))
+    # both sides have one row a fingerprint
+    return distinct.join(home, "fp", "left").select("fp", F.when(F.col("found").isNull(), F.col("least_id")).otherwise(F.col("found.id")).alias("component_id"), "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,20 +239,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have fingerprint zero and link like any other.
     Texts of fewer words than a shingle are one shingle. component_id is the
     smallest id within reach; rows that repeat or lack an id belong to their
-    group all the same. An empty table gives an empty result.
-    """
-    prints = checkpoint(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
-    return prints.join(near_groups(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, of which one stays for each group of near-duplicates.
-
-    The row with the smallest id stays (null last, then by row key); of rows
-    that are equal in id and text one is left.
+    group all the same. An empty table gives an empty result; other columns
+    are not looked at.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    stay = prints.join(near_groups(prints.select("doc_id", "fp")), "fp").groupBy("root").agg(F.min(rank).alias("r")).select("r.__k1", "r.__k2")
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    return docs.withColumn("__k1", k1).withColumn("__k2", k2).join(stay, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    groups = checkpoint(near_groups(prints))
+    return lookup(prints, groups, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([np.frombuffer(t, np.int32) for t, _ in order], np.array([x for _, x in order], float), of.get(1, 0) / max(1, sum(of.values())))
 
 
-def _scored(machine: Machine, text_col: str):
+def _scored(machine: Machine, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {int(t): i for i, t in enumerate(machine.terms)}
         cache: dict[str, tuple[int, ...]] = {}
@@ -162,22 +162,28 @@ def _scored(machine: Machine, text_col: str):
                     if hit:
                         found.update(hit)
                 rows.append(np.array(sorted(found), np.int64))
-            yield batch.append_column("__score", pa.array(machine.scores(rows), pa.float64()))
+            yield batch.append_column(name, pa.array(machine.scores(rows), pa.float64()))
 
     return run
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column __score: the probability of label 1 for every whole text.
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1 for every whole text.
 
     Null and empty texts have no term and get the bias alone. Rows that repeat
     score alike; an empty table gives an empty result; only the text counts.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.mapInArrow(_scored(machine, text_col), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scored(machine, text_col, name), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``."""
+    """doc_id, held_out, score and predicted for every row of ``docs``.
+
+    Null and empty texts have no term: they score as a text without a telling
+    one. Long texts count whole; rows that repeat score alike; a null id is not
+    held out; without labels of both kinds all score as the labels' share of 1.
+    An empty table gives an empty result; other columns are not looked at.
+    """
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), train(docs, labels, sample))
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
