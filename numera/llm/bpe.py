@@ -1,17 +1,18 @@
-"""BPE encoding and decoding; long texts by tree concatenation.
-
-A text above ``PIECE`` bytes is halved until its pieces are short; the pieces
-are encoded side by side, and neighbours are joined again from the leaves up.
-At each join a window around the cut is encoded anew and grows until, on both
-sides, it agrees exactly with the halves: some edge before the cut at which
-both have the same stretches with the same tokens, and one behind it. What lies
-outside comes from the halves, what lies inside from the window. The result is
-the encoding of the unsplit text, which the tests hold against it.
+"""BPE encoding and decoding; long unsplit text by tree concatenation.
 
 Stretches are what ASCII white space separates. The tokenizer drops white
 space, and neither its normaliser, its added tokens nor its pre-tokens reach
-across, so a stretch that recurs is encoded once and then looked up. A text
-without white space is one stretch: windows then grow to the whole of it.
+across, so stretches are encoded on their own, and one that recurs is looked up.
+
+What nothing splits, a pre-token above ``PIECE`` bytes, is halved until its
+pieces are short. All pieces are encoded side by side, and neighbours are
+joined again from the leaves up: a window around the cut is encoded anew and
+grows until it has a token in common with the left half, before the cut, and
+one with the right half, behind it. What lies outside comes from the halves,
+what lies inside from the window. A sequence of tokens is the encoding of its
+text if each two neighbours are the encoding of theirs; halves and window are
+encodings, and both sides of a common token are neighbours in one of them, so
+the result is the encoding of the unsplit text, which the tests hold against it.
 """
 
 from __future__ import annotations
@@ -30,14 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from numera.llm.common import WHITE_BYTES
-
-#: Bytes up to which a text is encoded in one go.
+#: Bytes up to which a pre-token is encoded in one go.
 PIECE = 4096
 #: Bytes of the first window on each side of a join.
 WINDOW = 64
-#: Stretches on each side of an edge that have to agree.
-AGREE = 2
 #: Stretches whose tokens are remembered.
 REMEMBERED = 300_000
 #: Bytes of texts that are encoded at a time.
@@ -55,22 +52,20 @@ _STEPS = {
         ],
     },
 }
-_IS_WHITE = np.isin(np.arange(256), np.frombuffer(WHITE_BYTES, np.uint8))
 
 
 @dataclass
 class Encoded:
-    """Tokens of a part of a text, by stretch: where each begins and ends, and its ids as little-endian bytes."""
+    """Tokens of a part of a pre-token: where each begins, and its id."""
 
     start: np.ndarray
-    end: np.ndarray
-    ids: list[bytes]
+    ids: np.ndarray
 
     def part(self, a: int, b: int) -> Encoded:
-        return Encoded(self.start[a:b], self.end[a:b], self.ids[a:b])
+        return Encoded(self.start[a:b], self.ids[a:b])
 
     def __add__(self, other: Encoded) -> Encoded:
-        return Encoded(np.concatenate([self.start, other.start]), np.concatenate([self.end, other.end]), self.ids + other.ids)
+        return Encoded(np.concatenate([self.start, other.start]), np.concatenate([self.ids, other.ids]))
 
 
 class TreeEncoder:
@@ -82,6 +77,8 @@ class TreeEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the merges alone: what it is given is one pre-token
+        self.merges = Tokenizer(self.tokenizer.model)
         self.piece, self.window, self.remembered = piece, window, remembered
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocabulary.values(), default=-1) + 1)
@@ -91,20 +88,36 @@ class TreeEncoder:
         self.words: dict[str, bytes] = {}
         steps = json.loads(self.tokenizer.to_str())
         self.plain = all(steps[k] == v for k, v in _STEPS.items())
+        suffix = steps["model"].get("end_of_word_suffix") or ""
+        self.length = np.array([len(t.removesuffix(suffix)) if suffix else len(t) for t in self.token], np.int64)
+        self.added = [t["content"].lower() for t in steps["added_tokens"]]
         # bytes as the letters that stand for them before the merges
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        #: Bytes of windows that were encoded at joins, so far.
+        self.encoded_again = 0
 
     def _pre_token(self, word: str) -> bytes:
         """Ids of one pre-token, given in lower case."""
         ids = self.words.get(word)
         if ids is None:
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            if len(mapped) > self.piece:
+                return self._tree(mapped).astype("<u4").tobytes()
             tokens = self.tokenizer.model.tokenize(mapped)
             ids = self.words[word] = np.array([t.id for t in tokens], "<u4").tobytes()
         return ids
 
+    def _long(self, text: str) -> bytes:
+        """Ids of a long stretch by its pre-tokens."""
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
+        out = []
+        for word, _ in found:
+            # the letters stand for bytes already
+            out.append(self._tree(word).astype("<u4").tobytes() if len(word) > self.piece else np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes())
+        return b"".join(out)
+
     def _learn(self, stretches: Iterable[bytes]) -> None:
         """Remember the tokens of stretches: of plain words by their pre-tokens, of all others as the library encodes them."""
         rest = []
@@ -112,6 +125,8 @@ class TreeEncoder:
             m = _PLAIN.fullmatch(s.decode()) if self.plain else None
             if m:
                 self.known[s] = self._pre_token(m[1].lower()) + (self._pre_token(m[2]) if m[2] else b"")
+            elif self.plain and len(s) > self.piece and not any(t in s.decode().lower() for t in self.added):
+                self.known[s] = self._long(s.decode())
             else:
                 rest.append(s)
         for s, e in zip(rest, self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)):
@@ -123,42 +138,48 @@ class TreeEncoder:
             self.known.clear()
         if len(self.words) > self.remembered:
             self.words.clear()
-        raw = [t.encode() for t in texts]
-        split = [_bounds(r, self.piece) for r in raw]
-        leaves = [[(a, b, r[a:b].split()) for a, b in zip(bounds, bounds[1:])] for r, bounds in zip(raw, split)]
-        self._learn(s for own in leaves for _, _, stretches in own for s in stretches)
+        split = [t.encode().split() for t in texts]
+        self._learn(s for own in split for s in own)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4") for own in split]
+
+    def _encoded(self, parts: list[tuple[int, int]], word: str) -> list[Encoded]:
+        """Parts of a pre-token, all of them side by side."""
         out = []
-        for r, own in zip(raw, leaves):
-            if len(own) == 1:
-                ids = map(self.known.__getitem__, own[0][2])
-            else:
-                ids = self._tree(r, own).ids
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        for (a, b), e in zip(parts, self.merges.encode_batch_fast([word[a:b] for a, b in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            ends = a + np.cumsum(self.length[ids])
+            if not len(ids) or ends[-1] != b:
+                raise ValueError("tokens do not cover their text")
+            out.append(Encoded(ends - self.length[ids], ids))
         return out
 
-    def _encoded(self, raw: bytes, a: int, b: int, stretches: list[bytes]) -> Encoded:
-        white = np.concatenate([[True], _IS_WHITE[np.frombuffer(raw, np.uint8, b - a, a)], [True]])
-        return Encoded(np.flatnonzero(white[:-1] & ~white[1:]) + a, np.flatnonzero(~white[:-1] & white[1:]) + a, list(map(self.known.__getitem__, stretches)))
-
-    def _tree(self, raw: bytes, leaves: list[tuple[int, int, list[bytes]]]) -> Encoded:
-        level = [(a, b, self._encoded(raw, a, b, s)) for a, b, s in leaves]
+    def _tree(self, word: str) -> np.ndarray:
+        """Ids of a pre-token whose letters stand for bytes: its pieces, joined level by level."""
+        bounds = _bounds(len(word), self.piece)
+        parts = list(zip(bounds, bounds[1:]))
+        level = [(a, b, e) for (a, b), e in zip(parts, self._encoded(parts, word))]
         while len(level) > 1:
-            joined = [self._join(raw, *level[k], *level[k + 1]) for k in range(0, len(level) - 1, 2)]
+            joined = self._join([(*level[k][:2], level[k][2], *level[k + 1]) for k in range(0, len(level) - 1, 2)], word)
             level = joined + level[len(level) // 2 * 2 :]
-        return level[0][2]
-
-    def _join(self, raw: bytes, a: int, _: int, left: Encoded, cut: int, b: int, right: Encoded) -> tuple[int, int, Encoded]:
-        width = self.window
-        while True:
-            lo, hi = _whole_character(raw, max(a, cut - width)), _whole_character(raw, min(b, cut + width))
-            stretches = raw[lo:hi].split()
-            self._learn(stretches)
-            window = self._encoded(raw, lo, hi, stretches)
-            before = (0, 0) if lo == a else _agreement(left, window, lo, cut)
-            behind = (len(window.ids), len(right.ids)) if hi == b else _agreement(window, right, cut, hi)
-            if before and behind and before[1] <= behind[0]:
-                return a, b, left.part(0, before[0]) + window.part(before[1], behind[0]) + right.part(behind[1], len(right.ids))
+        return level[0][2].ids
+
+    def _join(self, pairs: list[tuple[int, int, Encoded, int, int, Encoded]], word: str) -> list[tuple[int, int, Encoded]]:
+        """All joins of a level; those whose windows have no token in common with a half are tried again with larger ones."""
+        done: dict[int, tuple[int, int, Encoded]] = {}
+        width, waiting = self.window, list(range(len(pairs)))
+        while waiting:
+            spans = [(max(pairs[k][0], pairs[k][1] - width), min(pairs[k][4], pairs[k][1] + width)) for k in waiting]
+            self.encoded_again += sum(hi - lo for lo, hi in spans)
+            for k, (lo, hi), window in zip(waiting, spans, self._encoded(spans, word)):
+                a, cut, left, _, b, right = pairs[k]
+                before = (0, 0) if lo == a else _common(left, window, lo, cut, last=True)
+                # what ends at hi ends there by chance, unless the pre-token's half does
+                behind = (len(window.ids), len(right.ids)) if hi == b else _common(window.part(0, len(window.ids) - 1), right, cut, hi, last=False)
+                if before and behind:
+                    done[k] = a, b, left.part(0, before[0]) + window.part(before[1], behind[0]) + right.part(behind[1], len(right.ids))
+            waiting = [k for k in waiting if k not in done]
             width *= 2
+        return [done[k] for k in range(len(pairs))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The library's decode(ids, skip_special_tokens=False) for a tokenizer without a decoder, else the library's own."""
@@ -167,37 +188,31 @@ class TreeEncoder:
         return " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-def _whole_character(raw: bytes, at: int) -> int:
-    """``at``, or the next position that does not cut a UTF-8 character."""
-    while at < len(raw) and raw[at] & 0xC0 == 0x80:
-        at += 1
-    return at
-
-
-def _bounds(raw: bytes, most: int) -> list[int]:
-    """Where the leaves begin and end."""
-    bounds = [0, len(raw)]
+def _bounds(length: int, most: int) -> list[int]:
+    """Where the leaves of a pre-token begin and end: halves of halves."""
+    bounds = [0, length]
     while max(y - x for x, y in zip(bounds, bounds[1:])) > most:
-        bounds = sorted({*bounds, *(_whole_character(raw, (x + y) // 2) for x, y in zip(bounds, bounds[1:]))})
+        bounds = sorted({*bounds, *((x + y) // 2 for x, y in zip(bounds, bounds[1:]))})
     return bounds
 
 
-def _agreement(first: Encoded, second: Encoded, lo: int, hi: int) -> tuple[int, int] | None:
-    """Stretch numbers in ``first`` and ``second`` at an edge strictly between ``lo`` and ``hi`` such
-    that ``AGREE`` stretches before and behind it, all inside, are the same in both."""
-    for k in range(int(np.searchsorted(first.start, lo, "right")) + AGREE, int(np.searchsorted(first.end, hi, "left")) - AGREE + 1):
-        j = int(np.searchsorted(second.start, first.start[k])) if k < len(first.ids) else len(second.ids)
-        x, y = slice(k - AGREE, k + AGREE), slice(j - AGREE, j + AGREE)
-        if j < AGREE or j + AGREE > len(second.ids):
-            continue
-        if np.array_equal(first.start[x], second.start[y]) and np.array_equal(first.end[x], second.end[y]) and first.ids[x] == second.ids[y]:
-            return k, j
-    return None
+def _common(first: Encoded, second: Encoded, lo: int, hi: int, last: bool) -> tuple[int, int] | None:
+    """Numbers in both of the last or first token that begins in [lo, hi) and is the same in both.
+
+    A half's last token ends where the half does, with the mark of a word's end
+    if the tokenizer has one, so it is the same in the other only if nothing is amiss.
+    """
+    x, y = slice(*np.searchsorted(first.start, [lo, hi])), slice(*np.searchsorted(second.start, [lo, hi]))
+    _, i, j = np.intersect1d(first.start[x] << 32 | first.ids[x], second.start[y] << 32 | second.ids[y], assume_unique=True, return_indices=True)
+    if not len(i):
+        return None
+    k = -1 if last else 0
+    return x.start + int(i[k]), y.start + int(j[k])
 
 
 def _encode_batches(path: str, piece: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the pieces of a batch are encoded in parallel where a task has more than one core
+        # the pieces of a pre-token, and the stretches of a batch, are encoded in parallel where a task has more than one core
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if TaskContext.get().cpus() > 1 else "false")
         encoder = None
         for batch in batches:

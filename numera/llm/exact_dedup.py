@@ -24,19 +24,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from numera.llm.common import WHITE_BYTES
+from numera.llm.common import WHITE, WHITE_BYTES, checkpoint, free_name, lookup, row_keys
 
-#: Bytes of distinct contents that a bucket's table may hold.
+#: Bytes that a bucket's table may hold: contents and the rows that stay.
 BUDGET = 96 << 20
 #: Spill files that one pass deals to.
 FAN_OUT = 16
 _BATCH_BYTES = 16 << 20
-_SMALL = ("__id", "__points", "__count", "__local")
 
 
 def normalised(text: str | bytes | None) -> bytes:
@@ -46,7 +44,12 @@ def normalised(text: str | bytes | None) -> bytes:
 
 
 class ContentTable:
-    """Open addressing with linear probing; equality compares whole contents."""
+    """Open addressing with linear probing; equality compares whole contents.
+
+    Beside each entry's content it holds the number of its records and the one
+    that stays: most code points in the original text, then smallest id (null
+    last). All that it holds counts in ``bytes``.
+    """
 
     def __init__(self) -> None:
         self.mask = 1023
@@ -54,6 +57,9 @@ class ContentTable:
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
         self.bytes = 0
+        self.counts: list[int] = []
+        self.ranks: list[tuple] = []
+        self.rows: list[pa.RecordBatch] = []
 
     def find(self, h: int, content: bytes, add: bool) -> int:
         """Number of the entry with this content; -1 if there is none and ``add`` is false."""
@@ -67,7 +73,8 @@ class ContentTable:
         self.slots[at] = e = len(self.hashes)
         self.hashes.append(h)
         self.contents.append(content)
-        self.bytes += len(content) + 64
+        self.counts.append(0)
+        self.bytes += len(content) + 256
         if 2 * len(self.hashes) > self.mask:
             self._grow()
         return e
@@ -81,12 +88,47 @@ class ContentTable:
                 at = (at + 1) & self.mask
             self.slots[at] = e
 
+    def settle(self, e: int, count: int, rank: tuple, batch: pa.RecordBatch, i: int) -> None:
+        """Row ``i`` of ``batch`` stands for ``count`` records of entry ``e``."""
+        self.counts[e] += count
+        if e == len(self.rows):
+            self.ranks.append(rank)
+            self.rows.append(batch.slice(i, 1))
+        elif rank < self.ranks[e]:
+            self.ranks[e] = rank
+            self.rows[e] = batch.slice(i, 1)
+
+    def own_rows(self, first: int, batch: pa.RecordBatch, changed: set[int]) -> None:
+        """Copy the rows that a batch gave to the entries from ``first`` on or ``changed``, so that it can go."""
+        mine = sorted(changed | set(range(first, len(self.rows))))
+        if not mine:
+            return
+        taken = pa.concat_batches([self.rows[e] for e in mine])
+        for k, e in enumerate(mine):
+            self.rows[e] = taken.slice(k, 1)
+        self.bytes += taken.nbytes
+
+    def best(self) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+        """The rows that stay, in order, in batches of bounded size with the numbers of their entries."""
+        at = size = 0
+        for e, row in enumerate(self.rows):
+            size += row.nbytes
+            if size >= _BATCH_BYTES or e - at >= 4095:
+                yield pa.concat_batches(self.rows[at : e + 1]), at, e + 1
+                at, size = e + 1, 0
+        if at < len(self.rows):
+            yield pa.concat_batches(self.rows[at:]), at, len(self.rows)
+
 
 class _Spill:
     """``FAN_OUT`` Arrow files in the task's scratch folder, gone when the task ends."""
 
     def __init__(self, folder: str, schema: pa.Schema) -> None:
-        self.paths = [tempfile.mkstemp(dir=folder)[1] for _ in range(FAN_OUT)]
+        self.paths = []
+        for _ in range(FAN_OUT):
+            handle, path = tempfile.mkstemp(dir=folder)
+            os.close(handle)
+            self.paths.append(path)
         self.writers = [pa.ipc.new_stream(p, schema) for p in self.paths]
 
     def write(self, batch: pa.RecordBatch, part: np.ndarray) -> None:
@@ -102,78 +144,49 @@ class _Spill:
             os.unlink(p)
 
 
-def grace_buckets(batches: Iterable[pa.RecordBatch], text: str, budget: int, folder: str, level: int = 0) -> Iterator[tuple[ContentTable, list[tuple[pa.RecordBatch, np.ndarray]]]]:
-    """Yield tables and, for each, its records without the text, with their entry numbers.
+def grace_buckets(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str, count_col: str | None, budget: int, folder: str, level: int = 0) -> Iterator[ContentTable]:
+    """Tables that together hold every distinct content once, each within about ``budget`` bytes and one batch.
 
+    ``count_col`` says how many records a row stands for, one without it. A
+    table is to be used before the next one is asked for. The hash's 64 bits
+    are used four by four, again from the first after 15 levels: by then a
+    bucket's contents have one hash and its table takes at least one of them
+    at every level, so the recursion ends.
     """
-    table, settled, spill = ContentTable(), [], None
-    best = _Best()
+    table, spill = ContentTable(), None
     for batch in batches:
-        contents = [normalised(x) for x in batch.column(text).cast(pa.binary()).to_pylist()]
-        hashes = [xxhash.xxh3_64_intdigest(c) for c in contents]
-        entries = np.empty(len(contents), np.int64)
-        for i, (h, c) in enumerate(zip(hashes, contents)):
-            entries[i] = table.find(h, c, add=table.bytes <= budget)
-        if (entries < 0).any():
-            rest = np.flatnonzero(entries < 0)
+        if not batch.num_rows:
+            continue
+        contents = [normalised(x) for x in batch.column(text_col).cast(pa.binary()).to_pylist()]
+        points = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()
+        ids = batch.column(id_col).to_pylist()
+        counts = batch.column(count_col).to_pylist() if count_col else [1] * len(ids)
+        first, changed, rest, part = len(table.rows), set(), [], []
+        for i, content in enumerate(contents):
+            h = xxhash.xxh3_64_intdigest(content)
+            e = table.find(h, content, add=table.bytes <= budget)
+            if e < 0:
+                rest.append(i)
+                part.append(h >> (60 - 4 * level % 60) & (FAN_OUT - 1))
+                continue
+            before = table.rows[e] if e < len(table.rows) else None
+            table.settle(e, counts[i], (-points[i], ids[i] is None, ids[i] or 0), batch, i)
+            if before is not None and e < first and table.rows[e] is not before:
+                changed.add(e)
+        if rest:
             spill = spill or _Spill(folder, batch.schema)
-            spill.write(batch.take(pa.array(rest)), np.array([hashes[i] >> (60 - 4 * level % 60) & (FAN_OUT - 1) for i in rest]))
-            batch, entries = batch.take(pa.array(np.flatnonzero(entries >= 0))), entries[entries >= 0]
-        best.offer(batch, entries)
-        # a take copies, so that the batch with its text can go
-        settled.append((batch.select([c for c in _SMALL if c in batch.schema.names]).take(pa.array(np.arange(batch.num_rows))), entries))
-    table.best = best
-    yield table, settled
-    del table, settled, best
+            spill.write(batch.take(pa.array(rest)), np.array(part))
+        table.own_rows(first, batch, changed)
+    yield table
+    del table
     if spill:
-        for part in spill.read():
-            yield from grace_buckets(part, text, budget, folder, level + 1)
-
-
-class _Best:
-    """The record of each entry that stays: most code points, then smallest id (null last)."""
-
-    def __init__(self) -> None:
-        self.rank: list[tuple] = []
-        self.row: list[pa.RecordBatch] = []
-
-    def offer(self, batch: pa.RecordBatch, entries: np.ndarray) -> None:
-        ids = batch.column("__id").to_pylist()
-        points = batch.column("__points").to_pylist()
-        better: dict[int, int] = {}
-        for i, e in enumerate(entries.tolist()):
-            rank = (-points[i], ids[i] is None, ids[i] or 0)
-            if e == len(self.rank):
-                self.rank.append(rank)
-                self.row.append(None)
-                better[e] = i
-            elif rank < self.rank[e]:
-                self.rank[e] = rank
-                better[e] = i
-        if better:
-            taken = batch.take(pa.array(list(better.values())))
-            for k, e in enumerate(better):
-                self.row[e] = (taken, k)
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """In the order of the entries, in batches of bounded size."""
-        held, size = [], 0
-        for b, k in self.row:
-            held.append(b.slice(k, 1))
-            size += held[-1].nbytes
-            if size >= _BATCH_BYTES or len(held) == 4096:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
-
-def _with_rank(batch: pa.RecordBatch, id_col: str, text_col: str) -> pa.RecordBatch:
-    points = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).cast(pa.int64())
-    return batch.append_column("__id", batch.column(id_col).cast(pa.int64())).append_column("__points", points)
+        for own in spill.read():
+            yield from grace_buckets(own, id_col, text_col, count_col, budget, folder, level + 1)
 
 
 class _Scratch:
+    """A task's own folder for spill files: they live no longer than the task, which a lost executor runs again."""
+
     def __enter__(self) -> str:
         self.folder = tempfile.mkdtemp(prefix="numera-grace-")
         return self.folder
@@ -182,87 +195,66 @@ class _Scratch:
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
-def _local_pass(id_col: str, text_col: str, budget: int, members: bool):
-    """Deduplicate one input partition; members: the rows of all records, else the records that stay."""
+def _local_pass(id_col: str, text_col: str, hash_col: str, count_col: str, budget: int):
+    """Of the equal texts of one input partition the row that stays, with hash and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 36
         with _Scratch() as folder:
-            for table, settled in grace_buckets((_with_rank(b, id_col, text_col) for b in batches if b.num_rows), text_col, budget, folder):
-                n = len(table.hashes)
-                if members:
-                    sha = [hashlib.sha256(c).hexdigest() for c in table.contents]
-                    won = set()
-                    for batch, entries in settled:
-                        ids, points = batch.column("__id").to_pylist(), batch.column("__points").to_pylist()
-                        stays = []
-                        for i, e in enumerate(entries.tolist()):
-                            hit = e not in won and table.best.rank[e] == (-points[i], ids[i] is None, ids[i] or 0)
-                            if hit:
-                                won.add(e)
-                            stays.append(hit)
-                        yield pa.RecordBatch.from_arrays([pa.array(entries + first), batch.column("__id"), pa.array(stays, pa.bool_()), pa.array([sha[e] for e in entries.tolist()], pa.string())], ["local", "doc_id", "local_best", "text_sha256"])
-                elif n:
-                    counts = np.zeros(n, np.int64)
-                    for _, entries in settled:
-                        counts += np.bincount(entries, minlength=n)
-                    signed = np.array(table.hashes, np.uint64).view(np.int64)
-                    at = 0
-                    for rows in table.best.rows():
-                        k = rows.num_rows
-                        yield rows.drop_columns(["__id", "__points"]).append_column("__hash", pa.array(signed[at : at + k])).append_column("__local", pa.array(np.arange(at, at + k) + first)).append_column("__count", pa.array(counts[at : at + k]))
-                        at += k
-                first += n
+            for table in grace_buckets(batches, id_col, text_col, None, budget, folder):
+                signed = np.array(table.hashes, np.uint64).view(np.int64)
+                for rows, a, b in table.best():
+                    yield rows.append_column(hash_col, pa.array(signed[a:b])).append_column(count_col, pa.array(table.counts[a:b], pa.int64()))
 
     return run
 
 
-def _global_pass(id_col: str, text_col: str, budget: int, survivors: bool):
-    """Merge the local records of one hash bucket; survivors: whole winning rows, else where each local record belongs."""
+def _global_pass(id_col: str, text_col: str, hash_col: str, count_col: str, budget: int, survivors: bool):
+    """Merge the local rows of one hash bucket; survivors: whole winning rows, else their keys with size and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _Scratch() as folder:
-            for table, settled in grace_buckets((_with_rank(b, id_col, text_col) for b in batches if b.num_rows), text_col, budget, folder):
-                n = len(table.hashes)
-                if survivors:
-                    for rows in table.best.rows():
-                        yield rows.drop_columns(["__id", "__points", "__hash", "__local", "__count"])
-                    continue
-                sizes, winner, keep = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-                for batch, entries in settled:
-                    np.add.at(sizes, entries, batch.column("__count").to_numpy())
-                at = 0
-                for rows in table.best.rows():
-                    winner[at : at + rows.num_rows] = rows.column("__local").to_numpy()
-                    keep += rows.column("__id").to_pylist()
-                    at += rows.num_rows
-                for batch, entries in settled:
-                    yield pa.RecordBatch.from_arrays([batch.column("__local"), pa.array([keep[e] for e in entries.tolist()], pa.int64()), pa.array(sizes[entries]), pa.array(winner[entries])], ["local", "keep_id", "group_size", "winner"])
+            for table in grace_buckets(batches, id_col, text_col, count_col, budget, folder):
+                for rows, a, b in table.best():
+                    if survivors:
+                        yield rows.drop_columns([hash_col, count_col])
+                    else:
+                        sha = [hashlib.sha256(c).hexdigest() for c in table.contents[a:b]]
+                        yield pa.RecordBatch.from_arrays([pa.array(sha), rows.column(id_col), rows.column("k1"), rows.column("k2"), pa.array(table.counts[a:b], pa.int64())], ["text_sha256", "keep_id", "keep1", "keep2", "group_size"])
 
     return run
 
 
-def _records(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField("__hash", T.LongType()), T.StructField("__local", T.LongType()), T.StructField("__count", T.LongType())])
-    return docs.mapInArrow(_local_pass(id_col, text_col, budget, False), schema).repartition(F.col("__hash"))
+def _merged(docs: DataFrame, id_col: str, text_col: str, budget: int, survivors: bool) -> DataFrame:
+    hash_col, count_col = free_name(docs, "__hash"), free_name(docs, "__count")
+    schema = T.StructType([*docs.schema.fields, T.StructField(hash_col, T.LongType()), T.StructField(count_col, T.LongType())])
+    records = docs.mapInArrow(_local_pass(id_col, text_col, hash_col, count_col, budget), schema).repartition(F.col(hash_col))
+    result = docs.schema if survivors else "text_sha256 string, keep_id long, keep1 long, keep2 long, group_size long"
+    return records.mapInArrow(_global_pass(id_col, text_col, hash_col, count_col, budget, survivors), result)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of texts that are equal without white space the row with the most code
-    points in its original text stays, then the smallest id, then the first
-    row. Null and empty texts are one group. A null id comes after all
-    others. Rows that repeat are members of their group like any other; an
-    empty table gives an empty result; other columns are not looked at.
+    points in its original text stays, then the smallest id; of rows that are
+    equal in id and text one. Null and empty texts are one group. A null id
+    comes after all others. An empty table gives an empty result; other
+    columns are not looked at.
 
-    ``docs`` is read twice and has to give the same partitions each time, as a
-    scan of files or a checkpoint does.
+    Rows find their group by the content's digest and the row that stays by its
+    keys, not by their places in the input, so a task that runs again changes nothing.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    members = docs.mapInArrow(_local_pass(id_col, text_col, budget, True), "local long, doc_id long, local_best boolean, text_sha256 string")
-    homes = _records(docs, id_col, text_col, budget).mapInArrow(_global_pass(id_col, text_col, budget, False), "local long, keep_id long, group_size long, winner long")
-    return members.join(homes, "local").select("doc_id", "keep_id", "group_size", (F.col("local_best") & (F.col("winner") == F.col("local"))).alias("kept"), "text_sha256")
+    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), k1.alias("k1"), k2.alias("k2"))
+    groups = checkpoint(_merged(rows, "doc_id", "text", budget, False))
+    digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), WHITE, "").cast("binary"), 256)
+    # numbers are given to rows that are files already
+    members = checkpoint(rows.select("doc_id", "k1", "k2", digest.alias("text_sha256"))).withColumn("number", F.monotonically_increasing_id())
+    first = members.groupBy("k1", "k2").agg(F.min("number").alias("number"))
+    groups = groups.join(first.select(F.col("k1").alias("keep1"), F.col("k2").alias("keep2"), F.col("number").alias("winner")), ["keep1", "keep2"])
+    groups = checkpoint(groups.select("text_sha256", "keep_id", "group_size", "winner", F.col("group_size").alias("meets")))
+    met = lookup(members, groups, ["text_sha256"], "meets")
+    return met.select("doc_id", "keep_id", "group_size", (F.col("number") == F.col("winner")).alias("kept"), "text_sha256")
 
 
 def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -270,5 +262,4 @@ def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     One scan and one shuffle of the records that outlive their input partition.
     """
-    records = _records(docs, id_col, text_col, budget)
-    return records.mapInArrow(_global_pass(id_col, text_col, budget, True), docs.schema)
+    return _merged(docs, id_col, text_col, budget, True)

@@ -7,10 +7,11 @@ shingles: two sets reach the similarity t only if each has one of the other's
 among its first n - ceil(t n) + 1 in one order of all shingles; the order puts
 those last that a sample of the corpus has often, so that few texts meet. The
 pairs that meet are pruned by their fingerprints: on the ring of eight segments
-a chain of consecutive segments has to keep to its share of the budget, two
-bits a segment, before the full Hamming distance counts. What is left is
-compared by its shingles, so no link is wrong; links whose fingerprints differ
-in more than 16 bits are lost, 3 of 1000 at a similarity between 0.8 and 1.
+a chain of consecutive segments has to keep to its share of the budget of 18
+bits before the full Hamming distance counts. What is left is compared by its
+shingles, so no link is wrong; links whose fingerprints differ in more bits are
+lost, about 5 of 10,000. Fingerprints of a few shingles tell little, so pairs
+of short texts are compared by their shingles whatever their fingerprints are.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from numera.llm.simhash import _pairs, bit_majority, shingle_hashes
 SHINGLE = 5
 LEAST = 0.8
 #: Bits in which the fingerprints of a link differ at most, and segments of the ring.
-DISTANCE = 16
+DISTANCE = 18
 SEGMENTS = 8
+#: Shingles below which a fingerprint prunes nothing.
+FEW = 32
 #: Documents by which the order of shingles is chosen, and the most shingles that it names.
 ORDER_DOCS = 20_000
 ORDER_SHINGLES = 50_000
@@ -93,15 +96,15 @@ def _sample(size: int):
 
 
 def _features(size: int, least: float, common: np.ndarray, often: np.ndarray):
-    """For each text its fingerprint (of all shingles, repeats included), the number of its distinct shingles, and its prefix."""
+    """For each text the number of its distinct shingles, their fingerprint, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, held, counts, first, sizes = [], [], [], [], []
             for t in batch.column("text").cast(pa.binary()):
-                held.append(_shingles(t, size))
-                counts.append(len(held[-1]))
-                own = np.unique(held[-1].view(np.int64))
+                own = np.unique(_shingles(t, size).view(np.int64))
+                held.append(own.view(np.uint64))
+                counts.append(len(own))
                 sizes.append(len(own))
                 first.append(prefix(own, common, often, least) if len(own) else own)
                 if sum(counts) > 1 << 19:
@@ -162,7 +165,7 @@ def _met(least: float, distance: int, nearest: bool):
             fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= needed(least, np.maximum(n[i], n[j])))
             i, j = i[fits], j[fits]
             x = (fp[i] ^ fp[j]).view(np.uint64)
-            near = ring_fits(x, distance)
+            near = np.union1d(ring_fits(x, distance), np.flatnonzero(np.minimum(n[i], n[j]) < FEW))
             i, j, h = i[near], j[near], np.bitwise_count(x[near]).astype(np.int32)
             if nearest and len(i):
                 order = np.lexsort((i, h, j))
@@ -209,8 +212,8 @@ def _similar(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> Data
 
 
 def similar_links(rows: DataFrame, features: DataFrame, blocks: DataFrame, size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b) of nodes that connect whatever all pairs connect that have ``least`` of their shingles in common
-    and fingerprints within ``distance`` bits.
+    """Pairs (a, b) of nodes that connect whatever all pairs connect that have a similarity of ``least`` and
+    fingerprints within ``distance`` bits, or fewer than ``FEW`` shingles.
 
     First every text is compared to the nearest one it meets; then all pairs
     that meet and are not connected yet.

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,32 @@ def test_tree_equals_the_unsplit_encoding(library, piece, window):
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("piece,window", [(16, 1), (64, 4), (4096, 64)])
+def test_unsplit_texts_join_token_by_token(library, piece, window):
+    rnd = random.Random(window)
+    letters = ["a", "b", "the", "ing", "é", "ß", "х", "o", "ou", "abab"]
+    for _ in range(12):
+        text = "".join(rnd.choice(letters[: rnd.randrange(1, 11)]) for _ in range(rnd.choice([200, 3000, 8000])))
+        own = bpe.TreeEncoder(PATH, piece=piece, window=window)
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        mixed = text + "'s" + text[::-1] + "!!" * 40 + "İ" + text.upper()
+        assert own.encode([mixed])[0].tolist() == library.encode(mixed, add_special_tokens=False).ids
+
+
+def test_little_of_a_long_unsplit_text_is_encoded_again(library):
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    own = bpe.TreeEncoder(PATH)
+    own.encode(["warm up"])
+    began = time.perf_counter()
+    ids = own.encode([text])[0]
+    mine = time.perf_counter() - began
+    began = time.perf_counter()
+    want = library.encode(text, add_special_tokens=False).ids
+    theirs = time.perf_counter() - began
+    assert ids.tolist() == want and own.encoded_again < 0.1 * len(text) and mine < 2 * theirs + 1
+
+
 def test_encode(library, docs_of):
     texts = {1: None, 2: "", 3: "Hello, World! don't", 4: "wörd " * 9000, 5: "x" * 30_000, 6: " \n", 7: "<|endoftext|> end"}
     rows = bpe.encode(docs_of([*texts.items(), (3, texts[3]), (None, "null id")])).collect()

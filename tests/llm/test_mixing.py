@@ -39,6 +39,30 @@ def test_mix(docs_of):
     assert other.set_index("doc_id")["taken"].to_dict() != got.set_index("doc_id")["taken"].to_dict()
 
 
+def test_groups_of_shards_against_sql(spark, docs_of):
+    import duckdb
+
+    rows = [(i, f"w{i} " * (1 + i % 40), None, f"s{i % 3}") for i in range(600)]
+    con = duckdb.connect()
+    con.sql("create table documents(doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", rows)
+    for shard_docs, group_shards in ((20, 3), (7, 4), (2000, 1000)):
+        want = sorted(con.sql(mixing.oracle_sql(shard_docs=shard_docs, group_shards=group_shards)).fetchall())
+        got = mixing.mix(docs_of(rows), shard_docs=shard_docs, group_shards=group_shards).select("doc_id", "size", "source_size", "target", "taken")
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_too_many_sources(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs_of(ROWS))
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of(ROWS).selectExpr("*", *(f"1 as {c}" for c in ("__k1", "__k2", "__rows", "__times", "__copy", "__number", "shard", "sid", "turn")))
+    assert mixing.copies(docs).columns == docs.columns and mixing.copies(docs).count() > 100
+
+
 def test_copies_follow_taken(docs_of):
     docs = docs_of(ROWS)
     got = mixing.copies(docs, shard_docs=20)

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 import xxhash
 
-from numera.llm import simhash
+from numera.llm import common, simhash
+from numera.llm import components as components_module
 from numera.llm.components import connected_components
 
 
@@ -72,23 +74,28 @@ def test_near_duplicates(docs_of):
 
 
 def test_small_blocks_lose_no_link(spark, docs_of):
-    prints = simhash.fingerprints(docs_of(ROWS)).select("fp").distinct()
+    prints = simhash.fingerprints(docs_of(ROWS)).groupBy("fp").agg({"doc_id": "min"}).toDF("fp", "least_id")
     a, b = (connected_components(simhash.links(prints, block)).collect() for block in (simhash.BLOCK, 2))
     assert {(r.node, r.root) for r in a} == {(r.node, r.root) for r in b}
 
 
-def test_survivors(docs_of):
-    docs = docs_of(ROWS)
-    got = simhash.near_survivors(docs)
-    assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+def test_hot_keys_are_looked_up_alike(spark, docs_of, monkeypatch):
+    want = sorted(map(tuple, simhash.near_duplicates(docs_of(ROWS)).collect()), key=repr)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs_of(ROWS)).collect()), key=repr) == want
 
 
 def test_empty(docs_of):
-    assert simhash.near_duplicates(docs_of([])).count() == simhash.near_survivors(docs_of([])).count() == 0
+    assert simhash.near_duplicates(docs_of([])).count() == 0
 
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(200, 200), (None, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{k: 100 for k in range(100, 140)}}
+
+
+def test_components_that_take_too_long_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
