@@ -1,5 +1,10 @@
 """Public licence texts and the notices that refer to them, as (SPDX id, text)."""
 
+from pathlib import Path
+
+#: Whole licence texts, a file each, named by licence.
+BODIES = tuple((f.stem, f.read_text()) for f in sorted(Path(__file__).with_name("license_bodies").glob("*.txt")))
+
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -19,7 +24,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
@@ -37,4 +41,5 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-3.0", "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
+    *BODIES,
 )
