@@ -1,18 +1,22 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are ordered by host and URL path, and each is paired with its neighbour.
-The text lines of both (a line for each block element) are aligned by longest
-common subsequence, and the lines that they share are deleted as the site's
-furniture. A line inside an element that names itself as furniture (menu,
-footer, advert, form, reader comment ...) is compared by its place in the page,
-since such lines often differ in words alone; with no counterpart next door it
-goes too. If a neighbour shares more than half of an article element's text, both
-are one article under two URLs, and its lines stay.
+Pages are ordered by host and URL path, and each is paired with the nearer of
+its two neighbours: the one whose path agrees with its own for longer. The text
+lines of both (a line for each block element) are aligned by longest common
+subsequence, and the lines that they share are deleted as the site's furniture.
+A line inside an element that names itself as furniture (menu, footer, advert,
+form, reader comment ...) is compared by its place in the page, since such lines
+often differ in words alone; with no counterpart next door it goes too. If a
+neighbour shares more than half of an article element's text, both are one
+article under two URLs, and its lines stay.
+
+Reading a page takes time in proportion to its length, whatever is in it.
 """
 
 from __future__ import annotations
 
 import html as references
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -26,11 +30,11 @@ from pyspark.sql import functions as F
 
 from numera.llm.common import checkpoint, row_keys
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: What may begin at a <: a comment, a declaration, or a tag with its name.
+_MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: The rest of a tag, quoted values whole; the quantifier gives nothing back.
+_REST = re.compile(r"""(?:[^"'>]|"[^"]*"|'[^']*')*+>""")
+_RAW = frozenset("script style noscript template svg math iframe object textarea select title".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.IGNORECASE)
 
@@ -43,7 +47,8 @@ _BLOCK = frozenset(
 )
 _FURNITURE = frozenset("nav footer aside form head button dialog menu search".split())
 _ARTICLE = frozenset("article main".split())
-_CLOSED_BY_SIBLING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+_CLOSED_BY_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_HAS_ITEMS = frozenset("ul ol dl table select menu dir".split())
 # Words in class, id or role that name furniture.
 _FURNITURE_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary"
@@ -60,9 +65,9 @@ class Line:
 
     __slots__ = ("text", "article", "furniture", "key")
 
-    def __init__(self, text: str, article: bool, furniture: bool, path: str) -> None:
+    def __init__(self, text: str, article: bool, furniture: bool, path: int) -> None:
         self.text, self.article, self.furniture = text, article, furniture
-        self.key = xxhash.xxh3_64_intdigest("\0" + path if furniture else text) - (1 << 63)
+        self.key = (path if furniture else xxhash.xxh3_64_intdigest(text)) - (1 << 63)
 
 
 def _names_furniture(name: str) -> bool:
@@ -98,74 +103,154 @@ def page_lines(html: str | None) -> list[Line]:
     return lines
 
 
+def _tokens(html: str) -> Iterator[tuple[int, str | None, str, str]]:
+    """(start, text, name, attributes): pieces of text, and tags without text, ends with a / before their name.
+
+    Comments, declarations and elements of another language are left out. A
+    tag that no > ends is text. If the quotes of a tag hide every > up to the
+    page's end, quotes count no more from there on.
+    """
+    at, search, quotes = 0, 0, True
+    while (start := html.find("<", search)) >= 0:
+        m = _MARK.match(html, start)
+        if not m:
+            search = start + 1
+            continue
+        end = html.find("-->", m.end()) if m[1] else html.find(">", m.end())
+        if end < 0 and not m[1]:
+            break  # nothing ends a tag any more
+        if m[1]:
+            end = len(html) if end < 0 else end + 3
+        elif m[2]:
+            end += 1
+        else:
+            rest = _REST.match(html, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else end + 1
+        if start > at:
+            yield at, html[at:start], "", ""
+        at = search = end
+        if m[1] or m[2]:
+            continue
+        name, attributes = m[4].lower(), html[m.end() : end - 1]
+        if name in _RAW:
+            if not m[3]:
+                close = _CLOSE[name].search(html, end)
+                at = search = close.end() if close else len(html)
+            continue
+        yield start, None, m[3] + name, attributes
+    if at < len(html):
+        yield at, html[at:], "", ""
+
+
+_CLOSE = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in _RAW}
+
+
+class _Stack:
+    """Open elements; each knows its place (a hash of the names above it), whether it is in an article or in
+    furniture, and how many blocks are above it."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.states: list[tuple[bool, bool, int, int]] = [(False, False, 0, 0)]
+        self.open: dict[str, list[int]] = {}
+        self.lists: list[int] = []  # depths of elements that have items
+
+    def push(self, tag: str, article: bool, furniture: bool) -> None:
+        _, _, path, blocks = self.states[-1]
+        self.open.setdefault(tag, []).append(len(self.tags))
+        if tag in _HAS_ITEMS:
+            self.lists.append(len(self.tags))
+        self.tags.append(tag)
+        self.states.append((article, furniture, hash_of(path, tag), blocks + (tag in _BLOCK)))
+
+    def last(self, tags: tuple[str, ...], within: int = 0) -> int:
+        """Depth of the innermost open element of these names, -1 without one from depth ``within`` on."""
+        depth = max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+        return depth if depth >= within else -1
+
+    def blocks_from(self, depth: int) -> bool:
+        return self.states[-1][3] > self.states[depth][3]
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside it."""
+        while len(self.tags) > depth:
+            self.open[self.tags.pop()].pop()
+            self.states.pop()
+        while self.lists and self.lists[-1] >= depth:
+            self.lists.pop()
+
+
+def hash_of(path: int, tag: str) -> int:
+    return xxhash.xxh3_64_intdigest(tag, path)
+
+
 def _lines(html: str, unnamed: frozenset[int], around: set[int]) -> list[Line]:
     """The lines, without names on elements that begin at ``unnamed``; adds where those begin
     that are furniture by name alone and are or contain an article to ``around``."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack = _Stack()
     text: list[tuple[str, bool]] = []
     named: list[tuple[int, int]] = []  # depth and start of open elements that are furniture by name
 
     def flush() -> None:
         """End the block: furniture inside a line of its own text is left out of it."""
+        if not text:
+            return
         own = [t for t, furniture in text if not furniture]
         if not "".join(own).strip():
             own = [t for t, _ in text]
         joined = " ".join(references.unescape("".join(own)).split())
-        furniture = bool(text) and all(f for t, f in text if t.strip())
+        furniture = all(f for t, f in text if t.strip())
         text.clear()
         if joined:
-            lines.append(Line(joined, bool(stack) and stack[-1][1], furniture, "/".join(t for t, _, _ in stack)))
-
-    def add(piece: str) -> None:
-        text.append((piece, bool(stack) and stack[-1][2]))
-
-    def close(tags: str, within: int = 0) -> None:
-        for k in range(len(stack) - 1, within - 1, -1):
-            if stack[k][0] in tags.split():
-                if any(t in _BLOCK for t, _, _ in stack[k:]):
-                    flush()
-                del stack[k:]
-                return
-
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if tag == "br":
-            add("\n")
-            continue
-        if tag in _BLOCK:
-            flush()
-        if m[2]:
-            close(tag)
-        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
-            if tag in _BLOCK and tag not in ("html", "head", "body") and any(t == "p" for t, _, _ in stack):
-                close("p")
+            lines.append(Line(joined, stack.states[-1][0], furniture, stack.states[-1][2]))
+
+    def close(tags: tuple[str, ...], within: int = 0) -> None:
+        depth = stack.last(tags, within)
+        if depth >= 0:
+            if stack.blocks_from(depth):
+                flush()
+            stack.cut(depth)
+
+    for start, piece, tag, attributes in _tokens(html):
+        if piece is not None:
+            text.append((piece, stack.states[-1][1]))
+        elif tag == "br" or tag == "/br":
+            text.append(("\n", stack.states[-1][1]))
+        elif tag[0] == "/":
+            if tag[1:] in _BLOCK:
+                flush()
+            close((tag[1:],))
+        else:
+            if tag in _BLOCK:
+                flush()
+            if tag in _VOID or attributes.rstrip().endswith("/"):
+                continue
+            if tag in _BLOCK and tag not in ("html", "head", "body"):
+                close(("p",))
             if tag in _CLOSED_BY_SIBLING:
-                last = max((k for k, (t, _, _) in enumerate(stack) if t in ("ul", "ol", "dl", "table", "select", "menu", "dir")), default=-1)
-                close(_CLOSED_BY_SIBLING[tag], last + 1)
+                close(_CLOSED_BY_SIBLING[tag], stack.lists[-1] + 1 if stack.lists else 0)
             if tag == "body":
-                close("head")
-            article, furniture = stack[-1][1:] if stack else (False, False)
-            own, by_name = _is_furniture(tag, m[4], article, m.start() not in unnamed)
-            while named and named[-1][0] >= len(stack):
+                close(("head",))
+            article, furniture = stack.states[-1][:2]
+            own, by_name = _is_furniture(tag, attributes, article, start not in unnamed)
+            while named and named[-1][0] >= len(stack.tags):
                 named.pop()
             if by_name:
-                named.append((len(stack), m.start()))
-            if tag in _ARTICLE:
-                around.update(start for _, start in named)
-            stack.append((tag, article or tag in _ARTICLE, furniture or own))
-    if at < len(html):
-        add(html[at:])
+                named.append((len(stack.tags), start))
+            if tag in _ARTICLE and named:
+                around.update(at for _, at in named)
+                named.clear()
+            stack.push(tag, article or tag in _ARTICLE, furniture or own)
     flush()
     return lines
 
 
+#: Pairs of equal lines from which on a subsequence is found by halves.
+_MOST_PAIRS = 2_000_000
+
+
 def common_subsequence(a: list[int], b: list[int]) -> set[int]:
     """Positions in ``a`` of a longest common subsequence of ``a`` and ``b``."""
     head = 0
@@ -178,6 +263,8 @@ def common_subsequence(a: list[int], b: list[int]) -> set[int]:
     where: dict[int, list[int]] = {}
     for j in range(len(b) - tail - 1, head - 1, -1):
         where.setdefault(b[j], []).append(j)
+    if sum(len(where.get(x, ())) for x in a[head : len(a) - tail]) > _MOST_PAIRS:
+        return shared | {head + i for i in _by_halves(a[head : len(a) - tail], b[head : len(b) - tail])}
     ends: list[int] = []
     chains: list[tuple[int, tuple | None]] = []
     for i in range(head, len(a) - tail):
@@ -196,6 +283,31 @@ def common_subsequence(a: list[int], b: list[int]) -> set[int]:
     return shared
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each beginning of ``b``, a bit a place."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & every
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _by_halves(a: list[int], b: list[int]) -> set[int]:
+    """``common_subsequence`` in little memory: where the halves of ``a`` meet best in ``b``, again and again."""
+    if not a or not b:
+        return set()
+    if len(a) == 1:
+        return {0} if a[0] in b else set()
+    half = len(a) // 2
+    j = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    return _by_halves(a[:half], b[:j]) | {half + i for i in _by_halves(a[half:], b[j:])}
+
+
 def _runs(keys: list[int]) -> list[int]:
     """Start of each run of equal keys: a menu's lines count as one."""
     return [i for i, k in enumerate(keys) if not i or keys[i - 1] != k]
@@ -226,40 +338,48 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["html"]).append_column("keys", pa.array(packed, pa.binary()))
 
 
+_EDGE = pa.schema([("part", pa.int32()), ("first_host", pa.string()), ("first_path", pa.string()), ("first_keys", pa.binary()), ("last_host", pa.string()), ("last_path", pa.string()), ("last_keys", pa.binary())])
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first and the last row of a sorted partition."""
     first = last = None
     for batch in batches:
         if batch.num_rows:
-            first = first or (batch.column("host")[0].as_py(), batch.column("keys")[0].as_py())
-            last = batch.column("host")[-1].as_py(), batch.column("keys")[-1].as_py()
+            row = lambda i, b=batch: tuple(b.column(c)[i].as_py() for c in ("host", "path", "keys"))
+            first, last = first or row(0), row(batch.num_rows - 1)
     if first:
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "first_host": [first[0]], "first_keys": [first[1]], "last_host": [last[0]], "last_keys": [last[1]]}, schema=pa.schema([("part", pa.int32()), ("first_host", pa.string()), ("first_keys", pa.binary()), ("last_host", pa.string()), ("last_keys", pa.binary())]))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((TaskContext.get().partitionId(), *first, *last), _EDGE.types)], schema=_EDGE)
+
+
+def agreement(a: str, b: str) -> tuple[int, int]:
+    """How far two URL paths agree: whole segments, then characters."""
+    n = len(os.path.commonprefix([a, b]))
+    return a.count("/", 0, n) + (n == len(a) == len(b)), n
 
 
 def _paired(ends: list[tuple]):
-    """Each row with the keys of its predecessor in the host, or of its successor if it is the host's first."""
+    """Each row with the keys of the nearer of its neighbours in the host, the one before it if both are as near."""
+
+    def nearest(before: tuple | None, own: tuple, after: tuple | None) -> bytes | None:
+        near = [x for x in (before, after) if x is not None and x[0] == own[0] and own[0] is not None]
+        return max(near, key=lambda x: agreement(x[1], own[1]))[2] if near else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         before = max((e for e in ends if e[0] < part), default=None)
         after = min((e for e in ends if e[0] > part), default=None)
-        previous = (before[3], before[4]) if before else (None, None)
-        held = None  # the host's first row waits for its successor
+        previous, held = before[4:7] if before else None, None
         for batch in batches:
             out = []
-            for host, keys, k1, k2 in zip(*(batch.column(c).to_pylist() for c in ("host", "keys", "k1", "k2"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "keys", "k1", "k2"))):
                 if held:
-                    out.append((held[0], held[1], keys if held[2] == host else None))
-                    held = None
-                if previous[0] == host and host is not None:
-                    out.append((k1, k2, previous[1]))
-                else:
-                    held = (k1, k2, host)
-                previous = (host, keys)
+                    out.append((held[3], held[4], nearest(previous, held, row)))
+                    previous = held
+                held = row
             yield _pair_batch(out)
         if held:
-            yield _pair_batch([(held[0], held[1], after[2] if after and after[1] == held[2] and held[2] is not None else None)])
+            yield _pair_batch([(held[3], held[4], nearest(previous, held, after[1:4] if after else None))])
 
     return run
 
@@ -290,18 +410,20 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html counts as empty and has an empty text. A null url belongs to
     the empty host. A page alone on its host has no neighbour and loses its
-    furniture only. Rows that are equal in id, url and html get one result
-    each; an empty table gives an empty result.
+    furniture only. Rows that are equal in id, url and html count once as
+    neighbours and get one result each; of pages with one URL each is the
+    other's neighbour. An empty table gives an empty result; other columns are
+    not looked at.
 
     Only line keys are sorted by host and path, in ranges that split a large
     host; two rows for each range reach the driver to pair pages across ranges.
     """
-    k1, k2 = row_keys(F.col("page_id"), F.concat_ws("\0", "url", "html"))
+    k1, k2 = row_keys(F.col("page_id"), F.col("url"), F.col("html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), k1.alias("k1"), k2.alias("k2"))
     own = rows.select(_host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), "k1", "k2", "html")
-    keyed = own.mapInArrow(_keys, "host string, path string, k1 long, k2 long, keys binary")
-    ordered = checkpoint(keyed.repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2"))
-    ends = [tuple(r) for r in ordered.mapInArrow(_ends, "part int, first_host string, first_keys binary, last_host string, last_keys binary").collect()]
-    near = ordered.mapInArrow(_paired(ends), "k1 long, k2 long, near binary").dropDuplicates(["k1", "k2"])
+    keyed = own.mapInArrow(_keys, "host string, path string, k1 long, k2 long, keys binary").dropDuplicates(["k1", "k2"])
+    ordered = checkpoint(checkpoint(keyed).repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2"))
+    ends = [tuple(r) for r in ordered.mapInArrow(_ends, "part int, first_host string, first_path string, first_keys binary, last_host string, last_path string, last_keys binary").collect()]
+    near = ordered.mapInArrow(_paired(ends), "k1 long, k2 long, near binary")
     # a hash table of keys spares sorting the pages
     return rows.join(near.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
