@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from numera.llm.common import held_out
+from numera.llm.common import held_out, row_keys
 
 GRAMS = (1, 2, 3)
 HASH_BITS = 15
 #: Bound of the training sample: documents for each language.
 SAMPLE = 1000
+#: Languages that are learned at most: those with most documents, then by name.
+MOST_LANGUAGES = 500
 #: Characters that are hashed at a time.
 _CHUNK = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -82,7 +84,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 42) -> LanguageModel:
     """FTRL-Proximal over rows (feature numbers, counts); every fifth row is set aside for the temperature.
 
-    Without rows the model knows no language; with one language it always
+    A single row is both. Without rows the model knows no language; with one language it always
     answers that one.
     """
     langs = sorted(set(labels))
@@ -91,7 +93,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.nd
     y = np.array([langs.index(x) for x in labels])
     order = np.random.default_rng(seed).permutation(len(rows))
     aside, own = order[::5], order[np.arange(len(order)) % 5 > 0]
-    if not len(own) or len(rows) < 25:
+    if not len(own):
         aside = own = order
     weights = []
     for i, tf in rows:
@@ -146,14 +148,16 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tf = gram_counts(value.as_py() or "")
             i = np.flatnonzero(tf)
             rows.append(np.stack([i, tf[i]]).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], ["lang", "grams"])
+        yield batch.drop_columns(["text"]).append_column("grams", pa.array(rows, pa.binary()))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and non-null lang of rows with crc32(doc_id as text) mod 4 other than 2.
 
     Document frequencies cover all those rows. The weights are fitted on at
-    most ``sample`` of them for each language, drawn by a hash of the id.
+    most ``sample`` of them for each of at most ``MOST_LANGUAGES`` languages,
+    drawn by a hash of id and text; rows without an id are learned from too. A
+    row's counts have at most 2 ** HASH_BITS entries, however long its text is.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     size = 1 << HASH_BITS
@@ -161,16 +165,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     seen = np.zeros(size + 1)
     seen[found["bin"].to_numpy(int)] = found["n"].to_numpy(float)
     idf = np.log((1 + seen[size]) / (1 + seen[:size])) + 1
-    # a hash leaves about 1.5 samples of each language, whatever its size, for the window to choose from
-    turns = own.select("lang", "doc_id", F.xxhash64("doc_id").alias("turn"))
-    share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(1.5 * sample) / F.col("n")).alias("share"))
-    # a row for each language, of which the model itself has a column of weights
-    turns = turns.join(F.broadcast(share), "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "doc_id"))
+    keys = row_keys(F.col("doc_id"), F.col("text"))
+    turns = own.select("lang", keys[0].alias("k1"), keys[1].alias("k2")).withColumn("turn", F.xxhash64(F.lit("turn"), "k1", "k2"))
+    share = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    # a hash leaves about 1.5 samples of each language, whatever its size, for the window to choose from; rows that
+    # are equal in id and text count once
+    turns = turns.join(F.broadcast(share), "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.lit(1.5 * sample) / F.col("n") * 1_000_003).select("lang", "turn", "k1", "k2").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "k1", "k2"))
     drawn = turns.withColumn("rank", rank).where(F.col("rank") <= sample)
-    # the broadcast is bounded: at most ``sample`` ids for each language
-    picked = own.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
-    got = picked.mapInArrow(_gram_rows, "lang string, grams binary").toArrow()
+    # the broadcast is bounded: at most ``sample`` rows for each language
+    picked = own.select("*", keys[0].alias("k1"), keys[1].alias("k2")).join(F.broadcast(drawn.select("lang", "k1", "k2")), ["lang", "k1", "k2"], "left_semi").select("lang", "k1", "k2", "text")
+    got = picked.mapInArrow(_gram_rows, "lang string, k1 long, k2 long, grams binary").dropDuplicates(["lang", "k1", "k2"]).toArrow()
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("grams").to_pylist()))
     rows = []
     for _, packed in pairs:
@@ -201,4 +206,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``identify`` by a model that learns from the rows of ``docs`` which are not held out."""
     return identify(docs, train(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample))

@@ -2,7 +2,8 @@
 
 Terms are words and their first letters, so that an insult is met in any
 inflection; they are hashed into ``2 ** HASH_BITS`` numbers. Terms whose
-presence goes with the label, either way, become the machine's features. Its
+presence goes with the label, either way, become the machine's features, and so
+do terms that tell nothing alone if their presence together does. Its
 score is a bias, a weight for each feature and, for each pair of features, the
 product of two learned vectors: a pair such as an insult and a group's name can
 weigh more than both words by themselves.
@@ -28,7 +29,11 @@ HASH_BITS = 22
 PREFIXES = (4, 5, 6)
 #: Bound of the training sample: documents for each label.
 SAMPLE = 2500
+#: Bound of the training sample: characters of a document; longer ones are scored, but not learned from.
+SAMPLE_CHARS = 200_000
 FEATURES = 20_000
+#: Frequent terms whose pairs are tested.
+PAIRED = 1500
 FACTORS = 8
 _WORDS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
@@ -48,6 +53,30 @@ def document_terms(text: str | None) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
+def _chi_square(seen: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    """Presence against label, two by two."""
+    return (hits - seen * toxic / n) ** 2 * n * n / np.maximum(1e-9, toxic * (n - toxic) * seen * (n - seen) / n)
+
+
+def _telling_pairs(col: np.ndarray, row: np.ndarray, labels: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Those of the terms ``number`` that are in a pair which tells more than both its terms.
+
+    col and row say which of all terms is in which document.
+    """
+    n, toxic, place = len(labels), int(labels.sum()), np.full(int(col.max(initial=0)) + 1, -1)
+    place[number] = np.arange(len(number))
+    own = place[col] >= 0
+    x = np.zeros((n, len(number)), np.float32)
+    x[row[own], place[col[own]]] = 1
+    seen, hits = x.T @ x, x.T @ (x * labels[:, None].astype(np.float32))
+    chi = _chi_square(seen.astype(float), hits.astype(float), n, toxic)
+    alone = np.diag(chi).copy()
+    np.fill_diagonal(chi, 0)
+    # few pairs pass by chance, such as are in a handful of documents; the machine learns little from them
+    good = (chi > 2 * np.log(max(2, len(number)) ** 2 / 2) + 2) & (seen >= 3) & (chi > 1.5 * np.maximum(alone[:, None], alone[None]))
+    return number[good.any(axis=1)]
+
+
 @dataclass
 class Machine:
     """The fitted model: features by hashed term, their weights and vectors."""
@@ -69,7 +98,7 @@ class Machine:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None, seed: int = 42, epochs: int = 120, rate: float = 0.05, decay: float = 1e-2, pair_decay: float = 1e-2) -> Machine:
-    """Logistic loss, full-batch Adam on the features that a chi-square test picks.
+    """Logistic loss, full-batch Adam on the features that chi-square tests of terms and of pairs pick.
 
     ``share`` is that of label 1 among all labelled documents, by default among
     the rows. The labels' weights have the square root of its odds: less than
@@ -88,12 +117,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None,
     terms, number = np.unique(flat, return_inverse=True)
     seen = np.bincount(number, minlength=len(terms)).astype(float)
     hits = np.bincount(number, weights=labels[owner], minlength=len(terms))
-    # presence against label, two by two
-    expected = seen * toxic / n
-    chi = (hits - expected) ** 2 * n * n / np.maximum(1e-9, toxic * (n - toxic) * seen * (n - seen) / n)
+    chi = _chi_square(seen, hits, n, toxic)
     # so high that of all terms, if none were telling, about one would pass
     good = np.flatnonzero((chi > 2 * np.log(len(terms)) + 2) & (seen >= 3))
-    good = np.sort(good[np.argsort(-chi[good], kind="stable")[:FEATURES]])
+    good = good[np.argsort(-chi[good], kind="stable")[:FEATURES]]
+    frequent = np.setdiff1d(np.flatnonzero((seen >= 3) & (2 * seen <= n)), good)
+    frequent = np.sort(frequent[np.argsort(-seen[frequent], kind="stable")[:PAIRED]])
+    good = np.union1d(good, _telling_pairs(number, owner, labels, frequent))
     place = np.full(len(terms), -1)
     place[good] = np.arange(len(good))
     keep = place[number] >= 0
@@ -131,13 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     Rows with crc32(doc_id as text) mod 5 = 0 are held out. A null label does
     not count; of several labels for an id the highest does. Only texts and
-    labels are learned from, whole texts each.
+    labels are learned from, whole texts of at most ``SAMPLE_CHARS`` each.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
     own = own.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # at most 2 * sample rows, so the broadcast is bounded
     drawn = [own.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in (0, 1)]
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    picked = texts.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("doc_id", "toxic", "text")
     # an id that has several rows counts once, so that the sample keeps its bound
     got = picked.mapInArrow(_term_rows, "doc_id long, toxic int, terms binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("terms").alias("terms")).toArrow()
     of = {r["toxic"]: r["count"] for r in own.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}

@@ -60,6 +60,28 @@ def test_pairs_weigh_more_than_their_words():
     assert pair > 0
 
 
+def test_words_that_tell_only_together_are_learned():
+    # two frequent words of which neither goes with the label, but both together do
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.3
+        toxic = a and b
+        if rng.random() < 0.5 and (a or b) and not toxic:
+            a = b = False
+        words = set(rng.integers(10, 400, 25).tolist()) | ({1} if a else set()) | ({2} if b else set())
+        rows.append(np.array(sorted(words), np.int32))
+        labels.append(float(toxic))
+    labels = np.array(labels)
+    # most other words stay out
+    picked = toxicity._telling_pairs(np.concatenate(rows).astype(np.int64), np.repeat(np.arange(3000), [len(r) for r in rows]), labels, np.arange(1, 400))
+    assert {1, 2} <= set(picked.tolist()) and len(picked) < 60
+    machine = toxicity.fit(rows[:2400], labels[:2400])
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    got = machine.scores([np.array([place[t] for t in r.tolist() if t in place], np.int64) for r in rows[2400:]]) >= 0.5
+    assert np.mean(got == labels[2400:].astype(bool)) > 0.97
+
+
 def test_nothing_to_learn(spark, docs_of):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs_of([]), empty).count() == 0
