@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,9 @@ PIECE = 4096
 WINDOW = 64
 #: Stretches whose tokens are remembered.
 REMEMBERED = 300_000
-#: Bytes of texts that are encoded at a time.
+#: Bytes of texts, and texts, that are encoded at a time.
 _AT_ONCE = 4 << 20
+_MOST_AT_ONCE = 2000
 #: A word of one pre-token, and perhaps a second one of punctuation.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
 # The steps before the merges for which a plain word's pre-tokens are known.
@@ -217,14 +219,11 @@ def _encode_batches(path: str, piece: int, with_ids: bool):
         encoder = None
         for batch in batches:
             encoder = encoder or TreeEncoder(path, piece)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
             at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < _AT_ONCE):
-                    size += len(texts[to])
-                    to += 1
-                ids = encoder.encode(texts[at:to])
+            while at < batch.num_rows:
+                to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at : at + _MOST_AT_ONCE], dtype=np.int64), _AT_ONCE, "right")))
+                ids = encoder.encode([t or "" for t in batch.column("text").slice(at, to - at).to_pylist()])
                 columns = [
                     batch.column("doc_id").slice(at, to - at),
                     pa.array([len(x) for x in ids], pa.int64()),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import MOST_BROADCAST, checkpoint, row_keys, without
+from numera.llm.common import MOST_BROADCAST, batches_of, checkpoint, row_keys, without
 from numera.llm.components import connected_components
 from numera.llm.simhash import _pairs, bit_majority, shingle_hashes
 
@@ -40,8 +40,11 @@ ORDER_DOCS = 20_000
 ORDER_SHINGLES = 50_000
 #: Texts with one shingle that a task takes; more are split in blocks that meet pairwise.
 BLOCK = 50_000
+#: Pairs of sets, and texts, that Python gets at a time.
+PAIRS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1000
 #: Pairs that are looked at at a time.
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 
 
 def needed(share: float, n):
@@ -205,10 +208,12 @@ def _similar(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> Data
     ends = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count())
     wanted = ends.select("node")
     wanted = F.broadcast(wanted) if ends.count() <= MOST_BROADCAST else wanted
-    sets = checkpoint(rows.join(wanted, "node", "left_semi").mapInArrow(_sets(size), "node long, own binary").dropDuplicates(["node"]))
+    with batches_of(rows.sparkSession, TEXTS_AT_ONCE):
+        sets = checkpoint(rows.join(wanted, "node", "left_semi").mapInArrow(_sets(size), "node long, own binary").dropDuplicates(["node"]))
     # sets are too wide to be sent to all; a node with many pairs is a skewed join that adaptive execution splits
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_reached(least), "a long, b long"))
+    with batches_of(rows.sparkSession, PAIRS_AT_ONCE):
+        return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_reached(least), "a long, b long"))
 
 
 def similar_links(rows: DataFrame, features: DataFrame, blocks: DataFrame, size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
@@ -248,7 +253,8 @@ def features_of(docs: DataFrame, id_col: str, text_col: str, size: int, least: f
     named = often.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).orderBy("shingle").toArrow()
     common, count = named.column("shingle").to_numpy(), named.column("count").to_numpy()
     schema = "doc_id long, k1 long, k2 long, n int, fp long, prefix array<long>"
-    features = checkpoint(rows.mapInArrow(_features(size, least, common, count), schema))
+    with batches_of(docs.sparkSession, TEXTS_AT_ONCE):
+        features = checkpoint(rows.mapInArrow(_features(size, least, common, count), schema))
     # a shingle that is not named is in a few texts of each ORDER_DOCS
     split = [(int(s), math.ceil(c * every / block)) for s, c in zip(common.tolist(), count.tolist()) if c * every > block]
     return rows.select(F.col("k1").alias("node"), "text"), features, docs.sparkSession.createDataFrame(split, "shingle long, blocks long")
