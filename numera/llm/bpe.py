@@ -37,10 +37,11 @@ PIECE = 4096
 #: Bytes of the first window on each side of a join.
 WINDOW = 64
 #: Stretches whose tokens are remembered.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of texts, and texts, that are encoded at a time.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 20
 _MOST_AT_ONCE = 2000
+_RESULTS = 2000
 #: A word of one pre-token, and perhaps a second one of punctuation.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
 # The steps before the merges for which a plain word's pre-tokens are known.
@@ -131,8 +132,11 @@ class TreeEncoder:
                 self.known[s] = self._long(s.decode())
             else:
                 rest.append(s)
-        for s, e in zip(rest, self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
+        # the library's results are wide, so they are taken in parts
+        for at in range(0, len(rest), _RESULTS):
+            part = rest[at : at + _RESULTS]
+            for s, e in zip(part, self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False)):
+                self.known[s] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as the library encodes it whole."""
