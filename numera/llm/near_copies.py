@@ -40,8 +40,9 @@ ORDER_DOCS = 20_000
 ORDER_SHINGLES = 50_000
 #: Texts with one shingle that a task takes; more are split in blocks that meet pairwise.
 BLOCK = 50_000
-#: Pairs of sets, and texts, that Python gets at a time.
-PAIRS_AT_ONCE = 256
+#: Texts of a family that a task compares; more are split in blocks that meet pairwise.
+MEMBERS = 5000
+#: Texts that Python gets at a time.
 TEXTS_AT_ONCE = 1000
 #: Pairs that are looked at at a time.
 _CHUNK = 1 << 17
@@ -149,34 +150,27 @@ def _groups(of):
     return run
 
 
-def _shared(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of shingles that more than one row has."""
-    at = np.arange(len(ends))
-    more = (ends - at > 1) | np.append(False, ends[:-1] == ends[1:])
-    if more.any():
-        yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in rows], ["shingle", "block", "node", "n", "fp"])
-
-
-def _met(least: float, distance: int, nearest: bool):
-    """Pairs (a, b, h) of one group that sizes and fingerprints allow and that are not of one root: of each row's
-    partners before it the nearest, or all."""
+def _met(least: float, distance: int):
+    """Edges (a, b) that connect, group by group, what pairs connect that sizes and fingerprints allow: at most one a row."""
 
     def of(rows: list[np.ndarray], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, _, node, n, fp, root = rows
+        _, _, node, n, fp = rows
         at = np.arange(len(ends))
+        label = at.copy()
         for i, j in _pairs(at + 1, ends - at - 1, _CHUNK):
-            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= needed(least, np.maximum(n[i], n[j])))
+            fits = (label[i] != label[j]) & (node[i] != node[j]) & (np.minimum(n[i], n[j]) >= needed(least, np.maximum(n[i], n[j])))
             i, j = i[fits], j[fits]
-            x = (fp[i] ^ fp[j]).view(np.uint64)
-            near = np.union1d(ring_fits(x, distance), np.flatnonzero(np.minimum(n[i], n[j]) < FEW))
-            i, j, h = i[near], j[near], np.bitwise_count(x[near]).astype(np.int32)
-            if nearest and len(i):
-                order = np.lexsort((i, h, j))
-                first = order[np.flatnonzero(np.append(True, j[order][1:] != j[order][:-1]))]
-                i, j, h = i[first], j[first], h[first]
-            if len(i):
-                a, b = node[i], node[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(h)], ["a", "b", "h"])
+            near = np.union1d(ring_fits((fp[i] ^ fp[j]).view(np.uint64), distance), np.flatnonzero(np.minimum(n[i], n[j]) < FEW))
+            i, j = i[near], j[near]
+            while len(i := i[open_ := label[i] != label[j]]):
+                j = j[open_]
+                low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                np.minimum.at(label, high, low)
+                while (label != label[label]).any():
+                    label = label[label]
+        own = np.flatnonzero(label != at)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], ["a", "b"])
 
     return _groups(of)
 
@@ -184,63 +178,75 @@ def _met(least: float, distance: int, nearest: bool):
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(_shingles(t, size)).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+            own = [np.unique(_shingles(t, size)) for t in batch.column("text").cast(pa.binary())]
+            prints = bit_majority(np.concatenate([np.zeros(0, np.uint64), *own]), np.array([len(x) for x in own], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(prints.view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "fp", "own"])
 
     return run
 
 
-def _reached(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= needed(least, len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def similar_pairs(sets: list[np.ndarray], fp: np.ndarray, least: float, distance: int) -> Iterator[tuple[int, int]]:
+    """Index pairs that connect what all pairs connect that reach ``least`` and have fingerprints within
+    ``distance``, or few shingles: a spanning forest. Each set is counted against all others at once."""
+    n = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    holder, many = np.repeat(np.arange(len(sets)), n)[order], np.bincount(number)
+    start, first = np.cumsum(many) - many, np.cumsum(n) - n
+    label = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        own = number[first[i] : first[i] + n[i]]
+        count = many[own]
+        places = np.arange(count.sum()) + np.repeat(start[own] - np.cumsum(count) + count, count)
+        both = np.bincount(holder[places], minlength=len(sets))[:i]
+        j = np.flatnonzero((both > 0) & (both >= needed(least, n[i] + n[:i] - both)))
+        j = j[(np.minimum(n[i], n[j]) < FEW) | np.isin(np.arange(len(j)), ring_fits(fp[j] ^ fp[i], distance))]
+        roots, at = np.unique(label[j], return_index=True)
+        yield from ((i, int(j[k])) for k in at)
+        if len(roots):
+            label[np.isin(label, roots)] = roots[0]
+            label[i] = roots[0]
+
+
+def _compared(least: float, distance: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        fp = group.column("fp").to_numpy()[first].view(np.uint64)
+        sets = [np.frombuffer(group.column("own")[int(k)].as_py(), np.uint64) for k in first]
+        pairs = list(similar_pairs(sets, fp, least, distance)) if len(node) > 1 else []
+        return pa.table({"a": pa.array([node[i] for i, _ in pairs], pa.int64()), "b": pa.array([node[j] for _, j in pairs], pa.int64())})
 
     return run
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, size: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of shingles reach ``least``; ``rows`` has (node, text)."""
-    ends = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count())
-    wanted = ends.select("node")
-    wanted = F.broadcast(wanted) if ends.count() <= MOST_BROADCAST else wanted
-    with batches_of(rows.sparkSession, TEXTS_AT_ONCE):
-        sets = checkpoint(rows.join(wanted, "node", "left_semi").mapInArrow(_sets(size), "node long, own binary").dropDuplicates(["node"]))
-    # sets are too wide to be sent to all; a node with many pairs is a skewed join that adaptive execution splits
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    with batches_of(rows.sparkSession, PAIRS_AT_ONCE):
-        return checkpoint(both.select("a", "b", "x", "y").mapInArrow(_reached(least), "a long, b long"))
-
-
-def similar_links(rows: DataFrame, features: DataFrame, blocks: DataFrame, size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE) -> DataFrame:
+def similar_links(rows: DataFrame, features: DataFrame, blocks: DataFrame, size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE, members: int = MEMBERS) -> DataFrame:
     """Pairs (a, b) of nodes that connect whatever all pairs connect that have a similarity of ``least`` and
     fingerprints within ``distance`` bits, or fewer than ``FEW`` shingles.
 
-    First every text is compared to the nearest one it meets; then all pairs
-    that meet and are not connected yet.
+    First texts are put into families, by what sizes and fingerprints allow
+    among those that meet: no more edges than rows. Then the texts of a family
+    are compared by their shingles, each of which is sent once; families of
+    more than ``members`` texts in blocks that meet pairwise.
     """
     met = features.select(F.col("k1").alias("node"), "n", "fp", F.explode("prefix").alias("shingle"))
     met = met.join(F.broadcast(blocks), "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = met.withColumn("own", own).withColumn("other", other).withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    met = met.select("shingle", "block", "node", "n", "fp").repartition("shingle", "block").sortWithinPartitions("shingle", "block")
-    met = checkpoint(met.mapInArrow(_groups(_shared), "shingle long, block long, node long, n int, fp long"))
+    met = _dealt(met, "block").select("shingle", "block", "node", "n", "fp").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "node")
+    edges = checkpoint(met.mapInArrow(_met(least, distance), "a long, b long").distinct())
+    home = checkpoint(connected_components(edges))
+    # families above a block are few: each has that many texts
+    large = home.groupBy("root").count().where(F.col("count") > members).select("root", F.ceil(F.col("count") / members).alias("blocks"))
+    wanted = home.select("node")
+    wanted = F.broadcast(wanted) if home.count() <= MOST_BROADCAST else wanted
+    with batches_of(rows.sparkSession, TEXTS_AT_ONCE):
+        sets = rows.join(wanted, "node", "left_semi").mapInArrow(_sets(size), "node long, fp long, own binary").join(home, "node")
+        sets = _dealt(sets.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "block")
+        return checkpoint(sets.groupBy("root", "block").applyInArrow(_compared(least, distance), "a long, b long"))
 
-    def pairs_of(rooted: DataFrame, nearest: bool) -> DataFrame:
-        sorted_rows = rooted.select("shingle", "block", "node", "n", "fp", "root").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "node")
-        return sorted_rows.mapInArrow(_met(least, distance, nearest), "a long, b long, h int")
 
-    first = pairs_of(met.withColumn("root", F.col("node")), True).groupBy("b").agg(F.min_by("a", F.struct("h", "a")).alias("a"))
-    first = _similar(checkpoint(first.select("a", "b")), rows, size, least)
-    home = checkpoint(connected_components(first))
-    # a text has one home and meets by a fifth of its shingles
-    rooted = met.join(home, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = checkpoint(pairs_of(rooted, False).select("a", "b").distinct())
-    return first.unionByName(_similar(rest, rows, size, least))
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """Rows once for each pair of blocks of which one is theirs; ``blocks`` says how many there are, one for most."""
+    rows = rows.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumn(name, F.least("own_block", "other") * F.col("blocks") + F.greatest("own_block", "other"))
 
 
 def features_of(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,7 +266,7 @@ def features_of(docs: DataFrame, id_col: str, text_col: str, size: int, least: f
     return rows.select(F.col("k1").alias("node"), "text"), features, docs.sparkSession.createDataFrame(split, "shingle long, blocks long")
 
 
-def near_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def near_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = LEAST, distance: int = DISTANCE, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
     """The rows of ``docs``, with all columns, of which one stays for each group that similar pairs connect.
 
     The row with the smallest id stays (null last, then by row key); of rows
@@ -270,7 +276,7 @@ def near_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result. Columns of any name pass through.
     """
     rows, features, blocks = features_of(docs, id_col, text_col, size, least, block)
-    home = connected_components(similar_links(rows, features, blocks, size, least, distance))
+    home = connected_components(similar_links(rows, features, blocks, size, least, distance, members))
     named = features.select("doc_id", "k1", "k2").distinct()
     rank = F.struct(F.col("doc_id").isNull().alias("null_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("k1").alias("k1"), F.col("k2").alias("k2"))
     member = checkpoint(named.join(home.withColumnRenamed("node", "k1"), "k1").select("root", rank.alias("rank")))

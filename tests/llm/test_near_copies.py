@@ -53,7 +53,7 @@ def survivors(all_rows):
 def test_survivors_against_all_pairs(docs_of, monkeypatch, block, hot):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     docs = docs_of(rows())
-    got = near_copies.near_survivors(docs, block=block)
+    got = near_copies.near_survivors(docs, block=block, members=block)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.doc_id is None) for r in got.collect()) == survivors(rows())
 
