@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from numera.llm.common import row_keys
+from numera.llm.common import checkpoint, row_keys
 from numera.llm.license_texts import TEMPLATES
 
 #: Words too frequent to tell anything.
@@ -121,7 +121,9 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
     share = least / (2 - least)
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
     pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(telling) + r")(?![\p{L}\p{N}])"
+    # few texts have a telling word; they are read three times
     texts = docs.where(F.lower(F.col(text_col)).rlike(pattern)).select(k1.alias("k1"), k2.alias("k2"), F.split(normalised(F.col(text_col)), " ").alias("w"))
+    texts = checkpoint(texts)
     hits = texts.select("k1", "k2", F.posexplode(_bigrams(F.col("w"))).alias("pos", "bigram")).join(grams, "bigram").join(whole.select("template", "n", "length"), "template")
     hits = hits.select("k1", "k2", "template", "n", "length", "pos", "offset", "probe")
     # a window meets the hits of two bins of its template's length
