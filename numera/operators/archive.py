@@ -1,9 +1,7 @@
-"""A prime archive: chunks of equal prime counts, their index, and questions that know what is covered."""
+"""Stored primes in chunks of equal counts, their index, and questions that know what is covered."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,14 +121,10 @@ def exact_bytes(values: list[int]) -> bytes:
 
 
 def encoded_sizes(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, exact_bytes): bytes of each chunk's delta coding."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        p = np.sort(group.column("p").to_numpy())
-        d = np.diff(p)
-        size = 16 + sum(int((d >= (1 << 7 * k)).sum()) for k in range(1, 9)) + len(d)
-        return pa.table({"chunk_id": [key[0].as_py()], "exact_bytes": [size]})
-
-    return chunks.groupBy("chunk_id").applyInArrow(run, "chunk_id long, exact_bytes long")
+    """(chunk_id, exact_bytes): bytes of each chunk's delta coding, 16 for the head and 7 bits of a difference in a byte."""
+    delta = F.col("p") - F.lag("p").over(Window.partitionBy("chunk_id").orderBy("p"))
+    size = sum((F.when(F.col("delta") >= 1 << 7 * k, 1).otherwise(0) for k in range(1, 9)), F.lit(1))
+    rows = chunks.select("chunk_id", delta.alias("delta"))
+    return rows.groupBy("chunk_id").agg((F.lit(16) + F.coalesce(F.sum(F.when(F.col("delta").isNotNull(), size)), F.lit(0))).cast("long").alias("exact_bytes"))
 
 

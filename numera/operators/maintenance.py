@@ -42,6 +42,12 @@ def islands(ids: DataFrame, key: str = "id", width: int = 1 << 16) -> DataFrame:
     return pairs.select("first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
+def first_ranges(runs: DataFrame, most: int = 6) -> DataFrame:
+    """One row (ranges, more): the first ``most`` runs as text, and how many follow them."""
+    text = ranges_text(runs.orderBy("first").limit(most))
+    return text.crossJoin(runs.agg(F.greatest(F.count("*") - most, F.lit(0).cast("long")).alias("more")))
+
+
 def ranges_text(runs: DataFrame) -> DataFrame:
     """One row (ranges): runs as a-b or a, joined by commas in order. One row in all, so for reports."""
     text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))

@@ -95,6 +95,16 @@ def is_prime(numbers: DataFrame, column: str = "n") -> DataFrame:
     return distinct.repartitionByRange("n").mapInPandas(_flagged, "n long, is_prime boolean")
 
 
+def strong_tests(numbers: DataFrame, bases: tuple[int, ...], column: str = "n") -> DataFrame:
+    """(n, composite): whether one of the bases is a strong witness, for odd longs above all of them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(composite=[any(strong_witness(int(n), a) for a in bases) for n in frame["n"]])
+
+    return numbers.select(F.col(column).cast("long").alias("n")).distinct().mapInPandas(run, "n long, composite boolean")
+
+
 def smallest_divisor(numbers: DataFrame, column: str = "n", limit: int = TRIAL_LIMIT) -> DataFrame:
     """(n, divisor): smallest prime divisor up to ``limit`` other than n itself, null without one."""
     base = base_primes(limit)

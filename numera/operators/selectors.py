@@ -45,6 +45,36 @@ def checksum(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(total, F.lit(0)).cast("decimal(20,0)").alias("checksum"))
 
 
+def position_sum(selector: Column) -> Column:
+    """Sum of the numbers of the set bits: each binary digit of the numbers is counted under a mask of its own."""
+    masks = [sum(1 << i for i in range(BITS) if i >> k & 1) for k in range(6)]
+    return sum((F.bit_count(selector.bitwiseAND(F.lit(m).cast("long"))).cast("long") * (1 << k) for k, m in enumerate(masks)), F.lit(0).cast("long"))
+
+
+def word_checksum(words: DataFrame) -> DataFrame:
+    """``checksum`` of the words' events, from the words alone: nothing is made for a set bit.
+
+    Sums are kept in halves of 32 bits, so that they stay longs for 2^31 words.
+    """
+    n = F.bit_count("selector").cast("long")
+    digit = F.element_at(F.array(*(F.lit(d).cast("long") for d in (1, 3, 7, 9))), F.col("class_index") + 1)
+    in_blocks = F.col("block") * n
+    sums = words.agg(
+        F.sum(F.shiftright(in_blocks, 32)).alias("high"),
+        F.sum(in_blocks.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
+        F.sum(position_sum(F.col("selector"))).alias("places"),
+        F.sum(digit * n).alias("digits"),
+    )
+    wide = {c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)") for c in sums.columns}
+    periods = (wide["high"] * F.lit(1 << 32).cast("decimal(10,0)") + wide["low"]) * (10 * BITS) + wide["places"] * 10 + wide["digits"]
+    return sums.select(((periods * 20) % F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)").alias("checksum"))
+
+
+def kind_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """(kind, n): how many blocks are stored each way."""
+    return rows.groupBy(kind).agg(F.count("*").alias("n"))
+
+
 def cell(selector: Column, i: int) -> Column:
     """The i-th slice of six bits."""
     return F.shiftrightunsigned(selector, 6 * i).bitwiseAND(63)

@@ -89,7 +89,10 @@ def primes_relational(spark: SparkSession, hi: int) -> DataFrame:
     """Primes below ``hi``: integers anti-joined to the multiples of base primes from their squares on."""
     # at most the primes up to the root of hi
     base = spark.createDataFrame([(int(p),) for p in base_primes(base_limit(hi))], "b long")
-    multiples = base.select(F.explode(F.expr(f"sequence(b * b, {max(hi - 1, 0)}L, b)")).alias("p"))
+    # a row for each base prime and segment, so that no task has all multiples of a small prime
+    parts = segments(spark, 0, max(hi, 1)).crossJoin(F.broadcast(base)).where("b * b < hi")
+    parts = parts.withColumn("first", F.greatest(F.col("b") * F.col("b"), F.expr("(lo + b - 1) div b * b"))).where("first < hi")
+    multiples = parts.select(F.explode(F.expr("sequence(first, hi - 1, b)")).alias("p"))
     return spark.range(2, max(hi, 2)).select(F.col("id").alias("p")).join(multiples, "p", "left_anti")
 
 

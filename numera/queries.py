@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from numera.functions import integers, masks
 from numera.operators import archive, groups, maintenance, primality, selectors, sieve, successor
 from numera.plans.segments import ranked
+from numera.sources import store
+from numera.streaming import incremental
 
 #: Primes in a chunk of the archive that the queries build from the order keys.
 CHUNK = 200
@@ -400,6 +404,13 @@ def selector_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT (sum(20 * o_orderkey) % 18446744073709551616)::BIGINT AS checksum FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 3, 7, 9))")
 def selector_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = selectors.word_checksum(selectors.pack(_table(spark, sf_dir, "orders"), "o_orderkey"))
+    return rows.select(F.col("checksum").cast("long").alias("checksum"))
+
+
+@_query("SELECT (sum(20 * o_orderkey) % 18446744073709551616)::BIGINT AS checksum FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 3, 7, 9))")
+def event_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a row for each event."""
     rows = selectors.checksum(selectors.events(selectors.pack(_table(spark, sf_dir, "orders"), "o_orderkey")))
     return rows.select(F.col("checksum").cast("long").alias("checksum"))
 
@@ -485,3 +496,65 @@ def next_prime_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prime_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks without a window over all primes."""
     return ranked(sieve.primes(spark, 0, _max_order_key(spark, sf_dir) + 1, 1000), "p", "segment").select("rank", "p")
+
+
+@_query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN blocks = 0 OR active = 240 * blocks THEN 'implicit_full' WHEN 4 * (blocks + 1) + active < 32 * blocks THEN 'sparse' ELSE 'bitmap' END AS kind FROM (" + _DENSITY + ")) GROUP BY 1")
+def storage_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selectors.kind_counts(_density(spark, sf_dir).select(selectors.storage_choice(F.col("blocks"), F.col("active")).alias("kind")))
+
+
+@_query("SELECT a, b, gcd(a, b)::BIGINT AS gcd, a + (((3 - a) % b) + b) % b AS first_congruent FROM (SELECT DISTINCT l_partkey AS a, l_suppkey + 1 AS b FROM lineitem)")
+def gcd_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest common divisors, and the first number from a on that is 3 modulo b."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1).alias("b")).distinct()
+    return rows.select("a", "b", integers.gcd(F.col("a"), F.col("b")).alias("gcd"), integers.first_congruent(F.col("a"), F.col("b"), F.lit(3)).alias("first_congruent"))
+
+
+@_query("SELECT DISTINCT o_orderkey AS n, EXISTS (SELECT 1 FROM range(2, 1000) d(d) WHERE d.d * d.d <= o_orderkey AND o_orderkey % d.d = 0) AS composite FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey > 7")
+def mr_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd order keys of which one of the bases 2, 3, 5 and 7, exact below 3.2 * 10^9, is a strong witness."""
+    return primality.strong_tests(_order_keys(spark, sf_dir).where("n % 2 = 1 and n > 7"), (2, 3, 5, 7))
+
+
+@_query("SELECT o_orderkey AS found, 60000 AS target, NULL::BIGINT AS last_prime, (o_custkey % 7)::DOUBLE AS seconds, CASE WHEN o_orderkey >= 60000 THEN 0.0 WHEN o_custkey % 7 > 0 THEN (60000 - o_orderkey) / nullif(o_orderkey / (o_custkey % 7)::DOUBLE, 0) END AS eta FROM orders")
+def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as progress reports."""
+    reports = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("found"), F.lit(60000).alias("target"), F.lit(None).cast("long").alias("last_prime"), (F.col("o_custkey") % 7).cast("double").alias("seconds"))
+    return incremental.eta(reports)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='numera-')}/primes-{uuid.uuid4().hex}"
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p FROM chunks WHERE p >= 11")
+def archive_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks written with index and commit row, and read again."""
+    path = _folder(spark)
+    store.write_archive(_chunks(spark, sf_dir), path)
+    return store.read_archive(spark, path)
+
+
+@_query(f"WITH {_CHUNKS} SELECT max(p) AS last_prime FROM chunks")
+def stored_last_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    store.write_archive(_chunks(spark, sf_dir), path)
+    return store.last_prime_of_index(store.read_index(spark, path))
+
+
+@_query(_nth("SELECT rank, p FROM r WHERE rank <= (SELECT count(*) FROM customer)", 200_000))
+def first_n_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many primes as there are customers, counted in batches, stopped after the first and resumed."""
+    path, n = _folder(spark), _table(spark, sf_dir, "customer").count()
+    incremental.first_n(spark, n, path, width=1 << 12, batch_segments=2, stop=lambda: True)
+    incremental.first_n(spark, n, path, width=1 << 14)
+    return incremental.committed(spark, path)
+
+
+@_query(f"WITH {_PRIMES}, g AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM primes), r AS (SELECT min(p) AS a, max(p) AS b, row_number() OVER (ORDER BY min(p)) AS k FROM g GROUP BY g.g) SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) FILTER (k <= 6) AS ranges, greatest(count(*) - 6, 0) AS more FROM r")
+def first_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.first_ranges(maintenance.islands(sieve.primes(spark, 0, _max_order_key(spark, sf_dir) + 1), "p"))

@@ -133,7 +133,7 @@ def read_older_chunks(spark: SparkSession, path: str, kind: str = "wheel") -> Da
 
 
 def read_mask_sheet(spark: SparkSession, path: str, sheet: int = 5, first_row: int = 6) -> DataFrame:
-    """(row_number, prime, cleaned_mask, full_mask, symbol_order): columns E to H of a workbook's sheet."""
+    """(row_number, prime, cleaned_mask, full_mask, symbol_order): columns F, E, G and H of a workbook's sheet."""
     ns = {"a": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(path) as book:
         shared = []
@@ -153,5 +153,5 @@ def read_mask_sheet(spark: SparkSession, path: str, sheet: int = 5, first_row: i
                 text = shared[int(value.text)] if cell.get("t") == "s" else value.text
             cells[re.match("[A-Z]+", cell.get("r"))[0]] = text
         if number >= first_row and all(c in cells for c in "EFGH"):
-            rows.append((number, int(float(cells["E"])), cells["F"], cells["G"], cells["H"]))
+            rows.append((number, int(float(cells["F"])), cells["E"], cells["G"], cells["H"]))
     return spark.createDataFrame(rows, "row_number int, prime long, cleaned_mask string, full_mask string, symbol_order string")

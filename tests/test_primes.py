@@ -199,3 +199,33 @@ def test_segment_stream(spark, tmp_path):
         query.stop()
     got = spark.read.parquet(f"{tmp_path}/stream").where("p < 500")
     assert got.count() == 95 and got.select("p").distinct().count() == 95
+
+
+def test_workbook_sheet(spark, tmp_path):
+    import zipfile
+
+    from numera.sources import store
+
+    cells = {"E": "f00f", "F": "11", "G": "7bdf", "H": "7bd"}
+    row = "".join(f'<c r="{c}6" t="inlineStr"><is><t>{v}</t></is></c>' if c != "F" else f'<c r="F6"><v>{v}</v></c>' for c, v in cells.items())
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as book:
+        book.writestr("xl/worksheets/sheet5.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"/><row r="6">{row}</row></sheetData></worksheet>')
+    assert [tuple(r) for r in store.read_mask_sheet(spark, str(tmp_path / "book.xlsx")).collect()] == [(6, 11, "f00f", "7bdf", "7bd")]
+
+
+def test_checksum_of_words_is_that_of_their_events(spark):
+    from numera.operators import selectors
+
+    words = spark.range(500).selectExpr("cast(id % 4 as int) as class_index", "id * id * 1000003 as block", "xxhash64(id) & (shiftleft(1L, 60) - 1) as selector")
+    assert selectors.word_checksum(words).collect() == selectors.checksum(selectors.events(words)).collect()
+    assert selectors.word_checksum(words.where("false")).first()[0] == 0
+
+
+def test_next_primes_of_far_keys_sieve_nothing_between(spark):
+    from numera.operators import successor
+
+    keys = [-5, 0, 1, 2, 7, 113, 10**15, 2**62, 1327]
+    got = {r.n: r.next_prime for r in successor.next_prime(spark.createDataFrame([(k,) for k in [*keys, None]], "n long")).collect()}
+    from numera.operators.primality import next_prime_int
+
+    assert got == {k: next_prime_int(k) for k in keys}
