@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,19 +41,45 @@ def answer_is_prime(keys: DataFrame, chunks: DataFrame, column: str = "n") -> Da
     rule); others are looked up in the chunk that spans them (source archive);
     where no chunk does, is_prime is null and status uncovered.
     """
-    n = keys.select(F.col(column).cast("long").alias("n")).where("n is not null").distinct()
     spans = index(chunks).where("first_prime is not null").select("chunk_id", "first_prime", "last_prime")
+    hits = chunks.select(F.col("p").alias("n"), F.lit(True).alias("hit")).where("n >= 11")
+    return _answers(keys, spans, lambda home: home.join(hits, "n", "left"), column)
+
+
+def stored_is_prime(keys: DataFrame, spans: DataFrame, bitmap: DataFrame, column: str = "n") -> DataFrame:
+    """``answer_is_prime`` from a stored index and the packed bitmap: one bit is read for each key, nothing is unpacked."""
+    # a cycle that two chunks share has a row in each
+    cycles = bitmap.groupBy("cycle").agg(F.bit_or("bits").alias("bits"))
+
+    def look(home: DataFrame) -> DataFrame:
+        rows = home.withColumn("cycle", div(F.col("n"), WHEEL)).join(cycles, "cycle", "left")
+        return rows.withColumn("hit", F.call_function("getbit", "bits", wheel_bit(F.col("n"))) == 1)
+
+    return _answers(keys, spans.where("first_prime is not null").select("chunk_id", "first_prime", "last_prime"), look, column)
+
+
+def _answers(keys: DataFrame, spans: DataFrame, look: Callable[[DataFrame], DataFrame], column: str) -> DataFrame:
+    n = keys.select(F.col(column).cast("long").alias("n")).where("n is not null").distinct()
     rule = F.when(F.col("n") < 2, F.lit(False)).when(F.col("n").isin(*DIRECT_PRIMES), F.lit(True)).when(~coprime_to_wheel(F.col("n")), F.lit(False))
     n = n.withColumn("rule", rule)
-    asked = n.where("rule is null")
     # the chunk that may span n is the last one that begins at or before it
-    home = _bracket(asked.select("n"), spans)
-    member = home.join(chunks.select(F.col("p").alias("n"), F.lit(True).alias("hit")).where("n >= 11"), "n", "left")
+    member = look(_bracket(n.where("rule is null").select("n"), spans))
     looked = member.select("n", F.when(F.col("covered"), F.coalesce("hit", F.lit(False))).alias("is_prime"), F.lit("archive").alias("source"), F.when(F.col("covered"), "ok").otherwise("uncovered").alias("status"))
     settled = n.where("rule is not null").select("n", F.col("rule").alias("is_prime"), F.lit("rule").alias("source"), F.lit("ok").alias("status"))
     return settled.unionByName(looked)
 
 
+def gaps(keys: DataFrame, spans: DataFrame, column: str = "n") -> DataFrame:
+    """(n, previous_last, next_first) for the distinct non-null longs that no chunk spans: the ends of the gap, null where it is open."""
+    n = keys.select(F.col(column).cast("long").alias("n")).where("n is not null").distinct()
+    spans = spans.where("first_prime is not null")
+    free = _bracket(n, spans).where(~F.col("covered")).select("n")
+    above = successors(free, spans.select(F.col("first_prime").alias("p"))).withColumnRenamed("p", "next_first")
+    # the end below n is the successor of -n among the ends with their sign turned
+    below = successors(free.select((-F.col("n")).alias("n")), spans.select((-F.col("last_prime")).alias("p"))).select((-F.col("n")).alias("n"), (-F.col("p")).alias("previous_last"))
+    return free.join(below, "n", "left").join(above, "n", "left").select("n", "previous_last", "next_first")
+
+
 def _bracket(keys: DataFrame, spans: DataFrame) -> DataFrame:
     """(n, covered): whether a chunk spans n. Chunks follow one another, so the one with the
     nearest end at or above n is the only one that can."""

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,28 +24,72 @@ EXACT_INDEX = "chunk_id long, prime_count long, first_prime long, last_prime lon
 
 
 def write_archive(chunks: DataFrame, path: str) -> None:
-    """Wheel bitmap, index, then the commit row: what it does not name is not there. Parquet with zstd."""
-    packed(chunks).repartitionByRange("chunk_id", "cycle").sortWithinPartitions("chunk_id", "cycle").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/wheel")
-    index(chunks).write.mode("overwrite").parquet(f"{path}/index")
-    rows = chunks.sparkSession.read.parquet(f"{path}/index").agg(F.count("*").alias("committed_chunks"), F.coalesce(F.sum("prime_count"), F.lit(0)).alias("committed_primes"), F.max("last_prime").alias("last_prime"))
-    rows.withColumn("encoding", F.lit("wheel-210")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    """Wheel bitmap and index in a version folder of their own, then the manifest row that commits it.
+
+    Readers follow the newest manifest row, so a write that is broken off leaves
+    the earlier version as it was. Earlier versions stay. One writer at a time.
+    """
+    spark = chunks.sparkSession
+    version = (_committed_version(spark, path) or 0) + 1
+    own = f"{path}/version={version}"
+    packed(chunks).repartitionByRange("chunk_id", "cycle").sortWithinPartitions("chunk_id", "cycle").write.mode("overwrite").option("compression", "zstd").parquet(f"{own}/wheel")
+    index(chunks).write.mode("overwrite").parquet(f"{own}/index")
+    rows = spark.read.parquet(f"{own}/index").agg(F.count("*").alias("committed_chunks"), F.coalesce(F.sum("prime_count"), F.lit(0)).alias("committed_primes"), F.max("last_prime").alias("last_prime"))
+    rows.select(F.lit(version).cast("long").alias("version"), "*", F.lit("wheel-210").alias("encoding")).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _committed_version(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.parquet(f"{path}/manifest").agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _committed_folder(spark: SparkSession, path: str) -> str:
+    version = _committed_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no committed archive: {path}")
+    return f"{path}/version={version}"
+
+
+def read_bitmap(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id, cycle, bits) of a committed archive; filters on both ids reach the scan."""
+    return spark.read.parquet(f"{_committed_folder(spark, path)}/wheel")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, p) of a committed archive; filters on chunk_id reach the scan."""
-    spark.read.parquet(f"{path}/manifest")  # fails without a commit
-    return unpacked(spark.read.parquet(f"{path}/wheel"))
+    return unpacked(read_bitmap(spark, path))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    return spark.read.parquet(f"{_committed_folder(spark, path)}/index")
+
+
+def archive_seed(spark: SparkSession, path: str) -> dict | None:
+    """found and last_prime of a committed archive, from its manifest; None without one or if it holds nothing."""
+    version = _committed_version(spark, path)
+    if version is None:
+        return None
+    row = spark.read.parquet(f"{path}/manifest").where(F.col("version") == version).first()
+    return {"found": row["committed_primes"], "last_prime": row["last_prime"]} if row["committed_primes"] and row["last_prime"] else None
+
+
+def write_tsv_index(rows: DataFrame, path: str) -> None:
+    """An index as tab-separated text with a header, in the order of the chunks."""
+    rows.orderBy("chunk_id").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def read_tsv_index(spark: SparkSession, path: str, schema: str = WHEEL_INDEX) -> DataFrame:
-    """An older index: tab-separated with a header; lines of another width are left out."""
+def read_tsv_index(spark: SparkSession, path: str, schema: str = WHEEL_INDEX, first: int | None = None, last: int | None = None) -> DataFrame:
+    """An older index, its chunks ``first`` to ``last``: tab-separated with a header; lines of another width are left out."""
     rows = spark.read.schema(schema).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
     # without a look at all columns a count would not see that a line is short
-    return rows.dropna()
+    rows = rows.dropna()
+    if first is not None:
+        rows = rows.where(F.col("chunk_id") >= first)
+    return rows if last is None else rows.where(F.col("chunk_id") <= last)
 
 
 def last_prime_of_index(rows: DataFrame) -> DataFrame:

@@ -86,6 +86,38 @@ def test_archive_on_disk(spark, tmp_path):
     head = spark.read.parquet(f"{tmp_path}/a/manifest").first()
     assert head.committed_primes == 669 and head.last_prime == 4999
     assert store.read_index(spark, f"{tmp_path}/a").count() == 7
+    assert store.archive_seed(spark, f"{tmp_path}/a") == {"found": 669, "last_prime": 4999}
+    assert store.archive_seed(spark, f"{tmp_path}/none") is None
+
+
+def test_a_broken_write_leaves_the_committed_archive(spark, tmp_path):
+    path = f"{tmp_path}/a"
+    with pytest.raises(FileNotFoundError):
+        store.read_archive(spark, path)
+    store.write_archive(archive.chunked(spark, 1000, 50), path)
+    # the second version got as far as its bitmap
+    archive.packed(archive.chunked(spark, 100, 50)).write.parquet(f"{path}/version=2/wheel")
+    assert store.read_archive(spark, path).count() == 164
+    store.write_archive(archive.chunked(spark, 2000, 50), path)
+    assert store.read_archive(spark, path).count() == 299 and store.read_index(spark, path).count() == 7
+
+
+def test_stored_answers_are_those_of_the_unpacked_archive(spark, tmp_path):
+    chunks = archive.chunked(spark, 3000, 40).where("chunk_id != 4")
+    store.write_archive(chunks, f"{tmp_path}/a")
+    keys = spark.range(-3, 3100).withColumnRenamed("id", "n")
+    spans, bitmap = store.read_index(spark, f"{tmp_path}/a"), store.read_bitmap(spark, f"{tmp_path}/a")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(archive.stored_is_prime(keys, spans, bitmap)) == rows(archive.answer_is_prime(keys, chunks))
+    ends = sorted((r.first_prime, r.last_prime) for r in spans.collect())
+    own = []
+    for n in range(-3, 3100):
+        if not any(a <= n <= b for a, b in ends):
+            own.append((n, max((b for _, b in ends if b < n), default=None), min((a for a, _ in ends if a > n), default=None)))
+    assert sorted(tuple(r) for r in archive.gaps(keys, spans).collect()) == own
+    store.write_tsv_index(spans, f"{tmp_path}/i")
+    back = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/i")
+    assert back.count() == spans.count()
 
 
 def test_older_files(spark, tmp_path):
@@ -119,6 +151,7 @@ def test_text_sources(spark, tmp_path):
     assert store.read_big_integers(spark, f"{tmp_path}/n.txt").first().text == "123456"
     (tmp_path / "i.tsv").write_text("chunk_id\tprime_count\tfirst_prime\tlast_prime\tbytes\n0\t4\t2\t7\t20\nbad\n1\t2\t11\t13\t18\n")
     rows = store.read_tsv_index(spark, f"{tmp_path}/i.tsv", store.EXACT_INDEX)
+    assert store.read_tsv_index(spark, f"{tmp_path}/i.tsv", store.EXACT_INDEX, first=1, last=1).first().chunk_id == 1
     assert rows.count() == 2 and store.last_prime_of_index(rows).first().last_prime == 13
 
 
