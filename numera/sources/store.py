@@ -69,12 +69,15 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_seed(spark: SparkSession, path: str) -> dict | None:
-    """found and last_prime of a committed archive, from its manifest; None without one or if it holds nothing."""
-    version = _committed_version(spark, path)
-    if version is None:
+    """found and last_prime of a committed archive, from its index.
+
+    None without an archive, if it holds nothing, or if its chunks are not those
+    from 0 on without a hole: then its count is not the rank of its last prime.
+    """
+    if _committed_version(spark, path) is None:
         return None
-    row = spark.read.parquet(f"{path}/manifest").where(F.col("version") == version).first()
-    return {"found": row["committed_primes"], "last_prime": row["last_prime"]} if row["committed_primes"] and row["last_prime"] else None
+    row = read_index(spark, path).agg(F.sum("prime_count").alias("found"), F.max("last_prime").alias("last_prime"), F.count("*").alias("n"), F.max("chunk_id").alias("last_id")).first()
+    return {"found": row["found"], "last_prime": row["last_prime"]} if row["last_prime"] and row["n"] == row["last_id"] + 1 else None
 
 
 def write_tsv_index(rows: DataFrame, path: str) -> None:

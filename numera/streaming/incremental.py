@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from numera.functions.integers import nth_prime_bound
 from numera.operators.sieve import primes
 from numera.plans.segments import SEGMENT, ranked
+from numera.sources.store import archive_seed
 
 STATE = T.StructType(
     [
@@ -64,21 +65,34 @@ def decide(state: dict | None, resume: str, target: int) -> tuple[dict | None, s
     return state, "resumed"
 
 
+def newer(state: dict | None, seed: dict | None, target: int) -> dict | None:
+    """The state a run continues from: the archive's, if it found more than the committed one and not more than asked."""
+    if seed is None or seed["found"] > target or (state and state["found"] >= seed["found"]):
+        return state
+    base = state or {"version": 0, "seconds": 0.0}
+    return {**base, "target": target, "found": seed["found"], "last_prime": seed["last_prime"], "next_n": seed["last_prime"] + 1}
+
+
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """(rank, p) of all committed primes."""
+    """(rank, p) of all primes that batches committed; those a run took from an archive are there."""
     state = load_state(spark, path)
     if state is None:
         return spark.range(0).selectExpr("id as rank", "id as p")
     return spark.read.parquet(*[f"{path}/primes/batch={v}" for v in range(1, state["version"] + 1)]).select("rank", "p")
 
 
-def first_n(spark: SparkSession, target: int, path: str, resume: str = "auto", width: int = SEGMENT, batch_segments: int = 256, stop: Callable[[], bool] = lambda: False) -> DataFrame:
+def first_n(spark: SparkSession, target: int, path: str, resume: str = "auto", width: int = SEGMENT, batch_segments: int = 256, stop: Callable[[], bool] = lambda: False, archive: str | None = None) -> DataFrame:
     """One row: target, found, last_prime, batches, complete, resumed, reason, seconds, per_second.
 
     ``stop`` is asked after each batch. Batches are bounded, so nothing grows
-    with the target but the files.
+    with the target but the files. With ``archive`` a run that may resume
+    continues from that archive where it found more than the committed state.
     """
-    before, reason = decide(load_state(spark, path) if resume != "never" else None, resume, target)
+    stored = load_state(spark, path) if resume != "never" else None
+    seeded = newer(stored, archive_seed(spark, archive), target) if archive and resume != "never" else stored
+    before, reason = decide(seeded, resume, target)
+    if seeded is not stored:
+        reason += " from the archive"
     version = (load_state(spark, path) or {"version": 0})["version"] if before or resume != "never" else 0
     state = before or {"version": 0, "target": target, "found": 0, "last_prime": None, "next_n": 0, "seconds": 0.0}
     if not before and version == 0:
@@ -115,8 +129,8 @@ def _clear(spark: SparkSession, path: str) -> None:
 
 
 def eta(reports: DataFrame) -> DataFrame:
-    """(found, target, last_prime, seconds, eta): seconds to go by three rules, the first that applies:
-    nothing left; primes left at the rate so far; null."""
+    """(found, target, last_prime, seconds, eta): seconds to go by the first rule that applies:
+    nothing left; primes left at the rate so far; null where there is no rate."""
     left = F.col("target") - F.col("found")
     rate = F.try_divide(F.col("found").cast("double"), F.col("seconds"))
     return reports.select("found", "target", "last_prime", "seconds", F.when(left <= 0, 0.0).otherwise(F.try_divide(left.cast("double"), rate)).alias("eta"))

@@ -224,6 +224,23 @@ def test_incremental(spark, tmp_path):
     assert incremental.eta(spark.createDataFrame([(10, 20, 29, 5.0), (20, 20, 71, 5.0)], "found long, target long, last_prime long, seconds double")).orderBy("found").collect()[0].eta == 5.0
 
 
+def test_resuming_from_an_archive(spark, tmp_path):
+    whole, holed = f"{tmp_path}/a", f"{tmp_path}/b"
+    store.write_archive(archive.chunked(spark, 3000, 40), whole)
+    store.write_archive(archive.chunked(spark, 3000, 40).where("chunk_id != 4"), holed)
+    assert store.archive_seed(spark, whole) == {"found": 430, "last_prime": 2999} and store.archive_seed(spark, holed) is None
+    run = f"{tmp_path}/run"
+    done = incremental.first_n(spark, 500, run, width=1000, archive=whole).first()
+    assert (done.complete, done.resumed, done.found, done.last_prime) == (True, True, 500, 3571)
+    rows = incremental.committed(spark, run)
+    assert rows.agg(F.count("*"), F.min("rank"), F.min("p"), F.max("p")).first() == (70, 431, 3001, 3571)
+    # the committed state is ahead of the archive now
+    assert incremental.first_n(spark, 600, run, width=1000, archive=whole).first().last_prime == 4409
+    # an archive that found more than is asked for does not seed a run
+    few = incremental.first_n(spark, 100, f"{tmp_path}/few", width=1000, archive=whole).first()
+    assert (few.resumed, few.last_prime) == (False, 541)
+
+
 def test_segment_stream(spark, tmp_path):
     query = incremental.segment_stream(spark, str(tmp_path), width=100, rows_per_batch=5)
     try:
