@@ -154,14 +154,15 @@ def archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.index(_chunks(spark, sf_dir))
 
 
-@_query(
-    f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
+_IS_PRIME = f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
 k AS (SELECT DISTINCT o_orderkey AS n FROM orders),
 j AS (SELECT n, n IN (SELECT p FROM gapped) AS hit, EXISTS (SELECT 1 FROM idx WHERE n BETWEEN first_prime AND last_prime) AS covered,
              CASE WHEN n < 2 THEN FALSE WHEN n IN (2, 3, 5, 7) THEN TRUE WHEN n % 2 = 0 OR n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0 THEN FALSE END AS rule FROM k)
 SELECT n, coalesce(rule, CASE WHEN covered THEN hit END) AS is_prime, CASE WHEN rule IS NULL THEN 'archive' ELSE 'rule' END AS source,
        CASE WHEN rule IS NULL AND NOT covered THEN 'uncovered' ELSE 'ok' END AS status FROM j"""
-)
+
+
+@_query(_IS_PRIME)
 def archive_is_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys looked up in an archive that lacks a chunk."""
     return archive.answer_is_prime(_order_keys(spark, sf_dir), _gapped(spark, sf_dir))
@@ -539,6 +540,25 @@ def archive_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_archive(spark, path)
 
 
+@_query(_IS_PRIME)
+def archive_stored_is_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions, answered from the written index and bitmap."""
+    path = _folder(spark)
+    store.write_archive(_gapped(spark, sf_dir), path)
+    return archive.stored_is_prime(_order_keys(spark, sf_dir), store.read_index(spark, path), store.read_bitmap(spark, path))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
+k AS (SELECT DISTINCT o_orderkey AS n FROM orders)
+SELECT n, (SELECT max(last_prime) FROM idx WHERE last_prime < n) AS previous_last, (SELECT min(first_prime) FROM idx WHERE first_prime > n) AS next_first
+FROM k WHERE NOT EXISTS (SELECT 1 FROM idx WHERE n BETWEEN first_prime AND last_prime)"""
+)
+def archive_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys that no chunk spans, with the ends of the gap they lie in."""
+    return archive.gaps(_order_keys(spark, sf_dir), archive.index(_gapped(spark, sf_dir)))
+
+
 @_query(f"WITH {_CHUNKS} SELECT max(p) AS last_prime FROM chunks")
 def stored_last_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
