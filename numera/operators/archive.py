@@ -48,11 +48,11 @@ def answer_is_prime(keys: DataFrame, chunks: DataFrame, column: str = "n") -> Da
 
 def stored_is_prime(keys: DataFrame, spans: DataFrame, bitmap: DataFrame, column: str = "n") -> DataFrame:
     """``answer_is_prime`` from a stored index and the packed bitmap: one bit is read for each key, nothing is unpacked."""
-    # a cycle that two chunks share has a row in each
-    cycles = bitmap.groupBy("cycle").agg(F.bit_or("bits").alias("bits"))
-
     def look(home: DataFrame) -> DataFrame:
-        rows = home.withColumn("cycle", div(F.col("n"), WHEEL)).join(cycles, "cycle", "left")
+        home = home.withColumn("cycle", div(F.col("n"), WHEEL))
+        # only asked cycles are merged; one that two chunks share has a row in each
+        asked = bitmap.join(home.select("cycle").distinct(), "cycle", "left_semi")
+        rows = home.join(asked.groupBy("cycle").agg(F.bit_or("bits").alias("bits")), "cycle", "left")
         return rows.withColumn("hit", F.call_function("getbit", "bits", wheel_bit(F.col("n"))) == 1)
 
     return _answers(keys, spans.where("first_prime is not null").select("chunk_id", "first_prime", "last_prime"), look, column)
