@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from numera.llm import bpe, exact_dedup, html, langid, licenses, mixing, pii, quality, simhash, toxicity
+from numera.llm import bpe, chat, exact_dedup, html, langid, licenses, mixing, periodic, pii, quality, simhash, toxicity
 from numera.llm.common import table
 
 
@@ -62,10 +62,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(chat.PROBE, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.read_back(chat.format_turns(turns)))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.summary(periodic.periodic_runs(docs.select("doc_id", periodic.tiled("text", "doc_id").alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op3_exact_dedup, op4_bpe, op5_licenses, op6_simhash, op7_language, op8_html, op9_pii, op10_mixing)
+    own = (op1_toxicity, op2_quality, op3_exact_dedup, op4_bpe, op5_licenses, op6_simhash, op7_language, op8_html, op9_pii, op10_mixing, op11_chat, op12_runs)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_licenses": licenses.oracle_sql(), "op10_mixing": mixing.oracle_sql()}
+    return {"op3_exact_dedup": OP3_SQL, "op5_licenses": licenses.oracle_sql(), "op10_mixing": mixing.oracle_sql(), "op11_chat": chat.oracle_sql()}
