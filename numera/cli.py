@@ -8,8 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from numera.operators import primality, selectors, sieve
-from numera.operators.archive import answer_next_prime, stored_is_prime
+from numera.operators import primality, selectors, sieve, stored
 from numera.sources import store
 from numera.streaming import incremental
 
@@ -57,10 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     is_prime = args.command == "is-prime"
     if args.archive:
         keys = numbers.selectExpr("try_cast(text as bigint) as n")
-        if is_prime:
-            row = stored_is_prime(keys, store.read_index(spark, args.archive), store.read_bitmap(spark, args.archive)).first()
-        else:
-            row = answer_next_prime(keys, store.read_archive(spark, args.archive)).first()
+        row = (stored.is_prime if is_prime else stored.next_prime)(keys, args.archive).first()
         row = row.asDict() if row else {"status": "invalid"}
     else:
         row = (primality.is_prime_big if is_prime else primality.next_prime_big)(numbers, max_digits=args.max_digits).first().asDict()

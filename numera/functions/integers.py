@@ -67,6 +67,21 @@ def wheel_bit(n: Column) -> Column:
     return F.when(place > 0, (place - 1).cast("int"))
 
 
+def wheel_unit(bit: Column) -> Column:
+    """The unit that a bit of the wheel stands for."""
+    return F.element_at(long_array(WHEEL_UNITS), (bit + 1).cast("int"))
+
+
+def lowest_bit(bits: Column) -> Column:
+    """Number of the lowest set bit of a long that is not 0."""
+    return F.bit_count(bits.bitwiseAND(-bits) - 1)
+
+
+def highest_bit(bits: Column) -> Column:
+    """Number of the highest set bit of a long above 0."""
+    return F.length(F.bin(bits)) - 1
+
+
 def next_candidate(n: Column) -> Column:
     """The smallest candidate (last digit 1, 3, 7, 9) that is at least n."""
     step = long_array((1, 0, 1, 0, 3, 2, 1, 0, 1, 0))

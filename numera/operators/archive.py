@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from numera.functions.integers import DIRECT_PRIMES, WHEEL, WHEEL_UNITS, coprime_to_wheel, div, wheel_bit
+from numera.functions.integers import DIRECT_PRIMES, WHEEL, WHEEL_UNITS, coprime_to_wheel, div, long_array, lowest_bit, wheel_bit, wheel_unit
 from numera.operators.sieve import primes
 from numera.plans.segments import SEGMENT, ranked
 from numera.plans.successor import successors
 
 CHUNK_PRIMES = 16_000_000
+#: Cycles behind its own in which a number's next prime lies: gaps below 2^64 are under 1552.
+LATER_CYCLES = 8
+#: Ranges of cycles that a question names one by one, and cycles that it takes together.
+MOST_RANGES = 200
+COARSE = 1 << 12
 
 
 def chunked(spark: SparkSession, hi: int, chunk_primes: int = CHUNK_PRIMES, width: int = SEGMENT) -> DataFrame:
@@ -28,7 +34,11 @@ def index(chunks: DataFrame) -> DataFrame:
     Covered are the primes from 11 on; a chunk without one counts but covers nothing.
     """
     stored = F.when((F.col("p") >= 11) & coprime_to_wheel(F.col("p")), F.col("p"))
-    rows = chunks.groupBy("chunk_id").agg(F.count("*").alias("prime_count"), F.min(stored).alias("first_prime"), F.max(stored).alias("last_prime"))
+    return with_cycles(chunks.groupBy("chunk_id").agg(F.count("*").alias("prime_count"), F.min(stored).alias("first_prime"), F.max(stored).alias("last_prime")))
+
+
+def with_cycles(rows: DataFrame) -> DataFrame:
+    """Adds cycle_start, cycles and raw_bytes to rows with first_prime and last_prime."""
     start = div(F.col("first_prime"), WHEEL)
     rows = rows.withColumn("cycle_start", start).withColumn("cycles", div(F.col("last_prime"), WHEEL) - start + 1)
     return rows.withColumn("raw_bytes", F.col("cycles") * (len(WHEEL_UNITS) // 8))
@@ -110,6 +120,57 @@ def answer_next_prime(keys: DataFrame, chunks: DataFrame, column: str = "n") ->
     return settled.unionByName(looked)
 
 
+def stored_next_prime(keys: DataFrame, spans: DataFrame, bitmap: DataFrame, column: str = "n") -> DataFrame:
+    """``answer_next_prime`` from a stored index and the packed bitmap; nothing is unpacked.
+
+    The next prime is the lowest bit above n in the word of n's cycle, else the
+    lowest one of the cycles that follow. Where the archive has no hole that is
+    at most ``LATER_CYCLES`` on, as no primes below 2^64 are further apart; where
+    it has one, n is uncovered.
+    """
+    small = F.coalesce(*(F.when(F.col("n") < p, F.lit(p).cast("long")) for p in DIRECT_PRIMES))
+    n = keys.select(F.col(column).cast("long").alias("n")).where("n is not null").distinct().withColumn("small", small)
+    spans = spans.where("first_prime is not null").select("chunk_id", "first_prime")
+    joined = spans.join(spans.select((F.col("chunk_id") + 1).alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id").unionByName(spans.where("chunk_id = 0").select("chunk_id"))
+    whole = spans.join(joined.distinct().withColumn("joined", F.lit(True)), "chunk_id", "left")
+    asked = n.where("small is null").select("n", div(F.col("n"), WHEEL).alias("cycle"))
+
+    def least(rows: DataFrame, bits: Column) -> DataFrame:
+        own = rows.withColumn("left", bits).where("left <> 0")
+        p = F.col("cycle") * WHEEL + wheel_unit(lowest_bit(F.col("left")))
+        # the chunk of the least prime; of two chunks that share a word one has it
+        return own.groupBy("n").agg(F.min(F.struct(p.alias("p"), "chunk_id")).alias("r")).select("n", "r.p", "r.chunk_id")
+
+    # of the word of n's own cycle the bits of units up to n are left out
+    below = F.element_at(long_array([sum(1 << k for k, u in enumerate(WHEEL_UNITS) if u <= r) for r in range(WHEEL)]), (F.pmod("n", F.lit(WHEEL)) + 1).cast("int"))
+    inside = least(asked.join(bitmap, "cycle"), F.col("bits").bitwiseAND(F.bitwise_not(below)))
+    rest = asked.join(inside, "n", "left_anti").select("n", F.explode(F.sequence(F.col("cycle") + 1, F.col("cycle") + LATER_CYCLES)).alias("cycle"))
+    found = inside.unionByName(least(rest.join(bitmap, "cycle"), F.col("bits"))).join(whole, "chunk_id", "left")
+    fine = F.col("p").isNotNull() & ((F.col("n") >= F.col("first_prime")) | F.coalesce("joined", F.lit(False)))
+    looked = asked.join(found.drop("cycle"), "n", "left").select("n", F.when(fine, F.col("p")).alias("next_prime"), F.when(fine, "ok").otherwise("uncovered").alias("status"))
+    return n.where("small is not null").select("n", F.col("small").alias("next_prime"), F.lit("ok").alias("status")).unionByName(looked)
+
+
+def asked_ranges(keys: DataFrame, column: str = "n") -> list[tuple[int, int]]:
+    """Ranges of cycles, both ends included, that hold the cycles of a column's longs and those behind them.
+
+    At most ``MOST_RANGES``; keys that lie in more places get one range from the first to the last.
+    """
+    cycle = div(F.col(column).cast("long"), WHEEL)
+    coarse = keys.where(F.col(column) >= 0).select(div(cycle, COARSE).alias("c")).distinct()
+    rows = sorted(r[0] for r in coarse.limit(MOST_RANGES + 1).collect())
+    if len(rows) > MOST_RANGES:
+        lo, hi = coarse.agg(F.min("c"), F.max("c")).first()
+        return [(lo * COARSE, (hi + 1) * COARSE + LATER_CYCLES)]
+    out: list[tuple[int, int]] = []
+    for c in rows:
+        lo, hi = c * COARSE, (c + 1) * COARSE - 1 + LATER_CYCLES
+        if out and lo <= out[-1][1] + 1:
+            lo = out.pop()[0]
+        out.append((lo, hi))
+    return out
+
+
 def deltas(values: DataFrame, value: str = "p", group: str = "chunk_id") -> DataFrame:
     """(group, i, first, delta): position, first value and difference to the one before, for each group."""
     w = Window.partitionBy(group).orderBy(value)
@@ -129,6 +190,17 @@ def packed(chunks: DataFrame) -> DataFrame:
     return stored.groupBy("chunk_id", div(F.col("p"), WHEEL).alias("cycle")).agg(F.bit_or(bit).alias("bits"))
 
 
+def coded(chunks: DataFrame) -> DataFrame:
+    """``packed`` with a column ``direct``: bits of the direct primes, which the wheel leaves out, in cycle 0."""
+    p = F.col("p")
+    place = F.array_position(long_array(DIRECT_PRIMES), p)
+    shift = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by.cast("int"))
+    wheel = F.when((p >= 11) & coprime_to_wheel(p), shift(wheel_bit(p))).otherwise(F.lit(0).cast("long"))
+    direct = F.when(place > 0, shift(place - 1)).otherwise(F.lit(0).cast("long"))
+    rows = chunks.where(((p >= 11) & coprime_to_wheel(p)) | p.isin(*DIRECT_PRIMES))
+    return rows.groupBy("chunk_id", div(p, WHEEL).alias("cycle")).agg(F.bit_or(wheel).alias("bits"), F.bit_or(direct).cast("int").alias("direct"))
+
+
 def unpacked(bitmap: DataFrame) -> DataFrame:
     """(chunk_id, p) of a wheel bitmap."""
     units = F.array(*(F.lit(u).cast("long") for u in WHEEL_UNITS))
@@ -136,16 +208,34 @@ def unpacked(bitmap: DataFrame) -> DataFrame:
     return rows.where(F.call_function("getbit", "bits", F.col("bit")) == 1).select("chunk_id", (F.col("cycle") * WHEEL + F.col("unit")).alias("p"))
 
 
+def delta_bytes(deltas: np.ndarray) -> bytes:
+    """Differences >= 0 in seven bits a byte, low first, the eighth set in all but a number's last byte."""
+    left, columns = deltas.astype(np.uint64), []
+    sizes = np.ones(len(left), np.int64)
+    while len(columns) == 0 or left.any():
+        columns.append((left & 0x7F).astype(np.uint8))
+        left = left >> np.uint64(7)
+        sizes += left > 0
+    used = np.arange(len(columns)) < sizes[:, None]
+    more = np.arange(len(columns)) < sizes[:, None] - 1
+    return (np.stack(columns, axis=1) | np.where(more, 0x80, 0).astype(np.uint8))[used].tobytes()
+
+
+def delta_values(payload: bytes) -> np.ndarray:
+    """The differences that ``delta_bytes`` coded; an error if the last one is cut short."""
+    raw = np.frombuffer(payload, np.uint8)
+    last = np.flatnonzero(raw < 0x80)
+    if len(raw) and (not len(last) or last[-1] != len(raw) - 1):
+        raise ValueError("differences are cut short")
+    starts = np.concatenate(([0], last[:-1] + 1)) if len(last) else last
+    place = np.arange(len(raw)) - np.repeat(starts, last - starts + 1)
+    return np.add.reduceat((raw & 0x7F).astype(np.int64) << 7 * place, starts) if len(last) else np.zeros(0, np.int64)
+
+
 def exact_bytes(values: list[int]) -> bytes:
-    """The delta coding of one chunk: count, first value, then 7 bits a byte, low first."""
-    out = bytearray(len(values).to_bytes(8, "little") + (values[0] if values else 0).to_bytes(8, "little"))
-    for a, b in zip(values, values[1:]):
-        d = b - a
-        while d >= 0x80:
-            out.append(d & 0x7F | 0x80)
-            d >>= 7
-        out.append(d)
-    return bytes(out)
+    """The delta coding of one chunk: count, first value, then the differences."""
+    head = len(values).to_bytes(8, "little") + (values[0] if values else 0).to_bytes(8, "little")
+    return head + (delta_bytes(np.diff(np.array(values, np.int64))) if len(values) > 1 else b"")
 
 
 def encoded_sizes(chunks: DataFrame) -> DataFrame:

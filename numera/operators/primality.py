@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from numera.functions.integers import DIRECT_PRIMES
+from numera.operators.bignum import SIEVE_LIMIT, divisor_trees, window_sieve
 from numera.operators.sieve import base_primes, window_primes
 
 #: Bases that decide every number below 3.3 * 10^24, longs with room to spare.
@@ -22,6 +23,7 @@ LONG_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
 MOST_ROUNDS = 65
 TRIAL_LIMIT = 1_000_000
 MAX_DIGITS = 1024
+LONGS = 2**63
 
 
 def strong_witness(n: int, a: int) -> bool:
@@ -50,14 +52,11 @@ def is_prime_int(n: int) -> bool:
 
 
 def next_prime_int(n: int) -> int:
-    """The smallest prime above n."""
+    """The smallest prime above n, exact below 3.3 * 10^24."""
     for p in DIRECT_PRIMES:
         if n < p:
             return p
-    c = n + 1
-    while not (c % 10 in (1, 3, 7, 9) and is_prime_int(c)):
-        c += 1
-    return c
+    return next(c for c in window_sieve().candidates(n) if is_prime_int(c))
 
 
 def prime_flags(values: np.ndarray) -> np.ndarray:
@@ -105,22 +104,27 @@ def strong_tests(numbers: DataFrame, bases: tuple[int, ...], column: str = "n")
     return numbers.select(F.col(column).cast("long").alias("n")).distinct().mapInPandas(run, "n long, composite boolean")
 
 
+def small_divisors(n: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """For longs the smallest of the base primes that divides each and is not it; 0 without one."""
+    found = np.zeros(len(n), np.int64)
+    open_ = np.flatnonzero(n > 3)
+    for p in base.tolist():
+        open_ = open_[p * p <= n[open_]]
+        if not len(open_):
+            break
+        hit = n[open_] % p == 0
+        found[open_[hit]] = p
+        open_ = open_[~hit]
+    return found
+
+
 def smallest_divisor(numbers: DataFrame, column: str = "n", limit: int = TRIAL_LIMIT) -> DataFrame:
     """(n, divisor): smallest prime divisor up to ``limit`` other than n itself, null without one."""
-    base = base_primes(limit)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = base_primes(limit)
         for frame in frames:
-            n = frame["n"].to_numpy(np.int64)
-            found = np.zeros(len(n), np.int64)
-            open_ = np.flatnonzero(n > 3)
-            for p in base.tolist():
-                open_ = open_[p * p <= n[open_]]
-                if not len(open_):
-                    break
-                hit = n[open_] % p == 0
-                found[open_[hit]] = p
-                open_ = open_[~hit]
+            found = small_divisors(frame["n"].to_numpy(np.int64), base)
             yield frame.assign(divisor=pd.array([int(x) or None for x in found], "Int64"))
 
     distinct = numbers.select(F.col(column).cast("long").alias("n")).where("n is not null").distinct()
@@ -135,8 +139,19 @@ class FastResult:
     rounds: int | None = None
 
 
-def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT, base: np.ndarray | None = None) -> FastResult:
-    """Wheel, trial division, then strong tests to the first bases.
+def strong_rounds(n: int, rounds: int) -> FastResult:
+    """Strong tests of an n > 1 to the first bases, as far as one shows it composite or is n itself."""
+    bases = base_primes(313)[: min(rounds, MOST_ROUNDS)].tolist()
+    for k, a in enumerate(bases, 1):
+        if n == a:
+            return FastResult("probable_prime", rounds=k)
+        if strong_witness(n, a):
+            return FastResult("composite", witness=a)
+    return FastResult("probable_prime", rounds=len(bases))
+
+
+def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT) -> FastResult:
+    """Wheel, division by small primes, then strong tests to the first bases.
 
     status is composite, with the smallest divisor found or the first base that
     shows it, or probable_prime with the rounds made.
@@ -145,24 +160,50 @@ def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT, base: np.n
         return FastResult("composite", divisor=1)
     if n in DIRECT_PRIMES:
         return FastResult("probable_prime", rounds=0)
-    base = base_primes(min(limit, TRIAL_LIMIT)) if base is None else base
-    if n < 2**63:
-        # the smallest divisor of a composite is at most its root
-        own = base[: np.searchsorted(base, math.isqrt(n), "right")]
-        hits = own[n % own == 0]
-        if len(hits):
-            return FastResult("composite", divisor=int(hits[0]))
-    else:
-        for p in base.tolist():
-            if n % p == 0:
-                return FastResult("composite", divisor=p)
-    bases = base_primes(313)[: min(rounds, MOST_ROUNDS)].tolist()
-    for k, a in enumerate(bases, 1):
-        if n == a:
-            return FastResult("probable_prime", rounds=k)
-        if strong_witness(n, a):
-            return FastResult("composite", witness=a)
-    return FastResult("probable_prime", rounds=len(bases))
+    divisor = divisor_trees(min(limit, TRIAL_LIMIT)).smallest(n)
+    return FastResult("composite", divisor=divisor) if divisor and divisor != n else strong_rounds(n, rounds)
+
+
+def are_prime_fast(values: list[int], rounds: int = 32, limit: int = TRIAL_LIMIT) -> list[FastResult]:
+    """``is_prime_fast`` of many numbers: longs are divided side by side, larger ones by product trees."""
+    longs = [k for k, n in enumerate(values) if n < LONGS]
+    n = np.array([values[k] for k in longs], np.int64)
+    divisors = dict(zip(longs, small_divisors(n, base_primes(min(limit, TRIAL_LIMIT))).tolist()))
+    out = []
+    for k, n in enumerate(values):
+        divisor = divisors.get(k)
+        if divisor is None or n < 2 or n in DIRECT_PRIMES:
+            out.append(is_prime_fast(n, rounds, limit))
+        else:
+            out.append(FastResult("composite", divisor=divisor) if divisor else strong_rounds(n, rounds))
+    return out
+
+
+@dataclass(frozen=True)
+class NextPrime:
+    p: int
+    offset: int
+    checked: int
+    rounds: int
+
+
+def next_prime_fast(n: int, rounds: int = 32, limit: int = SIEVE_LIMIT) -> NextPrime:
+    """The smallest (probable) prime above n >= 0: a sieved window behind n, strong tests of what it leaves.
+
+    ``checked`` counts the candidates that were tested, ``rounds`` the tests of
+    the last one; below 2^64 one candidate counts, below 5 no test.
+    """
+    for p in (2, 3, 5):
+        if n < p:
+            return NextPrime(p, p - n, 1, 0)
+    if n < 2**64:
+        p = next_prime_int(n)
+        return NextPrime(p, p - n, 1, rounds)
+    for checked, c in enumerate(window_sieve(limit).candidates(n), 1):
+        told = strong_rounds(c, rounds)
+        if told.status == "probable_prime":
+            return NextPrime(c, c - n, checked, told.rounds)
+    raise AssertionError("there is no last prime")
 
 
 class Prover(Protocol):
@@ -182,26 +223,21 @@ class NullProver:
 
 
 _FAST = T.StructType([T.StructField("status", T.StringType()), T.StructField("divisor", T.StringType()), T.StructField("witness", T.LongType()), T.StructField("rounds", T.IntegerType())])
-_NEXT = T.StructType([T.StructField("p", T.StringType()), T.StructField("offset", T.StringType()), T.StructField("checked", T.LongType())])
+_NEXT = T.StructType([T.StructField("p", T.StringType()), T.StructField("offset", T.StringType()), T.StructField("checked", T.LongType()), T.StructField("rounds", T.IntegerType())])
 
 
 @F.pandas_udf(_FAST)
 def _fast_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    base = base_primes(TRIAL_LIMIT)
     for series in values:
-        got = [is_prime_fast(int(v), base=base) for v in series]
+        got = are_prime_fast([int(v) for v in series])
         yield pd.DataFrame({"status": [g.status for g in got], "divisor": [None if g.divisor is None else str(g.divisor) for g in got], "witness": pd.array([g.witness for g in got], "Int64"), "rounds": pd.array([g.rounds for g in got], "Int32")})
 
 
 @F.pandas_udf(_NEXT)
 def _next_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in values:
-        rows = []
-        for v in series:
-            n = int(v)
-            p = next_prime_int(n)
-            rows.append((str(p), str(p - n), 1 if n < 2**64 else sum(c % 10 in (1, 3, 7, 9) for c in range(n + 1, p + 1))))
-        yield pd.DataFrame(rows, columns=["p", "offset", "checked"])
+        got = [next_prime_fast(int(v)) for v in series]
+        yield pd.DataFrame([(str(g.p), str(g.offset), g.checked, g.rounds) for g in got], columns=["p", "offset", "checked", "rounds"])
 
 
 def validated(text: Column, max_digits: int = MAX_DIGITS) -> Column:
@@ -244,11 +280,11 @@ def is_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX
 
 
 def next_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX_DIGITS) -> DataFrame:
-    """(text, ok, error, p, offset, checked): smallest prime above a decimal string."""
+    """(text, ok, error, p, offset, checked, rounds): smallest prime above a decimal string, see ``next_prime_fast``."""
     rows = numbers.select(F.col(column).alias("text"), validated(F.col(column), max_digits).alias("v")).select("text", "v.ok", "v.error", "v.value")
     none = F.lit(None)
-    invalid = rows.where(~F.col("ok")).select("text", "ok", "error", none.cast("string").alias("p"), none.cast("string").alias("offset"), none.cast("long").alias("checked"))
-    answered = rows.where("ok").select("text", "ok", "error", _next_udf("value").alias("r")).select("text", "ok", "error", "r.p", "r.offset", "r.checked")
+    invalid = rows.where(~F.col("ok")).select("text", "ok", "error", none.cast("string").alias("p"), none.cast("string").alias("offset"), none.cast("long").alias("checked"), none.cast("int").alias("rounds"))
+    answered = rows.where("ok").select("text", "ok", "error", _next_udf("value").alias("r")).select("text", "ok", "error", "r.p", "r.offset", "r.checked", "r.rounds")
     return invalid.unionByName(answered)
 
 

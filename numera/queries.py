@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numera.functions import integers, masks
-from numera.operators import archive, groups, maintenance, primality, selectors, sieve, successor
+from numera.operators import archive, bignum, groups, maintenance, primality, selectors, sieve, stored, successor
 from numera.plans.segments import ranked
 from numera.sources import store
 from numera.streaming import incremental
@@ -60,8 +60,15 @@ def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir).where(F.col("chunk_id") != LOST_CHUNK)
 
 
-def _mask_primes(spark: SparkSession) -> DataFrame:
-    return sieve.primes(spark, 11, MASK_LIMIT + 1).select("p")
+def _residues(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    """The residues (id) that the order keys leave."""
+    return _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % modulus).alias("id")).distinct()
+
+
+def _mask_primes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primes from 11 on among the order keys' residues modulo 840: the periods of the worksheets."""
+    found = primality.is_prime(_residues(spark, sf_dir, MASK_LIMIT + 1).where("id >= 11"), "id")
+    return found.where("is_prime").select(F.col("n").alias("p"))
 
 
 _PRIMES = """
@@ -78,8 +85,8 @@ SELECT chunk_id, count(*) AS prime_count, min(p) FILTER (p >= 11) AS first_prime
        6 * (max(p) FILTER (p >= 11) // 210 - min(p) FILTER (p >= 11) // 210 + 1) AS raw_bytes
 FROM {chunks} GROUP BY chunk_id"""
 _MASK_PRIMES = f"""
-mask_primes AS (SELECT n.n AS p FROM range(11, {MASK_LIMIT + 1}) n(n)
-                WHERE NOT EXISTS (SELECT 1 FROM range(2, 30) d(d) WHERE d.d * d.d <= n.n AND n.n % d.d = 0)),
+mask_primes AS (SELECT DISTINCT o_orderkey % {MASK_LIMIT + 1} AS p FROM orders
+                WHERE p >= 11 AND NOT EXISTS (SELECT 1 FROM range(2, 30) d(d) WHERE d.d * d.d <= o_orderkey % {MASK_LIMIT + 1} AND o_orderkey % {MASK_LIMIT + 1} % d.d = 0)),
 positions AS (
     SELECT p, k.k, [10 * k.k + 1, 10 * k.k + 3, 10 * k.k + 7, 10 * k.k + 9] AS candidates,
            [d FOR d IN [1, 3, 7, 9] IF (10 * k.k + d) % p = 0] AS struck_digits,
@@ -168,8 +175,7 @@ def archive_is_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.answer_is_prime(_order_keys(spark, sf_dir), _gapped(spark, sf_dir))
 
 
-@_query(
-    f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
+_NEXT_PRIME = f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
 k AS (SELECT DISTINCT o_orderkey AS n FROM orders),
 j AS (SELECT n, CASE WHEN n < 2 THEN 2 WHEN n < 3 THEN 3 WHEN n < 5 THEN 5 WHEN n < 7 THEN 7 END AS small,
              (SELECT min(p) FROM gapped WHERE p > n AND p >= 11) AS p FROM k),
@@ -177,7 +183,9 @@ c AS (SELECT j.*, i.first_prime, i.chunk_id = 0 OR EXISTS (SELECT 1 FROM idx x W
       FROM j LEFT JOIN gapped g USING (p) LEFT JOIN idx i USING (chunk_id))
 SELECT n, CASE WHEN small IS NOT NULL THEN small WHEN p IS NOT NULL AND (n >= first_prime OR joined) THEN p END AS next_prime,
        CASE WHEN small IS NOT NULL OR p IS NOT NULL AND (n >= first_prime OR joined) THEN 'ok' ELSE 'uncovered' END AS status FROM c"""
-)
+
+
+@_query(_NEXT_PRIME)
 def archive_next_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next primes of the order keys from an archive that lacks a chunk."""
     return archive.answer_next_prime(_order_keys(spark, sf_dir), _gapped(spark, sf_dir))
@@ -263,45 +271,48 @@ def exact_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gaps_sql(modulus: int) -> str:
-    return f"WITH u AS (SELECT r.r AS unit FROM range(0, {modulus}) r(r) WHERE gcd(r.r, {modulus}) = 1) SELECT unit, coalesce(lead(unit) OVER (ORDER BY unit), min(unit) OVER () + {modulus}) - unit AS gap FROM u"
+    return f"WITH u AS (SELECT r.r AS unit FROM range(0, {modulus}) r(r) WHERE gcd(r.r, {modulus}) = 1), w AS (SELECT unit, coalesce(lead(unit) OVER (ORDER BY unit), min(unit) OVER () + {modulus}) - unit AS gap FROM u) SELECT unit, gap, count(*) AS keys FROM orders JOIN w ON o_orderkey % {modulus} = unit GROUP BY 1, 2"
 
 
-def _gaps(spark: SparkSession, modulus: int) -> DataFrame:
-    units = integers.long_array(masks.coprime_units(modulus))
-    after = integers.long_array([*masks.coprime_units(modulus)[1:], masks.coprime_units(modulus)[0] + modulus])
-    return spark.range(1).select(F.explode(F.arrays_zip(units.alias("unit"), after.alias("after"))).alias("x")).select("x.unit", (F.col("x.after") - F.col("x.unit")).alias("gap"))
+def _gaps(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
+    """For the units among the order keys' residues: the gap to the wheel's next unit, and the keys at it."""
+    units = masks.coprime_units(modulus)
+    gap = dict(zip(units, [b - a for a, b in zip(units, [*units[1:], units[0] + modulus])]))
+    by_residue = integers.long_array([gap.get(r, 0) for r in range(modulus)])
+    keys = _table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % modulus).alias("unit")).agg(F.count("*").alias("keys"))
+    return keys.select("unit", F.element_at(by_residue, (F.col("unit") + 1).cast("int")).alias("gap"), "keys").where("gap > 0")
 
 
 @_query(_gaps_sql(210))
 def wheel_gaps_210(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, 210)
+    return _gaps(spark, sf_dir, 210)
 
 
 @_query(_gaps_sql(840))
 def wheel_gaps_840(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gaps(spark, 840)
+    return _gaps(spark, sf_dir, 840)
 
 
 @_query(f"WITH {_MASK_PRIMES}, g AS (SELECT p, string_agg(symbol, '' ORDER BY k) AS full_mask FROM positions GROUP BY p) SELECT p, full_mask, substr(full_mask, 1, (p // 10)::INT) || 'f' || substr(full_mask, (p // 10 + 2)::INT) AS cleaned_mask, replace(full_mask, 'f', '') AS symbol_order FROM g")
 def mask_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.mask_strings(_mask_primes(spark))
+    return masks.mask_strings(_mask_primes(spark, sf_dir))
 
 
 @_query(f"WITH {_MASK_PRIMES} SELECT p, k, candidates::VARCHAR AS candidates, struck_digits::VARCHAR AS struck_digits, symbol FROM positions")
 def mask_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ", "), F.lit("]"))
-    rows = masks.mask_positions(_mask_primes(spark))
+    rows = masks.mask_positions(_mask_primes(spark, sf_dir))
     return rows.select("p", "k", text("candidates").alias("candidates"), text("struck_digits").alias("struck_digits"), "symbol")
 
 
 @_query(f"WITH {_MASK_PRIMES} SELECT p, " + ", ".join(f"(SELECT min(k.k) FROM range(0, p) k(k) WHERE (10 * k.k + {d}) % p = 0) AS k{d}" for d in (1, 3, 7, 9)) + " FROM mask_primes")
 def hit_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.hit_positions(_mask_primes(spark))
+    return masks.hit_positions(_mask_primes(spark, sf_dir))
 
 
 @_query(f"WITH {_MASK_PRIMES} SELECT p, 840 // p AS quotient, 840 // p * p AS multiple, " + ", ".join(f"{840 * k} % p AS rest_{k}, p - {840 * k} % p AS lack_{k}" for k in range(1, 6)) + " FROM mask_primes")
 def worksheet_kx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.worksheet(_mask_primes(spark))
+    return masks.worksheet(_mask_primes(spark, sf_dir))
 
 
 _EVENTS = f"""{_MASK_PRIMES}, ev AS (
@@ -314,26 +325,26 @@ _EVENTS = f"""{_MASK_PRIMES}, ev AS (
 
 @_query(f"WITH {_EVENTS} SELECT * FROM ev")
 def mask_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.mask_events(_mask_primes(spark))
+    return masks.mask_events(_mask_primes(spark, sf_dir))
 
 
 @_query(f"WITH {_EVENTS} SELECT a.p, a.multiplier, b.multiplier AS mirror, a.position, b.position AS mirror_position, a.position + b.position = a.p - 1 AND a.channel + b.channel = 10 AS holds FROM ev a JOIN ev b ON a.p = b.p AND b.multiplier = CASE a.multiplier WHEN 1 THEN 9 WHEN 9 THEN 1 WHEN 3 THEN 7 ELSE 3 END")
 def mirror_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.mirror_pairs(masks.mask_events(_mask_primes(spark)))
+    return masks.mirror_pairs(masks.mask_events(_mask_primes(spark, sf_dir)))
 
 
-@_query("SELECT i.i AS mask_index, i.i % 2 AS layer_2, i.i % 3 AS layer_3, i.i AS back FROM range(0, 6) i(i)")
+@_query("SELECT DISTINCT o_orderkey % 6 AS mask_index, mask_index % 2 AS layer_2, mask_index % 3 AS layer_3, mask_index AS back FROM orders")
 def coord24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(6).select(F.col("id").alias("mask_index"), *masks.batch_coordinate(F.col("id")))
+    return _residues(spark, sf_dir, 6).select(F.col("id").alias("mask_index"), *masks.batch_coordinate(F.col("id")))
 
 
-@_query("SELECT i.i AS mask_index, i.i // 30 AS golden_layer, i.i % 30 // 6 AS cell_layer, i.i % 6 AS mask_layer, i.i AS back FROM range(0, 60) i(i)")
+@_query("SELECT DISTINCT o_orderkey % 60 AS mask_index, mask_index // 30 AS golden_layer, mask_index % 30 // 6 AS cell_layer, mask_index % 6 AS mask_layer, mask_index AS back FROM orders")
 def coord240(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(60).select(F.col("id").alias("mask_index"), *masks.block_coordinate(F.col("id")))
+    return _residues(spark, sf_dir, 60).select(F.col("id").alias("mask_index"), *masks.block_coordinate(F.col("id")))
 
 
 _COORDINATES = """
-u AS (SELECT r.r AS residue FROM range(0, 840) r(r) WHERE gcd(r.r, 840) = 1),
+u AS (SELECT DISTINCT o_orderkey % 840 AS residue FROM orders WHERE gcd(o_orderkey, 840) = 1),
 f AS (SELECT residue,
     CASE WHEN residue % 8 IN (7, 5) THEN 1 ELSE 0 END AS i1, CASE WHEN residue % 8 IN (3, 5) THEN 1 ELSE 0 END AS i2,
     CASE WHEN residue % 3 = 1 THEN 0 ELSE 1 END AS s3, CASE WHEN residue % 7 IN (6, 5, 3) THEN 1 ELSE 0 END AS s7,
@@ -345,25 +356,37 @@ wheel AS (SELECT residue, layer, e1 AS external_bit_1, e2 AS external_bit_2, 4 *
     (16 * (4 * layer + 2 * e1 + e2) + vertex) // 64 AS word, (16 * (4 * layer + 2 * e1 + e2) + vertex) % 64 AS bit FROM g)"""
 
 
+def _wheel_840(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of the units among the order keys' residues."""
+    units = masks.wheel_840_units(spark).join(_residues(spark, sf_dir, 840).withColumnRenamed("id", "residue"), "residue", "left_semi")
+    return masks.wheel_840_coordinates(units)
+
+
 @_query(f"WITH {_COORDINATES} SELECT * FROM wheel")
 def wheel840_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.wheel_840_coordinates(masks.wheel_840_units(spark))
+    return _wheel_840(spark, sf_dir)
 
 
-@_query("SELECT 192::BIGINT AS units, 192::BIGINT AS addresses, 0::BIGINT AS lowest, 191::BIGINT AS highest")
+@_query(f"WITH {_COORDINATES} SELECT count(*) AS units, count(DISTINCT address) AS addresses, min(address)::BIGINT AS lowest, max(address)::BIGINT AS highest FROM wheel")
 def wheel840_bijection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = masks.wheel_840_coordinates(masks.wheel_840_units(spark))
+    rows = _wheel_840(spark, sf_dir)
     return rows.agg(F.count("*").alias("units"), F.countDistinct("address").alias("addresses"), F.min("address").cast("long").alias("lowest"), F.max("address").cast("long").alias("highest"))
 
 
-@_query("SELECT 192::BIGINT AS units, 0::BIGINT AS bad_turns, 0::BIGINT AS bad_mirrors")
+@_query(
+    f"""WITH {_COORDINATES}
+SELECT count(*) AS units,
+       count(*) FILTER (t.tesseract_index <> w.tesseract_index OR t.channel_phase <> (w.channel_phase + 1) % 4 OR t.vertex <> xor((w.vertex & 3) | ((w.vertex & 4) << 1) | ((w.vertex & 8) >> 1), 4)) AS bad_turns,
+       count(*) FILTER (m.tesseract_index <> w.tesseract_index OR m.vertex <> xor(w.vertex, 1)) AS bad_mirrors
+FROM wheel w JOIN wheel t ON t.residue = w.residue * 673 % 840 JOIN wheel m ON m.residue = (840 - w.residue) % 840"""
+)
 def wheel840_symmetries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.wheel_840_symmetries(masks.wheel_840_coordinates(masks.wheel_840_units(spark)))
+    return masks.wheel_840_symmetries(_wheel_840(spark, sf_dir))
 
 
 @_query(f"WITH {_MASK_PRIMES}, u AS (SELECT r.r AS unit, row_number() OVER (ORDER BY r.r) - 1 AS phase FROM range(0, 840) r(r) WHERE gcd(r.r, 840) = 1) SELECT p, p * p AS first_composite, p * p // 840 AS block_index, p * p % 840 AS residue, p % 840 AS quotient_residue, phase AS wheel_phase FROM mask_primes JOIN u ON p % 840 = unit")
 def sieve_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.sieve_seeds(_mask_primes(spark))
+    return masks.sieve_seeds(_mask_primes(spark, sf_dir))
 
 
 @_query("SELECT 1152::BIGINT AS group_order, 12::BIGINT AS coxeter_order, 2::BIGINT AS coxeter_orbits, 96::BIGINT AS order_twelve_elements, 12::BIGINT AS least_centralizer, 12::BIGINT AS largest_centralizer, 0::BIGINT AS foreign_involutions, 4::BIGINT AS twisted_generators, 1152::BIGINT AS duality_frames, 2::BIGINT AS dual_square_roots")
@@ -381,7 +404,7 @@ def repair_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.research_documents(_mask_primes(spark))
+    return masks.research_documents(_mask_primes(spark, sf_dir))
 
 
 _PACKED = "SELECT CASE o_orderkey % 10 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS class_index, o_orderkey // 600 AS block, bit_or(1::BIGINT << (o_orderkey // 10 % 60)::INT) AS selector FROM orders WHERE o_orderkey % 10 IN (1, 3, 7, 9) GROUP BY 1, 2"
@@ -475,22 +498,22 @@ def is_prime_fast_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return primality.is_prime_big(_order_keys(spark, sf_dir).select(F.col("n").cast("string").alias("text")))
 
 
-#: Numbers beyond a long: Mersenne primes and others with known answers.
-BIG = (2**61 - 1, 2**89 - 1, 2**67 - 1, 2**64 - 1, 18446744073709552359, 10**30 + 57, 2**127 - 1, 561 * 10**40, 2**521 - 1)
+def _big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal strings of 20 to 60 digits (text) from customer keys: digits of the key and of its CRC-32, repeated and cut."""
+    return _table(spark, sf_dir, "customer").select(F.expr(_BIG_TEXT).alias("text")).distinct()
 
 
-def _big(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(str(n),) for n in BIG] + [("12x",), ("-5",), ("",)], "text string")
+_BIG_TEXT = "left(repeat(concat(cast(c_custkey as string), '7', cast(crc32(cast(cast(c_custkey as string) as binary)) as string)), 8), cast(20 + c_custkey % 41 as int))"
 
 
 @_query()
 def is_prime_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return primality.is_prime_big(_big(spark))
+    return primality.is_prime_big(_big(spark, sf_dir))
 
 
 @_query()
 def next_prime_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return primality.next_prime_big(_big(spark))
+    return primality.next_prime_big(_big(spark, sf_dir))
 
 
 @_query(f"WITH {_PRIMES} SELECT row_number() OVER (ORDER BY p) AS rank, p FROM primes")
@@ -545,7 +568,7 @@ def archive_stored_is_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same questions, answered from the written index and bitmap."""
     path = _folder(spark)
     store.write_archive(_gapped(spark, sf_dir), path)
-    return archive.stored_is_prime(_order_keys(spark, sf_dir), store.read_index(spark, path), store.read_bitmap(spark, path))
+    return stored.is_prime(_order_keys(spark, sf_dir), path)
 
 
 @_query(
@@ -578,3 +601,69 @@ def first_n_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_PRIMES}, g AS (SELECT p, p - row_number() OVER (ORDER BY p) AS g FROM primes), r AS (SELECT min(p) AS a, max(p) AS b, row_number() OVER (ORDER BY min(p)) AS k FROM g GROUP BY g.g) SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) FILTER (k <= 6) AS ranges, greatest(count(*) - 6, 0) AS more FROM r")
 def first_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.first_ranges(maintenance.islands(sieve.primes(spark, 0, _max_order_key(spark, sf_dir) + 1), "p"))
+
+
+#: Words behind a number, and the primes whose multiples its window loses, in ``window_survivors``.
+WINDOW_WORDS, WINDOW_LIMIT = 2, 100
+# Strings of 25 to 60 digits.
+_LONG_TEXT = "left(repeat(concat(c_custkey, '1', c_nationkey, '3'), 30), 25 + c_custkey % 36)"
+
+
+@_query(
+    f"""WITH k AS (SELECT DISTINCT left(repeat(c_custkey || '1' || c_nationkey || '3', 30), (25 + c_custkey % 36)::INT) AS text FROM customer),
+base AS (SELECT b.b FROM range(3, {WINDOW_LIMIT + 1}) b(b) WHERE b.b <> 5 AND NOT EXISTS (SELECT 1 FROM range(2, 11) d(d) WHERE d.d * d.d <= b.b AND b.b % d.d = 0)),
+rest AS (SELECT text, b, list_reduce(list_transform(range(1, length(text)::BIGINT + 1), lambda i: substr(text, i, 1)::BIGINT), lambda r, x: (10 * r + x) % b, 0::BIGINT) AS r FROM k, base),
+word AS (SELECT text, left(text, -1) AS q FROM k),
+place AS (SELECT text, list_reduce(list_transform(range(1, length(q)::BIGINT + 1), lambda i: substr(q, i, 1)::BIGINT), lambda r, x: (10 * r + x) % 60, 0::BIGINT) AS inner_place, right(text, 1)::BIGINT AS last FROM word),
+struck AS (SELECT DISTINCT text, c.c, d.d FROM rest JOIN place USING (text), range(0, {60 * WINDOW_WORDS}) c(c), (SELECT unnest([1, 3, 7, 9]::BIGINT[]) AS d) d WHERE (r - last - 10 * inner_place + 10 * c.c + d.d) % b = 0)
+SELECT text, CASE d.d WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 3 END::INT AS class_index, c.c // 60 AS block,
+       coalesce(bit_or(1::BIGINT << (c.c % 60)::INT) FILTER (s.text IS NULL), 0) AS selector
+FROM k CROSS JOIN range(0, {60 * WINDOW_WORDS}) c(c) CROSS JOIN (SELECT unnest([1, 3, 7, 9]::BIGINT[]) AS d) d LEFT JOIN struck s USING (text, c, d) GROUP BY 1, 2, 3"""
+)
+def window_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates behind numbers of 25 to 60 digits that no small prime divides, as selector words."""
+    texts = _table(spark, sf_dir, "customer").select(F.expr(_LONG_TEXT.replace("25 + c_custkey % 36", "cast(25 + c_custkey % 36 as int)")).alias("text"))
+    return bignum.sieved_windows(texts, words=WINDOW_WORDS, limit=WINDOW_LIMIT)
+
+
+@_query(_NEXT_PRIME)
+def archive_stored_next_prime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next primes of the order keys from the written index and bitmap of an archive that lacks a chunk."""
+    path = _folder(spark)
+    store.write_archive(_gapped(spark, sf_dir), path)
+    return stored.next_prime(_order_keys(spark, sf_dir), path)
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p, CASE WHEN chunk_id % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS version FROM chunks WHERE p >= 11")
+def archive_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other chunk in a first version, the rest in a second one that leaves them where they are."""
+    path, chunks = _folder(spark), _chunks(spark, sf_dir)
+    store.write_archive(chunks.where("chunk_id % 2 = 0"), path)
+    store.update_archive(chunks.where("chunk_id % 2 = 1"), path)
+    return store.read_archive(spark, path).join(store.read_index(spark, path, True).select("chunk_id", F.col("home").alias("version")), "chunk_id")
+
+
+@_query(f"WITH {_CHUNKS} SELECT i.*, CASE WHEN chunk_id = {LOST_CHUNK} THEN 2 ELSE 1 END::BIGINT AS version FROM ({_INDEX.format(chunks='chunks')}) i")
+def archive_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of an archive that lacked a chunk, after its repair: only the lost chunk was written."""
+    path = _folder(spark)
+    store.write_archive(_gapped(spark, sf_dir), path)
+    store.repair(spark, path, archive.index(_chunks(spark, sf_dir)))
+    return store.read_index(spark, path, True).withColumnRenamed("home", "version").drop("direct")
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p FROM chunks WHERE p >= 11")
+def archive_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive made from exact chunks alone."""
+    exact, path = _folder(spark), _folder(spark)
+    store.write_exact(_chunks(spark, sf_dir), exact)
+    store.rebuild_archive(spark, exact, path)
+    return store.read_archive(spark, path)
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, count(*) AS prime_count, min(p) AS first_prime, max(p) AS last_prime FROM chunks GROUP BY 1")
+def exact_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of written exact chunks, from their heads alone."""
+    exact = _folder(spark)
+    store.write_exact(_chunks(spark, sf_dir), exact, 4096)
+    return store.exact_index(spark, exact)
