@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from numera.functions.integers import class_index, div
+from numera.functions.integers import class_index, div, lowest_bit
 
 BITS = 60
 MASK = (1 << BITS) - 1
@@ -24,19 +27,69 @@ def pack(numbers: DataFrame, column: str = "n") -> DataFrame:
     return rows.groupBy("class_index", F.expr(f"q div {BITS}").alias("block")).agg(F.bit_or(word).alias("selector"))
 
 
-def events(words: DataFrame) -> DataFrame:
-    """A row for each set bit: mask_index, period and its multiples by 1, 3, 9 and 7."""
-    digit = F.element_at(F.array(*(F.lit(d).cast("long") for d in (1, 3, 7, 9))), F.col("class_index") + 1)
-    positions = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("getbit", "selector", i) == 1)
-    rows = words.select("class_index", "block", digit.alias("d"), "selector", F.explode(positions).alias("mask_index"))
-    period = (F.col("block") * BITS + F.col("mask_index")) * 10 + F.col("d")
+def active(selector: Column) -> Column:
+    """The 60 bits of a word that count; what a source has above them is left out."""
+    return selector.bitwiseAND(F.lit(MASK).cast("long"))
+
+
+def bit_is_set(selector: Column, mask_index: Column) -> Column:
+    return F.call_function("getbit", selector, mask_index) == 1
+
+
+def clear_bit(selector: Column, mask_index: Column) -> Column:
+    return selector.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), mask_index.cast("int"))))
+
+
+def digit(class_index: Column) -> Column:
+    """The last digit 1, 3, 7 or 9 of a class's numbers."""
+    return 1 + 2 * class_index + class_index.bitwiseAND(2)
+
+
+#: The numbers of the set bits of each six-bit pattern.
+CELL_OFFSETS = tuple(tuple(i for i in range(6) if pattern >> i & 1) for pattern in range(64))
+
+
+def _offsets(selector: Column, mode: str) -> Column:
+    """The numbers of a word's set bits, as an array."""
+    if mode == "sparse":
+        # as many steps as bits are set: each takes the lowest one off
+        start = F.struct(F.array().cast("array<int>").alias("found"), selector.alias("left"))
+        step = lambda s, _: F.struct(F.array_append(s["found"], lowest_bit(s["left"])).alias("found"), s["left"].bitwiseAND(s["left"] - 1).alias("left"))
+        counted = F.sequence(F.lit(1), F.bit_count(selector))
+        return F.when(selector == 0, F.array().cast("array<int>")).otherwise(F.aggregate(counted, start, step, lambda s: s["found"]))
+    if mode == "dense":
+        return F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("getbit", selector, i) == 1)
+    if mode == "table":
+        table = F.array(*(F.array(*map(F.lit, own)).cast("array<int>") for own in CELL_OFFSETS))
+
+        def looked_up(k: int) -> Column:
+            return F.transform(F.element_at(table, (cell(selector, k) + 1).cast("int")), lambda i: i + 6 * k)
+
+        return F.concat(*map(looked_up, range(BITS // 6)))
+    raise ValueError(f"mode: {mode}")
+
+
+def events(words: DataFrame, mode: str = "dense") -> DataFrame:
+    """A row for each set bit: mask_index, period and its multiples by 1, 3, 9 and 7.
+
+    mode: dense looks at all 60 places, sparse takes set bits off one by one,
+    table looks ten slices of six bits up; the rows are the same.
+    """
+    rows = words.select("class_index", "block", F.explode(_offsets(active(F.col("selector")), mode)).alias("mask_index"))
+    period = (F.col("block") * BITS + F.col("mask_index")) * 10 + digit(F.col("class_index"))
     rows = rows.select("class_index", "block", "mask_index", period.cast("long").alias("period"))
     return rows.select("*", F.array("period", F.col("period") * 3, F.col("period") * 9, F.col("period") * 7).alias("channel_values"))
 
 
+def scanned(words: DataFrame) -> DataFrame:
+    """``events``, each word in the mode that ``scan_mode`` chooses for it."""
+    mode = scan_mode(F.bit_count(active(F.col("selector"))), F.lit(BITS))
+    return events(words.where(mode == "sparse"), "sparse").unionByName(events(words.where(mode == "dense"), "dense"))
+
+
 def popcount(words: DataFrame) -> DataFrame:
     """(class_index, words, active_bits)."""
-    return words.groupBy("class_index").agg(F.count("*").alias("words"), F.sum(F.bit_count("selector")).cast("long").alias("active_bits"))
+    return words.groupBy("class_index").agg(F.count("*").alias("words"), F.sum(F.bit_count(active(F.col("selector")))).cast("long").alias("active_bits"))
 
 
 def checksum(rows: DataFrame) -> DataFrame:
@@ -46,27 +99,26 @@ def checksum(rows: DataFrame) -> DataFrame:
 
 
 def position_sum(selector: Column) -> Column:
-    """Sum of the numbers of the set bits: each binary digit of the numbers is counted under a mask of its own."""
+    """Sum of the numbers of the set bits: each binary digit of the numbers is counted under a mask of its own, which leaves out what is above the 60 bits."""
     masks = [sum(1 << i for i in range(BITS) if i >> k & 1) for k in range(6)]
-    return sum((F.bit_count(selector.bitwiseAND(F.lit(m).cast("long"))).cast("long") * (1 << k) for k, m in enumerate(masks)), F.lit(0).cast("long"))
+    return sum((F.call_function("shiftleft", F.bit_count(selector.bitwiseAND(F.lit(m).cast("long"))), F.lit(k)) for k, m in enumerate(masks)), F.lit(0))
 
 
 def word_checksum(words: DataFrame) -> DataFrame:
     """``checksum`` of the words' events, from the words alone: nothing is made for a set bit.
 
-    Sums are kept in halves of 32 bits, so that they stay longs for 2^31 words.
+    The large sum is kept in halves of 32 bits, so that it stays a long for 2^31 words.
     """
-    n = F.bit_count("selector").cast("long")
-    digit = F.element_at(F.array(*(F.lit(d).cast("long") for d in (1, 3, 7, 9))), F.col("class_index") + 1)
+    selector = F.col("selector")
+    n = F.bit_count(active(selector))
     in_blocks = F.col("block") * n
     sums = words.agg(
         F.sum(F.shiftright(in_blocks, 32)).alias("high"),
         F.sum(in_blocks.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
-        F.sum(position_sum(F.col("selector"))).alias("places"),
-        F.sum(digit * n).alias("digits"),
+        F.sum(position_sum(selector) * 10 + digit(F.col("class_index")) * n).alias("rest"),
     )
     wide = {c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)") for c in sums.columns}
-    periods = (wide["high"] * F.lit(1 << 32).cast("decimal(10,0)") + wide["low"]) * (10 * BITS) + wide["places"] * 10 + wide["digits"]
+    periods = (wide["high"] * F.lit(1 << 32).cast("decimal(10,0)") + wide["low"]) * (10 * BITS) + wide["rest"]
     return sums.select(((periods * 20) % F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)").alias("checksum"))
 
 
@@ -104,17 +156,71 @@ def memory_partition(total: int, device: int, staging: int) -> dict[str, int]:
     return parts | {"total": sum(parts.values())}
 
 
-def synthetic_words(n: int, density: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Test words: bits that are set where a xorshift64* draw modulo 100 is below ``density``."""
-    state, out = seed, np.zeros(n, np.uint64)
-    for i in range(n):
-        word = 0
-        for bit in range(BITS):
-            state ^= state >> 12
-            state = (state ^ state << 25) & (2**64 - 1)
-            state ^= state >> 27
-            draw = state * 0x2545F4914F6CDD1D & (2**64 - 1)
-            if (draw & 0xFFFFFFFF) % 100 < density:
-                word |= 1 << bit
-        out[i] = word
+#: Shifts and factor of the generator, and the seed of the published scan figures.
+SHIFTS, FACTOR = (12, 25, 27), 0x2545F4914F6CDD1D
+SEED = 0x9E3779B97F4A7C15
+#: Words that a task draws at a time.
+_WORDS = 1 << 14
+
+
+def _step(state: np.ndarray) -> np.ndarray:
+    a, b, c = map(np.uint64, SHIFTS)
+    state = state ^ (state >> a)
+    state = state ^ (state << b)
+    return state ^ (state >> c)
+
+
+def _applied(columns: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """A 64 x 64 bit matrix, given by the images of the single bits, times many states."""
+    out = np.zeros(len(states), np.uint64)
+    for k, image in enumerate(columns):
+        out ^= np.where(states >> np.uint64(k) & np.uint64(1), image, np.uint64(0))
     return out
+
+
+def _jumps(steps: int, powers: int) -> list[np.ndarray]:
+    """Matrices that advance a state by ``steps`` times 1, 2, 4 and so on: a step is linear over bits, so squaring doubles it."""
+    matrix, base = np.uint64(1) << np.arange(64, dtype=np.uint64), _step(np.uint64(1) << np.arange(64, dtype=np.uint64))
+    while steps:
+        if steps & 1:
+            matrix = _applied(base, matrix)
+        base, steps = _applied(base, base), steps >> 1
+    out = [matrix]
+    while len(out) < powers:
+        out.append(_applied(out[-1], out[-1]))
+    return out
+
+
+def synthetic_words(n: int, density: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """Test words ``first`` to ``first + n - 1``: bits that are set where a xorshift64* draw modulo 100 is below ``density``.
+
+    Draws are numbered through all words; the state before a word is found by
+    jumps, so that words are drawn side by side and parts of a stream apart.
+    """
+    jumps, states = _jumps(BITS, max(1, (first + n).bit_length())), np.array([seed], np.uint64)
+    for k, matrix in enumerate(jumps):
+        if first >> k & 1:
+            states = _applied(matrix, states)
+    for matrix in jumps:
+        if len(states) >= n:
+            break
+        states = np.concatenate([states, _applied(matrix, states)])
+    states, out = states[:n], np.zeros(n, np.uint64)
+    for bit in range(BITS):
+        states = _step(states)
+        draw = (states * np.uint64(FACTOR)) & np.uint64(0xFFFFFFFF)
+        out |= (draw % np.uint64(100) < np.uint64(density)).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def synthetic(spark: SparkSession, n: int, density: int, seed: int = SEED) -> DataFrame:
+    """(class_index, block, selector) of n test words, one stream drawn in disjoint parts; class 0, blocks from 0 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                first, size = part * _WORDS, min(_WORDS, n - part * _WORDS)
+                words = synthetic_words(size, density, seed, first).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"class_index": np.zeros(size, np.int32), "block": np.arange(first, first + size), "selector": words})
+
+    return spark.range(-(-n // _WORDS)).mapInArrow(run, "class_index int, block long, selector long")
