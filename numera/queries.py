@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numera.functions import integers, masks
-from numera.operators import archive, bignum, groups, maintenance, primality, selectors, sieve, stored, successor
+from numera.operators import archive, bignum, groups, maintenance, primality, proofs, selectors, sieve, stored, successor
 from numera.plans.segments import ranked
 from numera.sources import store
 from numera.streaming import incremental
@@ -667,3 +667,9 @@ def exact_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = _folder(spark)
     store.write_exact(_chunks(spark, sf_dir), exact, 4096)
     return store.exact_index(spark, exact)
+
+
+@_query()
+def proven_next_primes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next primes of strings of 20 to 60 digits, with certificates and what an independent check says of each."""
+    return proofs.verified(proofs.next_prime_proven(_big(spark, sf_dir), proofs.FactorProver()))
