@@ -190,11 +190,37 @@ def sieve_seeds(primes: DataFrame) -> DataFrame:
     return primes.where(p >= 11).select("p", (p * p).alias("first_composite"), div(p * p, WHEEL_840).alias("block_index"), (p * p % WHEEL_840).alias("residue"), (p % WHEEL_840).alias("quotient_residue"), phase.alias("wheel_phase"))
 
 
-def mask_mismatches(sheet: DataFrame) -> DataFrame:
-    """Rows of a mask sheet (row_number, prime, cleaned_mask, full_mask, symbol_order) that differ from what the prime gives, with the columns that do."""
-    own = mask_strings(sheet.select(F.col("prime").alias("p")).distinct()).select(F.col("p").alias("prime"), *(F.col(c).alias(f"own_{c}") for c in ("cleaned_mask", "full_mask", "symbol_order")))
-    wrong = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"own_{c}")), F.lit(c)) for c in ("cleaned_mask", "full_mask", "symbol_order"))))
-    return sheet.join(own, "prime", "left").select("row_number", "prime", wrong.alias("differing")).where(F.size("differing") > 0)
+_SHEET_COLUMNS = ("cleaned_mask", "full_mask", "symbol_order")
+
+
+def mask_mismatches(sheet: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(row_number, prime, kind, differing): where a mask sheet (row_number, prime and three masks) is not what its primes give.
+
+    kind: differs, with the names of the columns that do; repeated, a prime's
+    rows beyond its first; and with ``expected`` (p) also missing, an expected
+    prime without a row, and unexpected, a row whose prime is not expected. No
+    row means that sheet and primes are equal both ways.
+    """
+    own = mask_strings(sheet.select(F.col("prime").alias("p")).distinct()).select(F.col("p").alias("prime"), *(F.col(c).alias(f"own_{c}") for c in _SHEET_COLUMNS))
+    wrong = F.array_compact(F.array(*(F.when(~F.col(c).eqNullSafe(F.col(f"own_{c}")), F.lit(c)) for c in _SHEET_COLUMNS)))
+    rows = sheet.join(own, "prime", "left").select("row_number", "prime", F.lit("differs").alias("kind"), wrong.alias("differing")).where(F.size("differing") > 0)
+
+    def told(found: DataFrame, kind: str) -> DataFrame:
+        return found.select("row_number", "prime", F.lit(kind).alias("kind"), F.array().cast("array<string>").alias("differing"))
+
+    first = sheet.groupBy("prime").agg(F.min("row_number").alias("first"))
+    rows = rows.unionByName(told(sheet.join(first, "prime").where(F.col("row_number") > F.col("first")), "repeated"))
+    if expected is not None:
+        primes = expected.select(F.col("p").alias("prime")).distinct()
+        absent = primes.join(sheet, "prime", "left_anti").select(F.lit(None).cast("int").alias("row_number"), "prime")
+        rows = rows.unionByName(told(absent, "missing")).unionByName(told(sheet.join(primes, "prime", "left_anti"), "unexpected"))
+    return rows
+
+
+def first_mismatches(mismatches: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` mismatches by row, missing primes last, and in each row how many there are in all."""
+    first = mismatches.orderBy(F.col("row_number").asc_nulls_last(), "prime", "kind").limit(most)
+    return first.crossJoin(F.broadcast(mismatches.agg(F.count("*").alias("total"))))
 
 
 def research_documents(primes: DataFrame) -> DataFrame:

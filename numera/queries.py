@@ -673,3 +673,54 @@ def exact_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proven_next_primes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next primes of strings of 20 to 60 digits, with certificates and what an independent check says of each."""
     return proofs.verified(proofs.next_prime_proven(_big(spark, sf_dir), proofs.FactorProver()))
+
+
+_SHEET_SQL = f"""{_MASK_PRIMES},
+g AS (SELECT p, string_agg(symbol, '' ORDER BY k) AS full_mask FROM positions GROUP BY p),
+m AS (SELECT p, full_mask, substr(full_mask, 1, (p // 10)::INT) || 'f' || substr(full_mask, (p // 10 + 2)::INT) AS cleaned_mask, replace(full_mask, 'f', '') AS symbol_order FROM g)"""
+
+
+@_query(
+    f"""WITH {_SHEET_SQL},
+r AS (SELECT p::INT AS row_number, p AS prime, 'differs' AS kind,
+             concat_ws(',', CASE WHEN p % 5 = 1 THEN 'cleaned_mask' END, CASE WHEN p % 5 = 1 THEN 'full_mask' END, CASE WHEN p % 3 = 2 AND symbol_order <> reverse(symbol_order) THEN 'symbol_order' END) AS differing FROM m WHERE p % 11 <> 2
+      UNION ALL SELECT NULL, p, 'missing', '' FROM m WHERE p % 11 = 2
+      UNION ALL SELECT (p + 1)::INT, p + 1, 'unexpected', '' FROM m WHERE p % 13 = 1
+      UNION ALL SELECT (p + 5000)::INT, p, 'repeated', '' FROM m WHERE p % 11 <> 2 AND p % 17 = 3
+      UNION ALL SELECT (p + 5000)::INT, p, 'differs', concat_ws(',', CASE WHEN p % 5 = 1 THEN 'cleaned_mask' END, CASE WHEN p % 5 = 1 THEN 'full_mask' END, CASE WHEN p % 3 = 2 AND symbol_order <> reverse(symbol_order) THEN 'symbol_order' END) FROM m WHERE p % 11 <> 2 AND p % 17 = 3)
+SELECT * FROM r WHERE kind <> 'differs' OR differing <> ''"""
+)
+def mask_sheet_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of the order keys' mask primes, altered, with rows too many and too few, against the primes."""
+    primes = _mask_primes(spark, sf_dir)
+    p = F.col("p")
+    altered = lambda c: F.when(p % 5 == 1, F.concat(F.lit("0"), c)).otherwise(c)
+    own = masks.mask_strings(primes).select(p.cast("int").alias("row_number"), p.alias("prime"), altered(F.col("cleaned_mask")).alias("cleaned_mask"), altered(F.col("full_mask")).alias("full_mask"), F.when(p % 3 == 2, F.reverse("symbol_order")).otherwise(F.col("symbol_order")).alias("symbol_order"))
+    own = own.where("prime % 11 <> 2")
+    again = own.where("prime % 17 = 3").withColumn("row_number", F.col("row_number") + 5000)
+    more = masks.mask_strings(primes.where("p % 13 = 1").select((p + 1).alias("p"))).select(p.cast("int").alias("row_number"), p.alias("prime"), "cleaned_mask", "full_mask", "symbol_order")
+    found = masks.mask_mismatches(own.unionByName(again).unionByName(more), primes)
+    return found.select("row_number", "prime", "kind", F.array_join("differing", ",").alias("differing"))
+
+
+@_query(f"SELECT class_index, block, selector, bit_count(selector)::INT AS active_bits, CASE WHEN 2 * bit_count(selector) <= 60 THEN 'sparse' ELSE 'dense' END AS mode FROM ({_PACKED})")
+def selector_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each word of the order keys would be scanned, counted from what the scan by table finds in it."""
+    words = selectors.pack(_table(spark, sf_dir, "orders"), "o_orderkey")
+    n = selectors.events(words, "table").groupBy("class_index", "block").agg(F.count("*").cast("int").alias("active_bits"))
+    return words.join(n, ["class_index", "block"]).select("class_index", "block", "selector", "active_bits", selectors.scan_mode(F.col("active_bits"), F.lit(selectors.BITS)).alias("mode"))
+
+
+@_query("SELECT CASE o_orderkey % 10 WHEN 1 THEN 0 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 3 END AS class_index, o_orderkey // 600 AS block, (o_orderkey // 10 % 60)::INT AS mask_index, o_orderkey AS period FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 3, 7, 9))")
+def selector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the order keys' words, each word scanned in the mode chosen for it."""
+    return selectors.scanned(selectors.pack(_table(spark, sf_dir, "orders"), "o_orderkey")).select("class_index", "block", "mask_index", "period")
+
+
+@_query("WITH t AS (SELECT DISTINCT o_orderkey AS n, o_orderkey >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) d(d) WHERE d.d * d.d <= o_orderkey AND o_orderkey % d.d = 0) AS is_prime FROM orders WHERE o_orderkey % 2 = 1) SELECT n, is_prime, CASE WHEN is_prime THEN 13 END::INT AS bases FROM t")
+def mr_thirteen_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd order keys by strong tests to the thirteen bases alone."""
+    odd = _order_keys(spark, sf_dir).where("n % 2 = 1")
+    small = odd.where(F.col("n") <= max(primality.LONG_BASES)).select("n", F.col("n").isin(*primality.LONG_BASES).alias("is_prime"))
+    tested = primality.strong_tests(odd.where(F.col("n") > max(primality.LONG_BASES)), primality.LONG_BASES).select("n", (~F.col("composite")).alias("is_prime"))
+    return small.unionByName(tested).select("n", "is_prime", F.when(F.col("is_prime"), len(primality.LONG_BASES)).alias("bases"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import struct
 import zipfile
@@ -22,6 +24,8 @@ from numera.operators.archive import coded, delta_bytes, delta_values, unpacked,
 
 # Heads of the older binary files.
 WHEEL_MAGIC = b"W210A1\0"
+HEAD_BYTES = 55
+HEAD = ("first_prime", "last_prime", "cycle_start", "cycles", "raw_bytes", "packed_bytes")
 EXACT_MAGIC = b"E8PA1\0"
 WHEEL_INDEX = "chunk_id long, first_prime long, last_prime long, cycle_start long, cycles long, raw_bytes long, compressed_bytes long"
 EXACT_INDEX = "chunk_id long, prime_count long, first_prime long, last_prime long, bytes long"
@@ -325,23 +329,32 @@ def read_big_integers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\s", "").alias("text"))
 
 
-def decode_wheel(blob: bytes) -> dict:
-    """An older wheel file: head, first and last prime, cycle start, cycles, raw and packed length, zstd payload."""
-    if len(blob) < 55 or not blob.startswith(WHEEL_MAGIC):
+def decode_head(blob: bytes) -> dict:
+    """The head of an older wheel file: first and last prime, cycle start, cycles, raw and packed length."""
+    if len(blob) < HEAD_BYTES or not blob.startswith(WHEEL_MAGIC):
         raise ValueError("not a wheel-210 chunk")
-    first, last, start, cycles, raw_len, packed_len = struct.unpack_from("<6Q", blob, 7)
-    return {"first_prime": first, "last_prime": last, "cycle_start": start, "cycles": cycles, "raw_bytes": raw_len, "payload": blob[55 : 55 + packed_len]}
+    return dict(zip(HEAD, struct.unpack_from("<6Q", blob, len(WHEEL_MAGIC))))
+
+
+def decode_wheel(blob: bytes) -> dict:
+    """An older wheel file: its head, and its zstd payload."""
+    head = decode_head(blob)
+    payload = blob[HEAD_BYTES : HEAD_BYTES + head["packed_bytes"]]
+    if len(payload) < head["packed_bytes"]:
+        raise ValueError("wheel-210 chunk is cut short")
+    return head | {"payload": payload}
 
 
-def wheel_values(blob: bytes) -> list[int]:
+def wheel_values(blob: bytes) -> np.ndarray:
+    """The primes of an older wheel file, in order."""
     import zstandard
 
     head = decode_wheel(blob)
     raw = zstandard.ZstdDecompressor().decompress(head["payload"], max_output_size=head["raw_bytes"])
-    if len(raw) != head["raw_bytes"]:
+    if len(raw) != head["raw_bytes"] or len(raw) != head["cycles"] * (len(WHEEL_UNITS) // 8):
         raise ValueError("wheel-210 chunk is cut short")
-    width = len(WHEEL_UNITS) // 8
-    return [(head["cycle_start"] + c) * WHEEL + u for c in range(head["cycles"]) for b, u in enumerate(WHEEL_UNITS) if raw[width * c + b // 8] >> b % 8 & 1]
+    cycle, bit = np.divmod(np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")), len(WHEEL_UNITS))
+    return (head["cycle_start"] + cycle) * WHEEL + np.array(WHEEL_UNITS)[bit]
 
 
 def exact_values(blob: bytes) -> list[int]:
@@ -366,40 +379,64 @@ def exact_values(blob: bytes) -> list[int]:
 
 
 def read_older_chunks(spark: SparkSession, path: str, kind: str = "wheel") -> DataFrame:
-    """(chunk_id, p) of older binary files, a file a row on the executors."""
+    """(chunk_id, p) of older binary files, those named chunk_<number>, a file a row on the executors."""
     values = {"wheel": wheel_values, "exact": exact_values}[kind]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, blob in zip(frame["path"], frame["content"]):
-                found = re.search(r"chunk_(\d+)\.", name)
                 p = values(bytes(blob))
-                yield pd.DataFrame({"chunk_id": [int(found[1]) if found else None] * len(p), "p": p}).astype("int64")
+                yield pd.DataFrame({"chunk_id": int(re.search(r"chunk_(\d+)\.", name)[1]), "p": p}).astype("int64")
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").rlike(r"chunk_\d+\.[^/]*$")).select("path", "content")
     return files.mapInPandas(run, "chunk_id long, p long")
 
 
-def read_mask_sheet(spark: SparkSession, path: str, sheet: int = 5, first_row: int = 6) -> DataFrame:
-    """(row_number, prime, cleaned_mask, full_mask, symbol_order): columns F, E, G and H of a workbook's sheet."""
-    ns = {"a": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(path) as book:
+SHEET = "row_number int, prime long, cleaned_mask string, full_mask string, symbol_order string"
+_SHEET_SPACE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_SHEET_ROWS = 1000
+
+
+def _sheet_rows(content: bytes, sheet: int, first_row: int) -> Iterator[tuple]:
+    """Rows of a workbook's sheet, read as a stream, that have all four columns."""
+    a, text_of = _SHEET_SPACE, lambda node: "".join(t.text or "" for t in node.iter(f"{_SHEET_SPACE}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{{{ns['a']}}}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("a:si", ns)]
-        root = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml"))
-    rows = []
-    for row in root.iter(f"{{{ns['a']}}}row"):
-        number, cells = int(row.get("r")), {}
-        for cell in row.findall("a:c", ns):
-            value, inline = cell.find("a:v", ns), cell.find("a:is", ns)
-            if inline is not None:
-                text = "".join(t.text or "" for t in inline.iter(f"{{{ns['a']}}}t"))
-            elif value is None:
-                continue
-            else:
-                text = shared[int(value.text)] if cell.get("t") == "s" else value.text
-            cells[re.match("[A-Z]+", cell.get("r"))[0]] = text
-        if number >= first_row and all(c in cells for c in "EFGH"):
-            rows.append((number, int(float(cells["F"])), cells["E"], cells["G"], cells["H"]))
-    return spark.createDataFrame(rows, "row_number int, prime long, cleaned_mask string, full_mask string, symbol_order string")
+            shared = [text_of(item) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall(f"{a}si")]
+        with book.open(f"xl/worksheets/sheet{sheet}.xml") as file:
+            for _, row in ElementTree.iterparse(file):
+                if row.tag != f"{a}row":
+                    continue
+                cells = {}
+                for cell in row.findall(f"{a}c"):
+                    value, inline = cell.find(f"{a}v"), cell.find(f"{a}is")
+                    if inline is not None:
+                        text = text_of(inline)
+                    elif value is None:
+                        continue
+                    else:
+                        text = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                    cells[re.match("[A-Z]+", cell.get("r"))[0]] = text
+                number = int(row.get("r"))
+                row.clear()
+                if number >= first_row and all(c in cells for c in "EFGH"):
+                    yield number, int(float(cells["F"])), cells["E"], cells["G"], cells["H"]
+
+
+def read_mask_sheet(spark: SparkSession, path: str, sheet: int = 5, first_row: int = 6) -> DataFrame:
+    """(row_number, prime, cleaned_mask, full_mask, symbol_order): columns F, E, G and H of a sheet of the workbooks below a path.
+
+    Workbooks are parsed on the executors, one after the other in a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SHEET.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = _sheet_rows(content.as_py(), sheet, first_row)
+                while part := list(itertools.islice(rows, _SHEET_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SHEET)
