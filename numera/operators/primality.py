@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -226,32 +227,76 @@ _FAST = T.StructType([T.StructField("status", T.StringType()), T.StructField("di
 _NEXT = T.StructType([T.StructField("p", T.StringType()), T.StructField("offset", T.StringType()), T.StructField("checked", T.LongType()), T.StructField("rounds", T.IntegerType())])
 
 
+def whole(text: str) -> int:
+    """A decimal string of any length as a number."""
+    if len(text) > sys.get_int_max_str_digits() > 0:
+        sys.set_int_max_str_digits(0)
+    return int(text)
+
+
 @F.pandas_udf(_FAST)
 def _fast_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in values:
-        got = are_prime_fast([int(v) for v in series])
+        got = are_prime_fast([whole(v) for v in series])
         yield pd.DataFrame({"status": [g.status for g in got], "divisor": [None if g.divisor is None else str(g.divisor) for g in got], "witness": pd.array([g.witness for g in got], "Int64"), "rounds": pd.array([g.rounds for g in got], "Int32")})
 
 
 @F.pandas_udf(_NEXT)
 def _next_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for series in values:
-        got = [next_prime_fast(int(v)) for v in series]
+        got = [next_prime_fast(whole(v)) for v in series]
         yield pd.DataFrame([(str(g.p), str(g.offset), g.checked, g.rounds) for g in got], columns=["p", "offset", "checked", "rounds"])
 
 
+#: White space around a number, by code point.
+SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def validated(text: Column, max_digits: int = MAX_DIGITS) -> Column:
-    """STRUCT<ok, error, value> of decimal input: trimmed, one leading + dropped, ASCII digits only, bounded length."""
-    body = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    digits = F.regexp_replace(body, r"^\+", "")
-    error = (
-        F.when(text.isNull(), "null")
-        .when(body.startswith("-"), "negative")
-        .when(F.length(digits) == 0, "empty")
-        .when(F.length(digits) > max_digits, "too_long")
-        .when(~digits.rlike(r"\A[0-9]+\z"), "invalid_char")
-    )
-    return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), digits).alias("value"))
+    """STRUCT<ok, error, value, position, character> of decimal input: trimmed, one leading + dropped, ASCII digits only, bounded length.
+
+    position and character tell the first one that is no digit, counted behind the +.
+    """
+
+    def error(body: Column, digits: Column) -> Column:
+        return (
+            F.when(body.isNull(), "null")
+            .when(body.startswith("-"), "negative")
+            .when(F.length(digits) == 0, "empty")
+            .when(~digits.rlike(r"\A[0-9]*\z"), "invalid_char")
+            .when(F.length(digits) > max_digits, "too_long")
+        )
+
+    def told(digits: Column, error: Column) -> Column:
+        position = F.when(error == "invalid_char", F.length(F.regexp_extract(digits, r"\A([0-9]*)", 1)))
+        return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), digits).alias("value"), position.alias("position"), F.substr(digits, position + 1, F.lit(1)).alias("character"))
+
+    return _let(F.btrim(text, F.lit(SPACES)), lambda body: _let(F.regexp_replace(body, r"\A\+", ""), lambda digits: _let(error(body, digits), lambda e: told(digits, e))))
+
+
+def validated_request(text: Column, max_digits: int = 100_000) -> Column:
+    """STRUCT<ok, error, value> of a number in a request: all white space is left out, then digits only, bounded length."""
+
+    def told(digits: Column) -> Column:
+        error = F.when(digits.isNull(), "null").when(F.length(digits) == 0, "empty").when(F.length(digits) > max_digits, "too_long").when(~digits.rlike(r"\A[0-9]+\z"), "invalid_char")
+        return _let(error, lambda e: F.struct(e.isNull().alias("ok"), e.alias("error"), F.when(e.isNull(), digits).alias("value")))
+
+    return _let(F.regexp_replace(text, f"[{SPACES}]+", ""), told)
+
+
+def parsed_long(text: Column) -> Column:
+    """STRUCT<ok, error, value> of a number >= 0 that fits a long: trimmed, one leading + allowed."""
+
+    def told(body: Column, value: Column) -> Column:
+        error = F.when(body.isNull(), "null").when(F.length(body) == 0, "empty").when(~body.rlike(r"\A\+?[0-9]+\z"), "invalid").when(value.isNull(), "out_of_range")
+        return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), value).alias("value"))
+
+    return _let(F.btrim(text, F.lit(SPACES)), lambda body: _let(F.regexp_replace(body, r"\A\+?0*(?=[0-9])", "").try_cast("long"), lambda value: told(body, value)))
 
 
 def preview(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from numera.functions import integers, masks
-from numera.operators import archive, bignum, groups, maintenance, primality, proofs, selectors, sieve, stored, successor
+from numera.operators import archive, bignum, groups, maintenance, primality, proofs, requests, selectors, sieve, stored, successor
 from numera.plans.segments import ranked
 from numera.sources import store
 from numera.streaming import incremental
@@ -161,12 +161,13 @@ def archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.index(_chunks(spark, sf_dir))
 
 
-_IS_PRIME = f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
+_IS_PRIME_ROWS = f"""WITH {_CHUNKS}, idx AS ({_INDEX.format(chunks='gapped')}),
 k AS (SELECT DISTINCT o_orderkey AS n FROM orders),
 j AS (SELECT n, n IN (SELECT p FROM gapped) AS hit, EXISTS (SELECT 1 FROM idx WHERE n BETWEEN first_prime AND last_prime) AS covered,
-             CASE WHEN n < 2 THEN FALSE WHEN n IN (2, 3, 5, 7) THEN TRUE WHEN n % 2 = 0 OR n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0 THEN FALSE END AS rule FROM k)
-SELECT n, coalesce(rule, CASE WHEN covered THEN hit END) AS is_prime, CASE WHEN rule IS NULL THEN 'archive' ELSE 'rule' END AS source,
-       CASE WHEN rule IS NULL AND NOT covered THEN 'uncovered' ELSE 'ok' END AS status FROM j"""
+             CASE WHEN n < 2 THEN FALSE WHEN n IN (2, 3, 5, 7) THEN TRUE WHEN n % 2 = 0 OR n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0 THEN FALSE END AS rule FROM k),
+told AS (SELECT n, coalesce(rule, CASE WHEN covered THEN hit END) AS is_prime, CASE WHEN rule IS NULL THEN 'archive' ELSE 'rule' END AS source,
+       CASE WHEN rule IS NULL AND NOT covered THEN 'uncovered' ELSE 'ok' END AS status FROM j)"""
+_IS_PRIME = f"{_IS_PRIME_ROWS} SELECT * FROM told"
 
 
 @_query(_IS_PRIME)
@@ -467,18 +468,19 @@ def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALIDATE = r"""
-v AS (SELECT *, trim(text, E' \t\n\x0B\x0C\r') AS body FROM src),
+v AS (SELECT *, trim(text, '{spaces}') AS body FROM src),
 w AS (SELECT *, regexp_replace(body, '^\+', '') AS digits FROM v),
-e AS (SELECT *, CASE WHEN text IS NULL THEN 'null' WHEN starts_with(body, '-') THEN 'negative' WHEN length(digits) = 0 THEN 'empty' WHEN length(digits) > 1024 THEN 'too_long' WHEN NOT regexp_full_match(digits, '[0-9]+') THEN 'invalid_char' END AS error FROM w)
-SELECT id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN digits END AS value FROM e"""
+e AS (SELECT *, CASE WHEN text IS NULL THEN 'null' WHEN starts_with(body, '-') THEN 'negative' WHEN length(digits) = 0 THEN 'empty' WHEN NOT regexp_full_match(digits, '[0-9]+') THEN 'invalid_char' WHEN length(digits) > 1024 THEN 'too_long' END AS error FROM w),
+f AS (SELECT *, CASE WHEN error = 'invalid_char' THEN length(regexp_extract(digits, '^[0-9]*'))::INT END AS position FROM e)
+SELECT id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN digits END AS value, position, CASE WHEN position IS NOT NULL THEN substr(digits, position + 1, 1) END AS character FROM f"""
 
 
-@_query("WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT o_orderkey AS id, ' +' || o_orderkey || ' ' AS text FROM orders), " + _VALIDATE)
+@_query("WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT o_orderkey AS id, ' +' || o_orderkey || ' ' AS text FROM orders), " + _VALIDATE.replace("{spaces}", primality.SPACES))
 def validate_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts and order keys as decimal input."""
     texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     keys = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.format_string(" +%d ", "o_orderkey").alias("text"))
-    return texts.unionByName(keys).select("id", primality.validated(F.col("text")).alias("v")).select("id", "v.ok", "v.error", "v.value")
+    return texts.unionByName(keys).select("id", primality.validated(F.col("text")).alias("v")).select("id", "v.ok", "v.error", "v.value", "v.position", "v.character")
 
 
 @_query("SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE left(text, 20) || '...' || right(text, 10) || ' (' || length(text) || ' digits)' END AS preview FROM documents")
@@ -724,3 +726,42 @@ def mr_thirteen_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = odd.where(F.col("n") <= max(primality.LONG_BASES)).select("n", F.col("n").isin(*primality.LONG_BASES).alias("is_prime"))
     tested = primality.strong_tests(odd.where(F.col("n") > max(primality.LONG_BASES)), primality.LONG_BASES).select("n", (~F.col("composite")).alias("is_prime"))
     return small.unionByName(tested).select("n", "is_prime", F.when(F.col("is_prime"), len(primality.LONG_BASES)).alias("bases"))
+
+
+# Requests from order keys: the kind, the spelling of the number and what is wrong with it go by the key.
+_BODY = """CASE o_orderkey % 13 WHEN 0 THEN '{"n": ' || o_orderkey || '}' WHEN 1 THEN 'no json' WHEN 2 THEN '{"n": "x"}' WHEN 3 THEN '{"n": " "}'
+    WHEN 4 THEN '{"n": " +' || o_orderkey || ' "}' WHEN 5 THEN '{"m": 1}' ELSE '{"n": "' || o_orderkey || '", "more": 1}' END"""
+
+
+@_query(
+    f"""{_IS_PRIME_ROWS},
+r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'is-prime' ELSE 'is-prime-big' END AS kind, o_orderkey % 13 AS way, CASE WHEN o_orderkey % 13 = 4 THEN ' +' || o_orderkey || ' ' ELSE o_orderkey::VARCHAR END AS n FROM orders),
+e AS (SELECT r.*, t.is_prime, t.source, CASE WHEN way IN (0, 1, 5) THEN 'invalid JSON request' WHEN way = 2 AND kind = 'is-prime' THEN 'invalid' WHEN way = 2 THEN 'invalid_char' WHEN way = 3 THEN 'empty'
+             WHEN way = 4 AND kind = 'is-prime-big' THEN 'invalid_char' WHEN kind = 'is-prime' AND t.status <> 'ok' THEN 'uncovered' END AS error
+      FROM r LEFT JOIN told t ON t.n = r.id),
+d AS (SELECT e.*, id IN (SELECT p FROM primes) AS prime FROM e)
+SELECT id, kind, CASE WHEN error IS NULL THEN 200 ELSE 400 END::INT AS status,
+       CASE WHEN error IS NOT NULL THEN '{{"error":"' || error || '"}}'
+            WHEN kind = 'is-prime' THEN '{{"n":"' || n || '","is_prime":' || is_prime || ',"source":"' || source || '"}}'
+            ELSE '{{"n_preview":"' || n || '","n_digits":' || length(n) || ',"is_prime":' || prime || ',"status":"' || CASE WHEN prime THEN 'probable_prime' ELSE 'composite' END || '"}}' END AS response
+FROM d"""
+)
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON requests made of order keys, some of them faulty, answered from an archive that lacks a chunk and by the big pipeline."""
+    path = _folder(spark)
+    store.write_archive(_gapped(spark, sf_dir), path)
+    asked = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "is-prime").otherwise("is-prime-big").alias("kind"), F.expr(_BODY).alias("body"))
+    return requests.answered(asked, path)
+
+
+@_query(
+    "WITH r AS (SELECT o_orderkey AS found, 60000 AS target, o_orderkey * 12 AS last_prime, (o_custkey % 3)::DOUBLE AS primes_per_second, (o_custkey % 7 * 1000)::DOUBLE AS positions_per_second FROM orders)"
+    " SELECT *, CASE WHEN found >= 60000 THEN 0.0 WHEN primes_per_second > 0 THEN (60000 - found) / primes_per_second WHEN positions_per_second > 0 AND last_prime > 0 AND found > 4 THEN (60000 - found) / (found / last_prime::DOUBLE / 0.4) / positions_per_second END AS eta,"
+    " CASE WHEN found >= 60000 THEN 100.0 ELSE found * 100.0::DOUBLE / 60000 END AS percent FROM r"
+)
+def eta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as progress reports whose seconds to go follow each of the rules."""
+    n = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(n.alias("found"), F.lit(60000).alias("target"), (n * 12).alias("last_prime"), (F.col("o_custkey") % 3).cast("double").alias("primes_per_second"), (F.col("o_custkey") % 7 * 1000).cast("double").alias("positions_per_second"))
+    own = [F.col(c) for c in rows.columns]
+    return rows.select("*", incremental.seconds_to_go(*own).alias("eta"), incremental.percent(own[0], own[1]).alias("percent"))

@@ -345,7 +345,7 @@ def decode_wheel(blob: bytes) -> dict:
     return head | {"payload": payload}
 
 
-def wheel_values(blob: bytes) -> np.ndarray:
+def wheel_values(blob: bytes) -> list[int]:
     """The primes of an older wheel file, in order."""
     import zstandard
 
@@ -354,7 +354,7 @@ def wheel_values(blob: bytes) -> np.ndarray:
     if len(raw) != head["raw_bytes"] or len(raw) != head["cycles"] * (len(WHEEL_UNITS) // 8):
         raise ValueError("wheel-210 chunk is cut short")
     cycle, bit = np.divmod(np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")), len(WHEEL_UNITS))
-    return (head["cycle_start"] + cycle) * WHEEL + np.array(WHEEL_UNITS)[bit]
+    return ((head["cycle_start"] + cycle) * WHEEL + np.array(WHEEL_UNITS)[bit]).tolist()
 
 
 def exact_values(blob: bytes) -> list[int]:

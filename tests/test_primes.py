@@ -279,3 +279,56 @@ def test_next_primes_of_far_keys_sieve_nothing_between(spark):
     from numera.operators.primality import next_prime_int
 
     assert got == {k: next_prime_int(k) for k in keys}
+
+
+def test_progress_and_batches_by_time(spark, tmp_path):
+    path, seen = f"{tmp_path}/run", []
+    assert incremental.progress(spark, path).count() == 0
+    first = incremental.first_n(spark, 3000, path, width=1000, batch_segments=2, stop=lambda: len(seen) >= 2, report=seen.append, every=1e6).first()
+    assert not first.complete and first.batches == 2
+    rows = incremental.progress(spark, path).orderBy("version").collect()
+    assert [r.asDict() for r in rows] == seen
+    assert [(r.found, r.segments, r.batch_found) for r in rows] == [(303, 2, 303), (1229, 8, 926)]
+    assert rows[1].percent == 100 * 1229 / 3000 and rows[1].eta == (3000 - 1229) / rows[1].per_second and rows[1].per_second == 926 / rows[1].batch_seconds
+    done = incremental.first_n(spark, 3000, path, width=1000, batch_segments=50).first()
+    assert done.complete and done.last_prime == 27449
+    last = incremental.progress(spark, path).orderBy(F.desc("version")).first()
+    assert (last.percent, last.eta) == (100.0, 0.0)
+    assert incremental._next_size(8, 2.0, None) == 8 and incremental._next_size(8, 2.0, 1.0) == 4 and incremental._next_size(8, 100.0, 1.0) == 2 and incremental._next_size(8, 0.0, 1.0) == 32 and incremental._next_size(1, 50.0, 1.0) == 1
+
+
+def test_a_signal_stops_after_the_batch(spark, tmp_path):
+    import os
+    import signal
+
+    with incremental.stop_on_signals(signal.SIGUSR1) as stop:
+        done = incremental.first_n(spark, 5000, f"{tmp_path}/run", width=1000, batch_segments=5, stop=stop, report=lambda row: os.kill(os.getpid(), signal.SIGUSR1)).first()
+    assert (done.complete, done.batches, done.found) == (False, 1, 669)
+    assert incremental.first_n(spark, 5000, f"{tmp_path}/run", width=1000).first().last_prime == 48611
+
+
+def test_fewer_primes_than_an_archive_seeded(spark, tmp_path):
+    store.write_archive(archive.chunked(spark, 2000, 50), f"{tmp_path}/a")
+    run = f"{tmp_path}/run"
+    assert incremental.first_n(spark, 400, run, width=1000, archive=f"{tmp_path}/a").first().last_prime == 2741
+    few = incremental.first_n(spark, 100, run, width=1000).first()
+    assert (few.complete, few.found, few.last_prime) == (True, 100, 541)
+
+
+def test_states_that_cannot_be_resumed(spark, tmp_path):
+    run = f"{tmp_path}/run"
+    incremental.first_n(spark, 100, run, width=1000)
+    state = spark.read.parquet(f"{run}/state")
+    for column, value, told in (("format", 2, "another format"), ("found", -1, "contradicts"), ("last_prime", None, "contradicts")):
+        state.withColumn("version", F.lit(9).cast("long")).withColumn(column, F.lit(value).cast("long")).write.mode("overwrite").parquet(f"{tmp_path}/bad/state")
+        with pytest.raises(incremental.ResumeError, match=told):
+            incremental.first_n(spark, 200, f"{tmp_path}/bad", width=1000)
+    # rows of the first format had no column for it
+    state.drop("format").write.parquet(f"{tmp_path}/old/state")
+    assert incremental.load_state(spark, f"{tmp_path}/old")["found"] >= 100
+
+
+def test_seconds_to_go(spark):
+    rows = spark.createDataFrame([(10, 10, 29, 0.0, 0.0), (5, 10, 11, 2.5, 0.0), (8, 16, 20, 0.0, 4.0), (4, 16, 7, 0.0, 4.0), (8, 16, 20, 0.0, 0.0)], "found long, target long, last long, primes double, positions double")
+    got = rows.select(incremental.seconds_to_go(*(F.col(c) for c in rows.columns)).alias("eta"), incremental.percent(F.col("found"), F.col("target")).alias("percent"), incremental.gib(F.lit(3 << 29)).alias("gib")).collect()
+    assert [r.eta for r in got] == [0.0, 2.0, 2.0, None, None] and [r.percent for r in got] == [100.0, 50.0, 50.0, 25.0, 50.0] and got[0].gib == 1.5
