@@ -1,4 +1,4 @@
-"""numera: prime-number analytics and text-corpus operators on Spark DataFrames."""
+"""numera: operators on integers, bits and texts as Spark DataFrames."""
 
 import sys
 

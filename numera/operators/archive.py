@@ -1,4 +1,4 @@
-"""Stored primes in chunks of equal counts, their index, and questions that know what is covered."""
+"""Chunks of equal counts, their index and codings, and questions that know what is covered."""
 
 from __future__ import annotations
 

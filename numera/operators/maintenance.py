@@ -1,4 +1,4 @@
-"""Archive upkeep: missing chunks, islands, repair, committed counts, status."""
+"""Upkeep of chunks: missing ones, islands, repair, committed counts, status."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from numera.operators.archive import index
-from numera.operators.sieve import base_primes, window_primes
-from numera.plans.segments import SEGMENT, base_limit, ranked
+from numera.operators.sieve import shared_base, window_primes
+from numera.plans.segments import SEGMENT, ranked
 
 
 def missing(expected: DataFrame, present: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -82,9 +82,10 @@ def rebuild(ranges: DataFrame, width: int = SEGMENT) -> DataFrame:
     highest bound reaches the driver.
     """
     highest = ranges.agg(F.max("last_prime")).first()[0]
-    base = base_primes(base_limit((highest or 0) + 1))
+    shared = shared_base(ranges.sparkSession, (highest or 0) + 1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = shared.value
         for frame in frames:
             for chunk, lo, hi in frame.itertuples(index=False):
                 found = window_primes(int(lo), int(hi), base)

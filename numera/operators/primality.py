@@ -22,6 +22,7 @@ from numera.operators.sieve import base_primes, window_primes
 LONG_BASES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41)
 #: The bases of the configurable test: the first 65 primes. More rounds than that are not made.
 MOST_ROUNDS = 65
+ROUNDS = 32
 TRIAL_LIMIT = 1_000_000
 MAX_DIGITS = 1024
 LONGS = 2**63
@@ -151,7 +152,7 @@ def strong_rounds(n: int, rounds: int) -> FastResult:
     return FastResult("probable_prime", rounds=len(bases))
 
 
-def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT) -> FastResult:
+def is_prime_fast(n: int, rounds: int = ROUNDS, limit: int = TRIAL_LIMIT) -> FastResult:
     """Wheel, division by small primes, then strong tests to the first bases.
 
     status is composite, with the smallest divisor found or the first base that
@@ -165,7 +166,7 @@ def is_prime_fast(n: int, rounds: int = 32, limit: int = TRIAL_LIMIT) -> FastRes
     return FastResult("composite", divisor=divisor) if divisor and divisor != n else strong_rounds(n, rounds)
 
 
-def are_prime_fast(values: list[int], rounds: int = 32, limit: int = TRIAL_LIMIT) -> list[FastResult]:
+def are_prime_fast(values: list[int], rounds: int = ROUNDS, limit: int = TRIAL_LIMIT) -> list[FastResult]:
     """``is_prime_fast`` of many numbers: longs are divided side by side, larger ones by product trees."""
     longs = [k for k, n in enumerate(values) if n < LONGS]
     n = np.array([values[k] for k in longs], np.int64)
@@ -188,7 +189,7 @@ class NextPrime:
     rounds: int
 
 
-def next_prime_fast(n: int, rounds: int = 32, limit: int = SIEVE_LIMIT) -> NextPrime:
+def next_prime_fast(n: int, rounds: int = ROUNDS, limit: int = SIEVE_LIMIT) -> NextPrime:
     """The smallest (probable) prime above n >= 0: a sieved window behind n, strong tests of what it leaves.
 
     ``checked`` counts the candidates that were tested, ``rounds`` the tests of
@@ -234,18 +235,24 @@ def whole(text: str) -> int:
     return int(text)
 
 
-@F.pandas_udf(_FAST)
-def _fast_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for series in values:
-        got = are_prime_fast([whole(v) for v in series])
-        yield pd.DataFrame({"status": [g.status for g in got], "divisor": [None if g.divisor is None else str(g.divisor) for g in got], "witness": pd.array([g.witness for g in got], "Int64"), "rounds": pd.array([g.rounds for g in got], "Int32")})
+def _fast(value: str, rounds: int) -> Column:
+    @F.pandas_udf(_FAST)
+    def told(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in values:
+            got = are_prime_fast([whole(v) for v in series], rounds)
+            yield pd.DataFrame({"status": [g.status for g in got], "divisor": [None if g.divisor is None else str(g.divisor) for g in got], "witness": pd.array([g.witness for g in got], "Int64"), "rounds": pd.array([g.rounds for g in got], "Int32")})
 
+    return told(value)
 
-@F.pandas_udf(_NEXT)
-def _next_udf(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for series in values:
-        got = [next_prime_fast(whole(v)) for v in series]
-        yield pd.DataFrame([(str(g.p), str(g.offset), g.checked, g.rounds) for g in got], columns=["p", "offset", "checked", "rounds"])
+
+def _next(value: str, rounds: int) -> Column:
+    @F.pandas_udf(_NEXT)
+    def told(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in values:
+            got = [next_prime_fast(whole(v), rounds) for v in series]
+            yield pd.DataFrame([(str(g.p), str(g.offset), g.checked, g.rounds) for g in got], columns=["p", "offset", "checked", "rounds"])
+
+    return told(value)
 
 
 #: White space around a number, by code point.
@@ -304,7 +311,7 @@ def preview(text: Column) -> Column:
     return F.when(F.length(text) <= 40, text).otherwise(F.concat(F.left(text, F.lit(20)), F.lit("..."), F.right(text, F.lit(10)), F.lit(" ("), F.length(text).cast("string"), F.lit(" digits)")))
 
 
-def is_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX_DIGITS) -> DataFrame:
+def is_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX_DIGITS, rounds: int = ROUNDS) -> DataFrame:
     """(text, ok, error, status, divisor, witness, rounds) for decimal strings of any size.
 
     Invalid input and numbers that 2, 3 or 5 divides by their digits never
@@ -320,16 +327,16 @@ def is_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX
     none = F.lit(None)
     invalid = rows.where(~F.col("ok")).select("text", "ok", "error", none.cast("string").alias("status"), none.cast("string").alias("divisor"), none.cast("long").alias("witness"), none.cast("int").alias("rounds"))
     settled = rows.where(F.col("ok") & F.col("divisor").isNotNull()).select("text", "ok", "error", F.lit("composite").alias("status"), "divisor", none.cast("long").alias("witness"), none.cast("int").alias("rounds"))
-    tested = rows.where(F.col("ok") & F.col("divisor").isNull()).select("text", "ok", "error", _fast_udf("value").alias("r")).select("text", "ok", "error", "r.status", "r.divisor", "r.witness", "r.rounds")
+    tested = rows.where(F.col("ok") & F.col("divisor").isNull()).select("text", "ok", "error", _fast("value", rounds).alias("r")).select("text", "ok", "error", "r.status", "r.divisor", "r.witness", "r.rounds")
     return invalid.unionByName(settled).unionByName(tested)
 
 
-def next_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX_DIGITS) -> DataFrame:
+def next_prime_big(numbers: DataFrame, column: str = "text", max_digits: int = MAX_DIGITS, rounds: int = ROUNDS) -> DataFrame:
     """(text, ok, error, p, offset, checked, rounds): smallest prime above a decimal string, see ``next_prime_fast``."""
     rows = numbers.select(F.col(column).alias("text"), validated(F.col(column), max_digits).alias("v")).select("text", "v.ok", "v.error", "v.value")
     none = F.lit(None)
     invalid = rows.where(~F.col("ok")).select("text", "ok", "error", none.cast("string").alias("p"), none.cast("string").alias("offset"), none.cast("long").alias("checked"), none.cast("int").alias("rounds"))
-    answered = rows.where("ok").select("text", "ok", "error", _next_udf("value").alias("r")).select("text", "ok", "error", "r.p", "r.offset", "r.checked", "r.rounds")
+    answered = rows.where("ok").select("text", "ok", "error", _next("value", rounds).alias("r")).select("text", "ok", "error", "r.p", "r.offset", "r.checked", "r.rounds")
     return invalid.unionByName(answered)
 
 

@@ -1,4 +1,4 @@
-"""Next primes of the numbers in a column."""
+"""Successors of the numbers in a column."""
 
 from __future__ import annotations
 

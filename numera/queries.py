@@ -1,4 +1,4 @@
-"""The prime queries over the driver's tables, each with its SQL where SQL can express it."""
+"""Queries over the given tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 

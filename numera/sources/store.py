@@ -1,4 +1,4 @@
-"""The archive on disk: Parquet chunks, an index and a commit row; and readers for older files."""
+"""Chunks as Parquet in committed versions, exact chunks, and readers for older files."""
 
 from __future__ import annotations
 
@@ -211,6 +211,12 @@ def repair(spark: SparkSession, path: str, expected: DataFrame | None = None, fi
     return ids
 
 
+def present_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of the index's chunks whose bitmap is there, readable and of the index's count."""
+    there = _index(_bitmap(spark, path, True)).select("chunk_id", F.col("prime_count").alias("there"))
+    return read_index(spark, path).join(there, "chunk_id").where(F.col("there") == F.col("prime_count")).select("chunk_id")
+
+
 def write_exact(chunks: DataFrame, path: str, width: int = EXACT_WIDTH) -> None:
     """Exact chunks: a row (chunk_id, part, prime_count, first_prime, last_prime, payload) for each chunk and ``width`` numbers.
 

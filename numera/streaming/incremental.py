@@ -1,4 +1,4 @@
-"""Counting the first N primes in batches of segments, with durable state, progress and resumption.
+"""Counting up to a rank in batches of segments, with durable state, progress and resumption.
 
 A batch writes its primes to a folder of its own and is committed by the state
 row that follows; readers look at committed batches only. A batch that fails is
