@@ -156,6 +156,13 @@ def memory_partition(total: int, device: int, staging: int) -> dict[str, int]:
     return parts | {"total": sum(parts.values())}
 
 
+def memory_columns(total: Column, device: Column, staging: Column) -> list[Column]:
+    """``memory_partition`` as columns."""
+    unit, own = BYTES_PER_BLOCK["bitmap"], F.least(device, total)
+    parts = {"host": (total - own) * unit, "device": own * unit, "staging": staging * (2 * unit)}
+    return [c.alias(name) for name, c in (parts | {"total": parts["host"] + parts["device"] + parts["staging"]}).items()]
+
+
 #: Shifts and factor of the generator, and the seed of the published scan figures.
 SHIFTS, FACTOR = (12, 25, 27), 0x2545F4914F6CDD1D
 SEED = 0x9E3779B97F4A7C15

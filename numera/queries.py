@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from numera.functions import integers, masks
 from numera.operators import archive, bignum, groups, maintenance, primality, proofs, requests, selectors, sieve, stored, successor
 from numera.plans.segments import ranked
-from numera.sources import store
+from numera.sources import chunk_files, store
 from numera.streaming import incremental
 
 #: Primes in a chunk of the archive that the queries build from the order keys.
@@ -765,3 +765,123 @@ def eta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select(n.alias("found"), F.lit(60000).alias("target"), (n * 12).alias("last_prime"), (F.col("o_custkey") % 3).cast("double").alias("primes_per_second"), (F.col("o_custkey") % 7 * 1000).cast("double").alias("positions_per_second"))
     own = [F.col(c) for c in rows.columns]
     return rows.select("*", incremental.seconds_to_go(*own).alias("eta"), incremental.percent(own[0], own[1]).alias("percent"))
+
+
+_COVERED = "SELECT chunk_id, min(p) AS first_prime, max(p) AS last_prime, min(p) // 210 AS cycle_start, max(p) // 210 - min(p) // 210 + 1 AS cycles, 6 * (max(p) // 210 - min(p) // 210 + 1) AS raw_bytes FROM chunks WHERE p >= 11 GROUP BY 1"
+
+
+@_query(f"WITH {_CHUNKS} {_COVERED}")
+def chunk_file_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heads of written chunk files; payloads are not opened."""
+    path = _folder(spark)
+    chunk_files.write_chunks(_chunks(spark, sf_dir), path)
+    return chunk_files.read_heads(spark, path).drop("packed_bytes", "file_bytes")
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p FROM chunks WHERE p >= 11 AND chunk_id IN (SELECT chunk_id FROM chunks GROUP BY 1 HAVING max(p) >= 1000)")
+def chunk_file_primes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primes of written chunk files that reach to 1000 or beyond; the payloads of the others are not opened."""
+    path = _folder(spark)
+    chunk_files.write_chunks(_chunks(spark, sf_dir), path)
+    return chunk_files.read_primes(spark, path, lower=1000)
+
+
+@_query(f"WITH {_CHUNKS}, d AS (SELECT chunk_id, p // 4096 AS part, p, p - lag(p) OVER (PARTITION BY chunk_id, p // 4096 ORDER BY p) AS d FROM chunks) SELECT chunk_id, part, coalesce(string_agg(CASE WHEN d < 128 THEN printf('%02X', d) ELSE printf('%02X%02X', d % 128 + 128, d // 128) END, '' ORDER BY p) FILTER (d IS NOT NULL), '') AS payload FROM d GROUP BY 1, 2")
+def exact_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the differences of exact chunks, in hexadecimal."""
+    path = _folder(spark)
+    store.write_exact(_chunks(spark, sf_dir), path, 4096)
+    return spark.read.parquet(path).select("chunk_id", "part", F.hex("payload").alias("payload"))
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, p FROM chunks WHERE chunk_id <> {LOST_CHUNK} UNION ALL SELECT chunk_id, p FROM chunks WHERE chunk_id = {LOST_CHUNK} AND p >= 11")
+def exact_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact chunks, and beside them the one that an archive lacked, encoded from its exact chunk."""
+    exact, path, whole = _folder(spark), _folder(spark), _chunks(spark, sf_dir)
+    store.write_exact(whole, exact)
+    store.write_archive(_gapped(spark, sf_dir), path)
+    found = store.backfill_archive(spark, exact, path)
+    return store.read_exact(spark, exact).where(F.col("chunk_id") != LOST_CHUNK).unionByName(store.read_archive(spark, path).where(F.col("chunk_id").isin(found)))
+
+
+@_query(f"WITH {_CHUNKS}, i AS ({_INDEX.format(chunks='chunks')}) SELECT chunk_id, first_prime, last_prime, cycle_start, cycles, raw_bytes, 2 * raw_bytes AS compressed_bytes FROM i WHERE chunk_id >= 1")
+def tsv_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written as tab-separated text in two parts, and read from chunk 1 on."""
+    path, spans = _folder(spark), archive.index(_chunks(spark, sf_dir))
+    rows = spans.select("chunk_id", "first_prime", "last_prime", "cycle_start", "cycles", "raw_bytes", (2 * F.col("raw_bytes")).alias("compressed_bytes"))
+    store.write_tsv_index(rows.where("chunk_id < 2"), path)
+    store.write_tsv_index(rows.where("chunk_id >= 2"), path, append=True)
+    return store.read_tsv_index(spark, path, first=1)
+
+
+@_query("SELECT 'c' || c_custkey AS key, c_nationkey || '=' || c_custkey % 7 AS value FROM customer WHERE c_custkey % 3 <> 0")
+def key_value_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as key=value lines among lines that are none."""
+    path, n = _folder(spark), F.col("c_custkey")
+    line = F.when(n % 3 != 0, F.concat(F.lit(" c"), n, F.lit(" = "), F.col("c_nationkey"), F.lit("="), n % 7)).otherwise("no pair")
+    _table(spark, sf_dir, "customer").select(line.alias("value")).write.text(path)
+    return store.read_key_values(spark, path).select("key", "value")
+
+
+@_query("SELECT repeat(n_nationkey::VARCHAR || '7', 3 + n_nationkey::INT) AS text FROM nation")
+def big_integer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, its number spread over lines."""
+    path, n = _folder(spark), F.col("n_nationkey")
+    lines = F.explode(F.array_repeat(F.concat(F.lit(" "), n, F.lit(" 7")), (3 + n).cast("int"))).alias("value")
+    _table(spark, sf_dir, "nation").select("n_nationkey", lines).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return store.read_big_integers(spark, f"{path}/*/*.txt").select("text")
+
+
+@_query(f"WITH {_EVENTS} SELECT p, multiplier, position + 3 * multiplier AS later, (10 * (position + 3 * multiplier) + channel) % 10 AS channel FROM ev")
+def affine_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the events of the mask primes are three masks later."""
+    events = masks.mask_events(_mask_primes(spark, sf_dir))
+    later = masks.advance(F.col("position"), F.col("multiplier"), F.lit(3))
+    return events.select("p", "multiplier", later.alias("later"), F.pmod(later * 10 + F.col("channel"), F.lit(10)).alias("channel"))
+
+
+@_query(
+    f"""WITH {_COORDINATES} SELECT residue, '{{"residue":' || residue || ',"layer":' || layer || ',"external_bits":"' || external_bit_1 || external_bit_2 || '","tesseract_index":' || tesseract_index || ',"channel_phase":' || channel_phase
+    || ',"internal_bits":"' || internal_bit_1 || internal_bit_2 || '","vertex":' || vertex || ',"vertex_bits":"' || lpad(bin(vertex), 4, '0') || '","address":' || address || ',"word":' || word || ',"bit":' || bit || '}}' AS document FROM wheel"""
+)
+def serialised_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.serialised_coordinates(_wheel_840(spark, sf_dir))
+
+
+@_query("SELECT o_orderkey AS n, 32 * (o_orderkey - least(o_custkey, o_orderkey)) AS host, 32 * least(o_custkey, o_orderkey) AS device, 64 * (o_orderkey % 100) AS staging, 32 * o_orderkey + 64 * (o_orderkey % 100) AS total FROM orders")
+def memory_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of as many blocks as an order's key on host and device."""
+    n = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(n.alias("n"), *selectors.memory_columns(n, F.col("o_custkey"), n % 100))
+
+
+@_query(
+    f"""WITH {_CHUNKS}, i AS ({_INDEX.format(chunks='chunks')}), lost AS (SELECT coalesce(sum(prime_count), 0)::BIGINT AS n, count(*) AS chunks FROM i WHERE chunk_id = {LOST_CHUNK})
+SELECT count(*) + 17 AS claimed, count(*) + 100 AS target, max(p) AS last_prime, count(*)::BIGINT AS durable, 0::BIGINT AS buffered, count(*)::BIGINT - any_value(lost.n) AS queryable, any_value(lost.chunks) AS missing_chunks, any_value(lost.chunks) = 0 AS healthy, 'stale' AS run_state FROM chunks, lost"""
+)
+def archive_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a broken-off run claims, what its manifest has made durable, and what an archive without a chunk can answer."""
+    whole = _chunks(spark, sf_dir)
+    spans = archive.index(whole)
+    manifest = spans.agg(F.sum("prime_count").alias("committed_primes"), F.count("*").alias("committed_chunks"))
+    progress = whole.agg((F.count("*") + 17).alias("found_count"), (F.count("*") + 100).alias("target_count"), F.lit(None).cast("long").alias("archive_buffered_primes"), F.max("p").alias("last_prime"))
+    checkpoint = manifest.select(F.col("committed_primes").alias("archive_committed_primes"))
+    return maintenance.status(progress, checkpoint, manifest, _gapped(spark, sf_dir), spans, alive=False)
+
+
+@_query(f"WITH {_CHUNKS}, i AS ({_INDEX.format(chunks='chunks')}) SELECT chunk_id, prime_count FROM i WHERE (chunk_id + 1) * {CHUNK} <= (SELECT count(*) FROM chunks) - 1")
+def archive_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of an archive after chunks beyond the committed count, all primes but one, were left out and old versions pruned."""
+    path, chunks = _folder(spark), _chunks(spark, sf_dir)
+    store.write_archive(chunks.where("chunk_id < 1"), path)
+    store.write_archive(chunks, path)
+    store.reconcile(spark, path, chunks.count() - 1)
+    store.prune(spark, path)
+    return store.read_index(spark, path).select("chunk_id", "prime_count")
+
+
+@_query("WITH k AS (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderkey > 100), d AS (SELECT n, (SELECT min(d.d) FROM range(2, 1000) d(d) WHERE d.d * d.d <= n AND n % d.d = 0) AS divisor FROM k) SELECT n::VARCHAR AS text, CASE WHEN divisor IS NULL THEN 'probable_prime' ELSE 'composite' END AS status, divisor::VARCHAR AS divisor, CASE WHEN divisor IS NULL THEN 5 END::INT AS rounds FROM d")
+def is_prime_five_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys above 100 by five strong tests at most."""
+    texts = _order_keys(spark, sf_dir).where("n > 100").select(F.col("n").cast("string").alias("text"))
+    return primality.is_prime_big(texts, rounds=5).select("text", "status", "divisor", "rounds")

@@ -1,4 +1,4 @@
-"""Older binary chunk files as a data source: heads by range, payloads only where they are asked for.
+"""Older binary chunk files as a data source and sink: heads by range, payloads only where they are asked for.
 
     spark.dataSource.register(ChunkFiles)
     spark.read.format("chunk_files").option("content", "heads").load(folder)
@@ -7,21 +7,29 @@ A head is 55 bytes, and a scan of heads opens nothing else; a scan of primes rea
 heads first and the payloads only of chunks that reach into the asked bounds. File
 names tell the chunk ids, so that other ids are never opened. Paths are what
 pyarrow's file systems open: local, HDFS, S3, GCS.
+
+The sink writes rows (chunk_id, content), a file each, under a name of the task's own
+first; the driver renames them when all tasks are done.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from numera.sources.store import HEAD_BYTES, decode_head, wheel_values
+from numera.functions.integers import WHEEL, WHEEL_UNITS
+from numera.operators.archive import packed
+from numera.sources.store import HEAD_BYTES, WHEEL_MAGIC, decode_head, wheel_values
 
 #: Heads that a task reads; primes are a chunk a task.
 HEADS_A_TASK = 64
@@ -60,6 +68,9 @@ class ChunkFiles(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return ChunkFilesReader(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return ChunkFilesWriter(self.options["path"], overwrite)
+
 
 class ChunkFilesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
@@ -72,7 +83,7 @@ class ChunkFilesReader(DataSourceReader):
 
         system, folder = _opened(self.path)
         files = []
-        for info in system.get_file_info(FileSelector(folder, recursive=True)):
+        for info in system.get_file_info(FileSelector(folder, recursive=True, allow_not_found=True)):
             found = re.search(r"chunk_(\d+)\.(?:bin\.)?zst$", info.path)
             if info.type == FileType.File and found:
                 number = int(found[1])
@@ -103,6 +114,83 @@ class ChunkFilesReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in HEADS.split(", ")])
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What a task wrote: (name of its own, final name)."""
+
+    files: tuple[tuple[str, str], ...]
+
+
+class ChunkFilesWriter(DataSourceWriter):
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, iterator: Iterator) -> Written:
+        system, folder = _opened(self.path)
+        system.create_dir(folder, recursive=True)
+        files = []
+        for row in iterator:
+            final = f"{folder}/chunk_{row['chunk_id']:020d}.zst"
+            own = f"{folder}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(own) as file:
+                file.write(bytes(row["content"]))
+            files.append((own, final))
+        return Written(tuple(files))
+
+    def commit(self, messages: list[Written | None]) -> None:
+        from pyarrow.fs import FileSelector
+
+        system, folder = _opened(self.path)
+        system.create_dir(folder, recursive=True)
+        files = [f for m in messages if m for f in m.files]
+        if self.overwrite:
+            kept = {own for own, _ in files}
+            for info in system.get_file_info(FileSelector(folder)):
+                if re.search(r"/chunk_\d+\.zst$", info.path) and info.path not in kept:
+                    system.delete_file(info.path)
+        for own, final in files:
+            system.move(own, final)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _ = _opened(self.path)
+        for own in (own for m in messages if m for own, _ in m.files):
+            system.delete_file(own)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (chunk_id, cycle, bits) to a row (chunk_id, content) for each chunk; of one that goes on only its bytes are carried."""
+    import zstandard
+
+    chunk, start, raw = None, 0, bytearray()
+
+    def content() -> pa.RecordBatch:
+        words = np.frombuffer(bytes(raw), np.uint8)
+        set_bits = np.flatnonzero(np.unpackbits(words, bitorder="little"))
+        cycle, bit = np.divmod(set_bits[[0, -1]], len(WHEEL_UNITS))
+        first, last = ((start + cycle) * WHEEL + np.array(WHEEL_UNITS)[bit]).tolist()
+        payload = zstandard.ZstdCompressor(level=9).compress(bytes(raw))
+        head = WHEEL_MAGIC + struct.pack("<6Q", first, last, start, len(raw) // 6, len(raw), len(payload))
+        return pa.RecordBatch.from_pydict({"chunk_id": pa.array([chunk], pa.int64()), "content": pa.array([head + payload], pa.binary())})
+
+    for batch in batches:
+        for number, cycle, bits in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "cycle", "bits"))):
+            if number != chunk:
+                if chunk is not None:
+                    yield content()
+                chunk, start, raw = number, cycle, bytearray()
+            raw.extend(bytes(6 * (cycle - start) - len(raw)))
+            raw.extend(bits.to_bytes(6, "little"))
+    if chunk is not None:
+        yield content()
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """A wheel chunk file for each chunk (chunk_id, p) that has a prime from 11 on; files of the folder that are not among them go."""
+    chunks.sparkSession.dataSource.register(ChunkFiles)
+    rows = packed(chunks).repartition(F.col("chunk_id")).sortWithinPartitions("chunk_id", "cycle").select("chunk_id", "cycle", "bits")
+    rows.mapInArrow(_contents, "chunk_id long, content binary").write.format("chunk_files").mode("overwrite").save(path)
+
+
 def _read(spark: SparkSession, path: str, content: str, **given: int | None) -> DataFrame:
     spark.dataSource.register(ChunkFiles)
     reader = spark.read.format("chunk_files").option("content", content)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from numera.functions.integers import DIRECT_PRIMES, WHEEL, WHEEL_UNITS, div, highest_bit, long_array, lowest_bit, wheel_unit
 from numera.operators import maintenance
 from numera.operators.archive import coded, delta_bytes, delta_values, unpacked, with_cycles
+from numera.plans.segments import with_offsets
 
 # Heads of the older binary files.
 WHEEL_MAGIC = b"W210A1\0"
@@ -148,10 +149,9 @@ def _bitmap(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
             if not damaged or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        if len(blocks) > 1:
-            # chunks that a later version replaced are not among those of their old home, whose other partitions are not read
-            rows = rows.where(_in_ranges("block", ranges)).join(index.where(F.col("home") == home).select("chunk_id"), "chunk_id", "left_semi").select(rows.columns)
-        parts.append(rows)
+        # chunks that a later version replaced or left out are not among those of their home, whose other partitions are not read
+        held_here = index.where(F.col("home") == home).select("chunk_id")
+        parts.append(rows.where(_in_ranges("block", ranges)).join(held_here, "chunk_id", "left_semi").select(rows.columns))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], BITMAP)
 
 
@@ -211,6 +211,35 @@ def repair(spark: SparkSession, path: str, expected: DataFrame | None = None, fi
     return ids
 
 
+def reconcile(spark: SparkSession, path: str, committed: int) -> list[int]:
+    """Leaves out chunks that reach beyond the first ``committed`` primes, as a new version of the index, and returns their ids.
+
+    That is what a run wrote before it broke off without committing it; no bitmap is written.
+    """
+    head, rows = _head(spark, path), read_index(spark, path, True)
+    offsets = with_offsets(rows.select("chunk_id", "prime_count"), "chunk_id", "prime_count")
+    beyond = offsets.where(F.col("offset") + F.col("prime_count") > committed).select("chunk_id")
+    ids = sorted(r[0] for r in beyond.collect())  # one for each chunk too many
+    if ids:
+        _finish(spark, path, head["version"] + 1, rows.where(F.col("chunk_id") < ids[0]), head["block_cycles"])
+    return ids
+
+
+def prune(spark: SparkSession, path: str) -> list[int]:
+    """Deletes the folders of versions that no chunk of the newest index lives in, and returns their numbers.
+
+    Readers that began with an earlier version lose it, so nothing may read the archive meanwhile.
+    """
+    newest = _head(spark, path)["version"]
+    used = {r[0] for r in read_index(spark, path, True).select("home").distinct().collect()} | {newest}
+    jvm, gone = spark.sparkContext._jvm, []
+    for version in range(1, newest):
+        own = jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}" + ("/index" if version in used else ""))
+        if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True) and version not in used:
+            gone.append(version)
+    return gone
+
+
 def present_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The ids of the index's chunks whose bitmap is there, readable and of the index's count."""
     there = _index(_bitmap(spark, path, True)).select("chunk_id", F.col("prime_count").alias("there"))
@@ -290,9 +319,9 @@ def archive_seed(spark: SparkSession, path: str) -> dict | None:
     return {"found": row["found"], "last_prime": row["last_prime"]} if row["last_prime"] and row["n"] == row["last_id"] + 1 else None
 
 
-def write_tsv_index(rows: DataFrame, path: str) -> None:
-    """An index as tab-separated text with a header, in the order of the chunks."""
-    rows.orderBy("chunk_id").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def write_tsv_index(rows: DataFrame, path: str, append: bool = False) -> None:
+    """An index as tab-separated text with a header, in the order of the chunks; ``append`` adds files to those that are there."""
+    rows.orderBy("chunk_id").write.mode("append" if append else "overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def read_tsv_index(spark: SparkSession, path: str, schema: str = WHEEL_INDEX, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -128,3 +128,38 @@ def test_mismatches_both_ways(spark):
     first = masks.first_mismatches(found, 2).collect()
     assert [(r["row_number"], r["kind"], r["total"]) for r in first] == [(13, "differs", 4), (23, "unexpected", 4)]
     assert masks.first_mismatches(found).count() == 4 and masks.first_mismatches(found.where("false")).count() == 0
+
+
+def test_written_chunk_files(spark, tmp_path):
+    """Files of the sink are those of the format, and are read by all readers."""
+    from numera.operators import archive
+
+    path, chunks = f"{tmp_path}/c", archive.chunked(spark, 9000, 77).unionByName(spark.createDataFrame([(500, 2), (600, 1009), (600, 100_003)], "chunk_id long, p long"))
+    chunk_files.write_chunks(chunks.repartition(7), path)
+    want = sorted(tuple(r) for r in chunks.where("p >= 11").collect())
+    assert sorted(tuple(r) for r in chunk_files.read_primes(spark, path).collect()) == want
+    assert sorted(tuple(r) for r in store.read_older_chunks(spark, path).collect()) == want
+    # a chunk of direct primes alone has no file, and none is left over under another name
+    names = sorted(p.name for p in (tmp_path / "c").iterdir())
+    assert names == [f"chunk_{c:020d}.zst" for c in sorted({c for c, _ in want})]
+    for name in names[:2]:
+        blob = (tmp_path / "c" / name).read_bytes()
+        own = [p for c, p in want if c == int(name[6:26])]
+        assert store.wheel_values(blob) == own and store.decode_head(blob)["last_prime"] == own[-1]
+    # written again, chunks that are gone have no file
+    chunk_files.write_chunks(chunks.where("chunk_id < 3"), path)
+    assert len(list((tmp_path / "c").iterdir())) == 3
+
+
+def test_a_failed_write_leaves_the_old_files(spark, tmp_path):
+    from numera.operators import archive
+
+    path = f"{tmp_path}/c"
+    chunk_files.write_chunks(archive.chunked(spark, 500, 20), path)
+    before = {p.name: p.read_bytes() for p in (tmp_path / "c").iterdir()}
+    spark.dataSource.register(chunk_files.ChunkFiles)
+    bad = spark.createDataFrame([(1, b"new"), (2, None)], "chunk_id long, content binary").coalesce(1)
+    with pytest.raises(Exception):
+        bad.write.format("chunk_files").mode("overwrite").save(path)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "c").iterdir() if not p.name.startswith("_")} == before
+    assert chunk_files.read_heads(spark, path).count() == len(before)

@@ -216,3 +216,18 @@ def test_empty_archive(spark, tmp_path):
     assert values(spark, f"{tmp_path}/a") == [] and store.read_index(spark, f"{tmp_path}/a").count() == 0
     assert rows(stored.next_prime(spark.createDataFrame([(5,), (50,)], "n long"), f"{tmp_path}/a")) == [(5, 7, "ok"), (50, None, "uncovered")]
     assert maintenance.missing(archive.index(archive.chunked(spark, 100, 10)), store.read_index(spark, f"{tmp_path}/a")).count() == 3
+
+
+def test_reconcile_and_prune(spark, tmp_path):
+    path, whole = f"{tmp_path}/a", archive.chunked(spark, 3000, 50)
+    store.write_archive(whole.where("chunk_id < 4"), path)
+    store.update_archive(whole.where("chunk_id between 2 and 6"), path)
+    assert store.reconcile(spark, path, 350) == [] and store.prune(spark, path) == []
+    # a run committed 280 primes only
+    assert store.reconcile(spark, path, 280) == [5, 6]
+    assert values(spark, path) == rows(whole.where("p >= 11 and chunk_id < 5")) and store.archive_seed(spark, path) == {"found": 250, "last_prime": 1583}
+    assert store.reconcile(spark, path, 100) == [2, 3, 4]
+    assert store.prune(spark, path) == [2, 3] and not (Path(path) / "version=2").exists() and (Path(path) / "version=1/wheel").exists()
+    assert values(spark, path) == rows(whole.where("p >= 11 and chunk_id < 2"))
+    store.update_archive(whole.where("chunk_id >= 2"), path)
+    assert values(spark, path) == rows(whole.where("p >= 11"))
