@@ -170,7 +170,7 @@ def test_exact_chunks_that_are_not_what_their_heads_say(spark, tmp_path):
 
 def test_next_primes_of_the_bitmap(spark, tmp_path):
     path = f"{tmp_path}/a"
-    for lost in ([], [4], [0, 9, 10], [29]):
+    for lost in ([4, 29], [0, 9, 10]):
         chunks = archive.chunked(spark, 8000, 35).where(~F.col("chunk_id").isin(lost))
         store.write_archive(chunks, path, block_cycles=5)
         keys = spark.range(-3, 8200).selectExpr("id as n").unionByName(spark.createDataFrame([(None,), (2**62,), (7,)], "n long"))
@@ -198,8 +198,11 @@ def test_questions_read_only_what_they_ask(spark, tmp_path, monkeypatch):
     plan = bitmap._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "block" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "PushedFilters: [" in plan and "cycle" in plan.split("PushedFilters: [")[1].split("PartitionFilters")[0]
-    blocks = {Path(f).parent.name for f in bitmap.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
-    assert blocks == {"block=14", "block=15", "block=26", "block=27"}
+    # files of other partitions can't be read, and needn't be
+    for file in Path(path).glob("version=1/wheel/block=*/*.parquet"):
+        if file.parent.name not in ("block=14", "block=15", "block=26", "block=27"):
+            file.write_bytes(b"PAR1 not really")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
     assert {r["n"]: r["next_prime"] for r in stored.next_prime(keys, path).collect()} == {50_000: 50_021, 50_001: 50_021, 90_000: 90_001}
     monkeypatch.setattr(archive, "MOST_RANGES", 1)
     assert archive.asked_ranges(keys) == [(236, 440)]
