@@ -1,9 +1,15 @@
-"""BPE encoding and decoding; long unsplit text by tree concatenation.
+"""BPE encoding and decoding; long text by tree concatenation.
 
 Stretches are what ASCII white space separates. The tokenizer drops white
 space, and neither its normaliser, its added tokens nor its pre-tokens reach
 across, so stretches are encoded on their own, and one that recurs is looked up.
 
+A text above ``LONG`` bytes is halved, at whatever code point that falls on, until
+its pieces are short. The pieces are encoded side by side, and neighbours joined
+from the leaves up: a window around the cut is read anew and grows until it has a
+stretch with the same tokens in common with the left half and one with the right
+half. What lies between these two comes from the window, all else from the halves.
+
 What nothing splits, a pre-token above ``PIECE`` bytes, is halved until its
 pieces are short. All pieces are encoded side by side, and neighbours are
 joined again from the leaves up: a window around the cut is encoded anew and
@@ -34,6 +40,8 @@ from pyspark.sql import types as T
 
 #: Bytes up to which a pre-token is encoded in one go.
 PIECE = 4096
+#: Bytes up to which a text is read in one go.
+LONG = 1 << 15
 #: Bytes of the first window on each side of a join.
 WINDOW = 64
 #: Stretches whose tokens are remembered.
@@ -44,6 +52,7 @@ _MOST_AT_ONCE = 2000
 _RESULTS = 2000
 #: A word of one pre-token, and perhaps a second one of punctuation.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\"-]*)")
+_STRETCH = re.compile(rb"[^\x20\x09-\x0D]+")
 # The steps before the merges for which a plain word's pre-tokens are known.
 _STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -74,7 +83,7 @@ class Encoded:
 class TreeEncoder:
     """Encodes with a tokenizer of the tokenizers library that drops white space, long texts by tree concatenation."""
 
-    def __init__(self, path: str, piece: int = PIECE, window: int = WINDOW, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, piece: int = PIECE, window: int = WINDOW, remembered: int = REMEMBERED, long: int = LONG) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +91,7 @@ class TreeEncoder:
         self.tokenizer.no_padding()
         # the merges alone: what it is given is one pre-token
         self.merges = Tokenizer(self.tokenizer.model)
-        self.piece, self.window, self.remembered = piece, window, remembered
+        self.piece, self.window, self.remembered, self.long = piece, window, remembered, long
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
@@ -98,8 +107,8 @@ class TreeEncoder:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        #: Bytes of windows that were encoded at joins, so far.
-        self.encoded_again = 0
+        #: Bytes of windows that were encoded at joins, so far, and the joins of texts.
+        self.encoded_again = self.joins = 0
 
     def _pre_token(self, word: str) -> bytes:
         """Ids of one pre-token, given in lower case."""
@@ -144,9 +153,45 @@ class TreeEncoder:
             self.known.clear()
         if len(self.words) > self.remembered:
             self.words.clear()
-        split = [t.encode().split() for t in texts]
-        self._learn(s for own in split for s in own)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4") for own in split]
+        whole = [t.encode() for t in texts]
+        # the leaves of all long texts, and all short texts, are encoded side by side
+        leaves = [_leaves(b, self.long) for b in whole]
+        split = [[b[x:y].split() for x, y in zip(own, own[1:])] for b, own in zip(whole, leaves)]
+        for k, (b, own) in enumerate(zip(whole, split)):
+            if len(own) > 1 and any(len(s) > self.piece for part in own for s in part):
+                # what nothing splits is halved by itself
+                leaves[k], split[k] = [0, len(b)], [b.split()]
+        self._learn(s for own in split for part in own for s in part)
+        joined = [own[0] if len(own) == 1 else self._grown(b, at, own) for b, at, own in zip(whole, leaves, split)]
+        self._learn(s for own, parts in zip(joined, split) if len(parts) > 1 for s in own)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<u4") for own in joined]
+
+    def _grown(self, text: bytes, at: list[int], parts: list[list[bytes]]) -> list[bytes]:
+        """The stretches of a text from those of its leaves, neighbours joined level by level."""
+        level = list(zip(at, at[1:], parts))
+        while len(level) > 1:
+            joined = [self._met(text, *level[k], *level[k + 1][1:]) for k in range(0, len(level) - 1, 2)]
+            level = joined + level[len(level) // 2 * 2 :]
+        return level[0][2]
+
+    def _met(self, text: bytes, a: int, cut: int, left: list[bytes], b: int, right: list[bytes]) -> tuple[int, int, list[bytes]]:
+        """Two halves joined at ``cut``: the window grows until each half has a stretch in common with it."""
+        width = self.window
+        self.joins += 1
+        while True:
+            lo, hi = _whole_point(text, max(a, cut - width), -1), _whole_point(text, min(b, cut + width), 1)
+            window = [m.span() for m in _STRETCH.finditer(text, lo, hi)]
+            # what begins where the window does, or ends there, may be cut by it
+            mine = [m.span() for m in _STRETCH.finditer(text, lo, cut) if lo == a or m.start() > lo]
+            theirs = [m.span() for m in _STRETCH.finditer(text, cut, hi) if hi == b or m.end() < hi]
+            before, behind = (set(own).intersection(window) for own in (mine, theirs))
+            self.encoded_again += hi - lo
+            if (before or lo == a) and (behind or hi == b):
+                first, last = max(before, default=(lo - 1, lo - 1)), min(behind, default=(hi, hi))
+                keep = len(left) - sum(s > first for s in mine) if before else 0
+                skip = sum(s < last for s in theirs) if behind else len(right)
+                return a, b, left[:keep] + [text[x:y] for x, y in window if first < (x, y) < last] + right[skip:]
+            width *= 2
 
     def _encoded(self, parts: list[tuple[int, int]], word: str) -> list[Encoded]:
         """Parts of a pre-token, all of them side by side."""
@@ -194,6 +239,18 @@ class TreeEncoder:
         return " ".join(map(self.token.__getitem__, ids.tolist()))
 
 
+def _whole_point(text: bytes, at: int, step: int) -> int:
+    """The nearest place from ``at`` on, in the direction of ``step``, that is not inside a code point."""
+    while 0 < at < len(text) and text[at] & 0xC0 == 0x80:
+        at += step
+    return at
+
+
+def _leaves(text: bytes, most: int) -> list[int]:
+    """Where the leaves of a text begin and end."""
+    return [0, len(text)] if len(text) <= most else sorted({_whole_point(text, at, -1) for at in _bounds(len(text), most)})
+
+
 def _bounds(length: int, most: int) -> list[int]:
     """Where the leaves of a pre-token begin and end: halves of halves."""
     bounds = [0, length]

@@ -76,3 +76,27 @@ def test_empty(docs_of):
 def test_other_steps_turn_the_plain_path_off():
     assert bpe.TreeEncoder(PATH).plain
     assert not bpe.TreeEncoder(public_tokenizers.path("byte_bpe_50k.json")).plain
+
+
+@pytest.mark.parametrize("long,window", [(4, 1), (40, 2), (300, 8)])
+def test_long_texts_join_at_any_code_point(library, long, window):
+    rnd = random.Random(long)
+    own = bpe.TreeEncoder(PATH, window=window, long=long)
+    for k in range(250):
+        text = "".join(rnd.choice(PARTS) for _ in range(rnd.choice([0, 1, 5, 60, 400])))
+        if k % 4 == 0:
+            text = "   ".join([" " * rnd.randrange(100), text, "\n" * rnd.randrange(100)])
+        assert own.encode([text, "short one", text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.joins > 100
+
+
+def test_joins_of_the_tables_texts(spark, library):
+    """Long documents are halved and joined, and little of them is encoded again."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"octet_length(text) > {bpe.LONG}").select("text").collect()
+    own = bpe.TreeEncoder(PATH)
+    texts = [r["text"] for r in rows]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    # leaves are powers of two
+    assert own.joins == sum((1 << (-(-len(t.encode()) // bpe.LONG) - 1).bit_length()) - 1 for t in texts) > 0
+    assert own.encoded_again < 0.02 * sum(len(t) for t in texts)
