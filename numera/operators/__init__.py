@@ -1 +1 @@
-"""DataFrame operators on primes, archives, masks and selectors."""
+"""DataFrame operators on integers, chunks of them, masks and selector words."""

@@ -1 +1 @@
-"""Readers and writers: Parquet archive, legacy archive files, key=value files, workbooks, big integers."""
+"""Readers and writers: stored chunks, older binary and text files, workbooks."""

@@ -1,5 +1,6 @@
 """The stored archive: versions, repair, exact chunks, questions to the bitmap."""
 
+import functools
 import random
 import shutil
 from pathlib import Path
@@ -12,6 +13,12 @@ from numera.operators import archive, maintenance, sieve, stored
 from numera.sources import store
 
 
+@functools.lru_cache
+def chunked(spark, hi, size):
+    """Computed once and kept: what is tested is how chunks are stored."""
+    return spark.createDataFrame(archive.chunked(spark, hi, size).toPandas(), "chunk_id long, p long").repartition(3)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -25,7 +32,7 @@ def written(path, version):
 
 
 def test_index_of_the_written_words(spark, tmp_path):
-    chunks = archive.chunked(spark, 4000, 37).unionByName(spark.createDataFrame([(900, 2), (900, 3), (901, 7), (901, 2003), (901, 9)], "chunk_id long, p long"))
+    chunks = chunked(spark, 4000, 37).unionByName(spark.createDataFrame([(900, 2), (900, 3), (901, 7), (901, 2003), (901, 9)], "chunk_id long, p long"))
     path = f"{tmp_path}/a"
     assert store.write_archive(chunks, path, block_cycles=4) == 1
     assert rows(store.read_index(spark, path)) == rows(archive.index(chunks.where("p <> 9")))
@@ -36,7 +43,7 @@ def test_index_of_the_written_words(spark, tmp_path):
 
 
 def test_updates_write_their_chunks_only(spark, tmp_path):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 6000, 50)
+    path, whole = f"{tmp_path}/a", chunked(spark, 6000, 50)
     store.update_archive(whole.where("chunk_id < 4"), path)
     assert store.update_archive(whole.where("chunk_id >= 4"), path) == 2
     assert values(spark, path) == rows(whole.where("p >= 11")) and rows(store.read_index(spark, path)) == rows(archive.index(whole))
@@ -52,7 +59,7 @@ def test_updates_write_their_chunks_only(spark, tmp_path):
 
 
 def test_two_writers_of_a_version(spark, tmp_path, monkeypatch):
-    path, chunks = f"{tmp_path}/a", archive.chunked(spark, 500, 50)
+    path, chunks = f"{tmp_path}/a", chunked(spark, 500, 50)
     store.write_archive(chunks, path)
     head = store._committed(spark, path)
     store.write_archive(chunks, path)
@@ -63,7 +70,7 @@ def test_two_writers_of_a_version(spark, tmp_path, monkeypatch):
 
 
 def test_a_write_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 3000, 50)
+    path, whole = f"{tmp_path}/a", chunked(spark, 3000, 50)
     store.write_archive(whole.where("chunk_id < 5"), path)
     before = values(spark, path)
 
@@ -80,7 +87,7 @@ def test_a_write_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
 
 
 def test_repair_of_lost_files(spark, tmp_path):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 20_000, 60)
+    path, whole = f"{tmp_path}/a", chunked(spark, 20_000, 60)
     store.write_archive(whole, path, block_cycles=8)
     assert store.repair(spark, path) == []
     before, spans = values(spark, path), rows(store.read_index(spark, path))
@@ -103,7 +110,7 @@ def test_repair_of_lost_files(spark, tmp_path):
 
 
 def test_repair_that_does_not_come_out_is_not_committed(spark, tmp_path):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 2000, 50)
+    path, whole = f"{tmp_path}/a", chunked(spark, 2000, 50)
     store.write_archive(whole.where("chunk_id <> 2"), path)
     wrong = archive.index(whole).withColumn("prime_count", F.when(F.col("chunk_id") == 2, 49).otherwise(F.col("prime_count")))
     with pytest.raises(ValueError, match="2"):
@@ -114,7 +121,7 @@ def test_repair_that_does_not_come_out_is_not_committed(spark, tmp_path):
 
 
 def test_index_counted_anew(spark, tmp_path):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 2000, 50)
+    path, whole = f"{tmp_path}/a", chunked(spark, 2000, 50)
     store.write_archive(whole.where("chunk_id < 3"), path)
     store.update_archive(whole.where("chunk_id >= 3"), path)
     spans = rows(store.read_index(spark, path, True))
@@ -140,7 +147,7 @@ def test_delta_bytes():
 
 @pytest.mark.parametrize("width", [100, 1 << 24])
 def test_archive_from_exact_chunks(spark, tmp_path, width, monkeypatch):
-    exact, path, whole = f"{tmp_path}/e", f"{tmp_path}/a", archive.chunked(spark, 9000, 64)
+    exact, path, whole = f"{tmp_path}/e", f"{tmp_path}/a", chunked(spark, 9000, 64)
     monkeypatch.setattr(spark.conf, "get", spark.conf.get)
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
@@ -171,7 +178,7 @@ def test_exact_chunks_that_are_not_what_their_heads_say(spark, tmp_path):
 def test_next_primes_of_the_bitmap(spark, tmp_path):
     path = f"{tmp_path}/a"
     for lost in ([4, 29], [0, 9, 10]):
-        chunks = archive.chunked(spark, 8000, 35).where(~F.col("chunk_id").isin(lost))
+        chunks = chunked(spark, 8000, 35).where(~F.col("chunk_id").isin(lost))
         store.write_archive(chunks, path, block_cycles=5)
         keys = spark.range(-3, 8200).selectExpr("id as n").unionByName(spark.createDataFrame([(None,), (2**62,), (7,)], "n long"))
         assert rows(stored.next_prime(keys, path)) == rows(archive.answer_next_prime(keys, chunks))
@@ -191,7 +198,7 @@ def test_a_far_gap_is_carried_over_cycles(spark, tmp_path):
 def test_questions_read_only_what_they_ask(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(archive, "COARSE", 4)
     path = f"{tmp_path}/a"
-    store.write_archive(archive.chunked(spark, 100_000, 500), path, block_cycles=16)
+    store.write_archive(chunked(spark, 100_000, 500), path, block_cycles=16)
     keys = spark.createDataFrame([(50_000,), (50_001,), (90_000,)], "n long")
     assert archive.asked_ranges(keys) == [(236, 247), (428, 439)]
     bitmap = store.read_bitmap(spark, path, archive.asked_ranges(keys))
@@ -218,11 +225,11 @@ def test_empty_archive(spark, tmp_path):
     store.write_archive(spark.createDataFrame([], "chunk_id long, p long"), f"{tmp_path}/a")
     assert values(spark, f"{tmp_path}/a") == [] and store.read_index(spark, f"{tmp_path}/a").count() == 0
     assert rows(stored.next_prime(spark.createDataFrame([(5,), (50,)], "n long"), f"{tmp_path}/a")) == [(5, 7, "ok"), (50, None, "uncovered")]
-    assert maintenance.missing(archive.index(archive.chunked(spark, 100, 10)), store.read_index(spark, f"{tmp_path}/a")).count() == 3
+    assert maintenance.missing(archive.index(chunked(spark, 100, 10)), store.read_index(spark, f"{tmp_path}/a")).count() == 3
 
 
 def test_reconcile_and_prune(spark, tmp_path):
-    path, whole = f"{tmp_path}/a", archive.chunked(spark, 3000, 50)
+    path, whole = f"{tmp_path}/a", chunked(spark, 3000, 50)
     store.write_archive(whole.where("chunk_id < 4"), path)
     store.update_archive(whole.where("chunk_id between 2 and 6"), path)
     assert store.reconcile(spark, path, 350) == [] and store.prune(spark, path) == []
