@@ -23,10 +23,11 @@ from numera.llm.common import held_out, row_keys
 
 GRAMS = (1, 2, 3)
 HASH_BITS = 15
-#: Bound of the training sample: documents for each language.
+#: Bounds of the training sample: documents for each language, and in all.
 SAMPLE = 1000
-#: Languages that are learned at most: those with most documents, then by name.
-MOST_LANGUAGES = 500
+MOST_ROWS = 500_000
+#: Languages whose weights fit the driver; more are an error, none is left out.
+MOST_LANGUAGES = 1000
 #: Characters that are hashed at a time.
 _CHUNK = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -155,9 +156,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learn from text and non-null lang of rows with crc32(doc_id as text) mod 4 other than 2.
 
     Document frequencies cover all those rows. The weights are fitted on at
-    most ``sample`` of them for each of at most ``MOST_LANGUAGES`` languages,
+    most ``sample`` of them for each language, and at most ``MOST_ROWS`` in all,
     drawn by a hash of id and text; rows without an id are learned from too. A
     row's counts have at most 2 ** HASH_BITS entries, however long its text is.
+    More than ``MOST_LANGUAGES`` languages are an error.
     """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     size = 1 << HASH_BITS
@@ -167,7 +169,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     idf = np.log((1 + seen[size]) / (1 + seen[:size])) + 1
     keys = row_keys(F.col("doc_id"), F.col("text"))
     turns = own.select("lang", keys[0].alias("k1"), keys[1].alias("k2")).withColumn("turn", F.xxhash64(F.lit("turn"), "k1", "k2"))
-    share = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    share = own.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = share.limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sample = min(sample, MOST_ROWS // max(1, languages))
     # a hash leaves about 1.5 samples of each language, whatever its size, for the window to choose from; rows that
     # are equal in id and text count once
     turns = turns.join(F.broadcast(share), "lang").where(F.pmod("turn", F.lit(1_000_003)) < F.lit(1.5 * sample) / F.col("n") * 1_000_003).select("lang", "turn", "k1", "k2").distinct()

@@ -1,3 +1,4 @@
+import pytest
 import random
 import zlib
 
@@ -56,3 +57,16 @@ def test_nothing_to_learn(docs_of):
     assert langid.language(docs_of([])).count() == 0
     assert [(r.lang_pred, r.score) for r in langid.language(docs_of([(1, "text")])).collect()] == [("und", 0.0)]
     assert {r.lang_pred for r in langid.language(docs_of([(i, "text", "en") for i in range(5)])).collect()} == {"en"}
+
+
+def test_no_language_is_left_out_without_a_word(docs_of, monkeypatch):
+    """Of many languages each has a smaller sample; too many are an error."""
+    words = ["alpha beta", "gamma delta", "omega sigma", "theta kappa", "lambda rho"]
+    docs = docs_of([(d, words[d % 5] * 3, f"l{d % 5}", None) for d in range(200)])
+    monkeypatch.setattr(langid, "MOST_ROWS", 50)
+    assert langid.train(docs.select("doc_id", "text", "lang")).langs == [f"l{k}" for k in range(5)]
+    got = langid.language(docs).collect()
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 5}" for r in got)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    with pytest.raises(ValueError, match="languages"):
+        langid.language(docs)
