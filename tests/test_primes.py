@@ -332,3 +332,9 @@ def test_seconds_to_go(spark):
     rows = spark.createDataFrame([(10, 10, 29, 0.0, 0.0), (5, 10, 11, 2.5, 0.0), (8, 16, 20, 0.0, 4.0), (4, 16, 7, 0.0, 4.0), (8, 16, 20, 0.0, 0.0)], "found long, target long, last long, primes double, positions double")
     got = rows.select(incremental.seconds_to_go(*(F.col(c) for c in rows.columns)).alias("eta"), incremental.percent(F.col("found"), F.col("target")).alias("percent"), incremental.gib(F.lit(3 << 29)).alias("gib")).collect()
     assert [r.eta for r in got] == [0.0, 2.0, 2.0, None, None] and [r.percent for r in got] == [100.0, 50.0, 50.0, 25.0, 50.0] and got[0].gib == 1.5
+
+
+def test_the_relational_sieve_broadcasts_no_multiples(spark):
+    found = sieve.primes_relational(spark, 3 * 4096, 4096)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.p for r in found.collect()) == sieve.base_primes(3 * 4096 - 1).tolist()
