@@ -338,3 +338,10 @@ def test_the_relational_sieve_broadcasts_no_multiples(spark):
     found = sieve.primes_relational(spark, 3 * 4096, 4096)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.p for r in found.collect()) == sieve.base_primes(3 * 4096 - 1).tolist()
+
+
+def test_gcds_are_taken_a_batch_at_a_time(spark):
+    pairs = [(0, 0), (0, 5), (-4, 6), (4, -6), (None, 3), (3, None), (None, None), (2**63 - 1, 2**62), (7919 * 2**20, 7919 * 3**10)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select(integers.gcd(F.col("a"), F.col("b")).alias("g"))
+    assert [r.g for r in rows.collect()] == [0, 5, 2, 2, None, None, None, 1, 7919]
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
