@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from numera.operators import bignum, primality
 from numera.operators.sieve import base_primes
@@ -96,3 +97,10 @@ def test_next_primes_as_rows(spark):
     got = {r["text"]: r for r in primality.next_prime_big(df).collect()}
     assert all(got[str(n)]["p"] == str(plain_next(n)) for n in cases)
     assert got["x"]["error"] == "invalid_char" and got[None]["error"] == "null"
+
+
+def test_next_primes_are_dealt_over_more_tasks_than_cores(spark):
+    df = spark.createDataFrame([(str(10**k),) for k in range(20, 60)] + [(str(10**30),)] * 40, "text string").coalesce(1)
+    rows = primality.next_prime_big(df)
+    tasks = [r[0] for r in rows.select("text", F.spark_partition_id().alias("task")).groupBy("task").count().select("count").collect()]
+    assert len(tasks) > spark.sparkContext.defaultParallelism and max(tasks) <= 4 and sum(tasks) == 80
